@@ -177,7 +177,7 @@ def word_corrections(words: DataFrame) -> DataFrame:
     many = None
     for right, wrong in CONFUSED_LONG:
         shift = anagram_hash(F.lit(right)) - anagram_hash(F.lit(wrong))
-        each = rare.filter(F.col("word").contains(wrong)).withColumn("hf", F.col("hw") + shift).join(often, "hf").withColumn("place", F.explode(F.filter(F.sequence(F.lit(1), F.length("word")), lambda i, w=wrong: F.substring(F.col("word"), i, F.lit(len(w))) == w)))
+        each = rare.filter(F.col("word").contains(wrong)).withColumn("hf", F.col("hw") + shift).join(often, "hf").withColumn("place", F.explode(F.expr(f"filter(sequence(1, length(word)), i -> substring(word, i, {len(wrong)}) = '{wrong}')")))
         each = each.filter(F.col("fixed") == F.concat(F.expr("left(word, place - 1)"), F.lit(right), F.expr(f"substring(word, place + {len(wrong)})"))).filter("f >= 5 * mw").select("word", "fixed", "place", "f", F.lit(True).alias("known"))
         many = each if many is None else many.union(each)
     ranked = one.union(many).withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.col("known").desc(), F.col("f").desc(), "fixed")))
