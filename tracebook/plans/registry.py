@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tracebook.plans import evidence, library, pages, records
+
+QUERIES = evidence.QUERIES | library.QUERIES | pages.QUERIES | records.QUERIES
+ORACLE_SQL = evidence.ORACLE_SQL | library.ORACLE_SQL | pages.ORACLE_SQL | records.ORACLE_SQL
 FLAGSHIP = "quote_tier_ledger"
