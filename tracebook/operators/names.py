@@ -26,8 +26,8 @@ def similar_names(items: DataFrame, *, group: str, name: str, threshold: float =
     rarest bigrams of each (prefix filtering); pairs are joined on those, never
     all names of a group with each other. Names of one another's parts share
     all bigrams of the shorter one; so its rarest bigram is joined with every
-    bigram of the longer. Names under six characters are joined on any bigram
-    or, of one character, on it.
+    bigram of the longer. Names under six characters are joined on any bigram,
+    and a name of one character with the names that have it.
     """
     names = items.select(F.col(group).alias("g"), F.lower(F.trim(name)).alias("name")).filter("g is not null and name <> ''").distinct()
     starts = F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1)))
@@ -45,5 +45,8 @@ def similar_names(items: DataFrame, *, group: str, name: str, threshold: float =
     rarest = cut.select("g", "name", "n", F.col("r")[0]["gram"].alias("gram")).alias("s")
     held = rarest.join(grams.alias("l"), (F.col("s.g") == F.col("l.g")) & (F.col("s.gram") == F.col("l.gram")) & (F.col("s.n") < F.col("l.n")) & F.contains(F.col("l.name"), F.col("s.name")))
     held = held.select(F.col("s.g").alias("g"), F.least("s.name", "l.name").alias("x"), F.greatest("s.name", "l.name").alias("y"))
+    letters = names.select("g", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("gram")).filter("gram <> ''")
+    single = names.filter("length(name) = 1").select("g", F.col("name").alias("gram")).join(letters, ["g", "gram"]).filter("name <> gram")
+    held = held.union(single.select("g", F.least("name", "gram"), F.greatest("name", "gram")))
     pairs = near.union(held).distinct().withColumn("ratio", block_ratio("x", "y")).filter(F.col("ratio") >= threshold)
     return pairs.select(F.col("g").alias(group), F.col("x").alias("name_a"), F.col("y").alias("name_b"), F.round("ratio", 6).alias("ratio"))
