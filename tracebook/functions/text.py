@@ -62,13 +62,13 @@ def full_match_form(text: str | None) -> str:
 @F.pandas_udf(StringType())
 def match_form(text: pd.Series) -> pd.Series:
     """`full_match_form`, by Arrow batches; null becomes empty."""
-    return text.map(full_match_form)
+    return pd.Series([full_match_form(t) for t in text], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def citation_form(text: pd.Series) -> pd.Series:
     """Compatibility folding and single spaces; case, marks and numbers stay."""
-    return text.map(lambda t: "" if not t else " ".join(unicodedata.normalize("NFKC", t).split()))
+    return pd.Series(["" if not t else " ".join(unicodedata.normalize("NFKC", t).split()) for t in text], dtype=object)
 
 
 def search_tokens(text: Column) -> Column:
