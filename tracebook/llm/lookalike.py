@@ -89,7 +89,7 @@ def base_and_tokens(text: pd.Series) -> pd.DataFrame:
     """The base form, and its tokens that a repair would change."""
     bases = [None if t is None else base_form(t) for t in text]
     tokens = [[] if b is None or not SUSPECT.search(b) else sorted({t for t in TOKEN.findall(b) if repaired(t)}) for b in bases]
-    return pd.DataFrame({"base": bases, "tokens": tokens})
+    return pd.DataFrame({"base": pd.Series(bases, dtype=object), "tokens": pd.Series(tokens, dtype=object)})
 
 
 def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +98,7 @@ def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in f["text"]:
             if text:
                 words.update(VOCABULARY_TOKEN.findall(text))
-        yield pd.DataFrame({"word": sorted(w for w in words if not SUSPECT.search(w))})
+        yield pd.DataFrame({"word": pd.Series(sorted(w for w in words if not SUSPECT.search(w)), dtype=object)})
 
 
 def vocabulary(texts: list[DataFrame]) -> DataFrame:
@@ -112,7 +112,7 @@ def vocabulary(texts: list[DataFrame]) -> DataFrame:
 
 @F.pandas_udf(StringType())
 def repair_of(token: pd.Series) -> pd.Series:
-    return token.map(repaired)
+    return pd.Series([repaired(t) for t in token], dtype=object)
 
 
 def accepted_repairs(tokens: DataFrame, words: DataFrame) -> DataFrame:

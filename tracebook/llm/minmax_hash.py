@@ -87,7 +87,7 @@ def _banded(unit: str, size: int, permutations: int, rows: int):
                     salt = np.uint64(char_shingles(block, len(block))[0]) if block else np.uint64(0)
                     ids.append(rid)
                     keys.append(mix(band_keys(signature(s, permutations), rows).view("u8") ^ salt).view("i8"))
-            yield pd.DataFrame({"rid": np.array(ids, "int64"), "keys": keys})
+            yield pd.DataFrame({"rid": np.array(ids, "int64"), "keys": pd.Series(keys, dtype=object)})
 
     return run
 
@@ -130,6 +130,8 @@ def near_duplicate_pairs(df: DataFrame, *, key: str, text: Column, block: Column
     """
     block = F.lit("") if block is None else block
     plain = df.select(F.col(key).alias("key"), block.alias("block"), F.coalesce(text, F.lit("")).alias("text")).filter(F.col("key").isNotNull() & F.col("block").isNotNull())
+    # what has no shingle is like nothing, not even its copies
+    plain = plain.filter(F.length("text") >= size if unit == "char" else F.col("text").rlike(r"\S"))
     texts = stage(plain.select("block", "text").distinct().withColumn("rid", F.monotonically_increasing_id()), "texts")
     banded = texts.mapInPandas(_banded(unit, size, permutations, rows), "rid long, keys array<long>")
     bands = stage(banded.select("rid", F.explode("keys").alias("band")), "bands")

@@ -84,7 +84,7 @@ def position(offset: Column, demand: Column, tilt: Column) -> Column:
     demand * (t + tilt * (t * t - t)) reaches `offset`."""
     y = F.least(F.lit(1.0), offset / demand)
     root = F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * y)
-    return F.when(F.abs(tilt) < 1e-9, y).otherwise(F.when(y == 0, F.lit(0.0)).otherwise(2 * y / ((1 - tilt) + root)))
+    return F.when(F.abs(tilt) < 1e-9, y).otherwise(F.when(y == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * y / ((1 - tilt) + root))))
 
 
 def prefix_sums(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:

@@ -73,7 +73,7 @@ def _step(horizon_us: int):
                 right = one[i][1] if i >= 0 else None
                 hit = right is not None and abs(at - right[1]) <= right[3]
                 out.append((name, right[2], abs(at - right[1])) if hit else (name, None, None))
-            yield pd.DataFrame({"id": [x[0] for x in out], "row": [x[1] for x in out], "distance_us": pd.array([x[2] for x in out], "Int64")})
+            yield pd.DataFrame({"id": [x[0] for x in out], "row": pd.Series([x[1] for x in out], dtype=object), "distance_us": pd.array([x[2] for x in out], "Int64")})
         lefts = [x for x in lefts if x[1] + horizon_us >= mark]
         rights = [x for x in rights if x[1] + horizon_us >= mark]
         if lefts or rights:

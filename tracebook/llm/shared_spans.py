@@ -93,7 +93,7 @@ def _phrases(k: int, length: int):
                     for some, of in parts:
                         h, at, which = winnow(some, k, length, pows)
                         whole = "".join(some)
-                        yield pd.DataFrame({"fp": h, "grp": np.array(of, "int64")[which], "phrase": [whole[p : p + k] for p in at.tolist()]})
+                        yield pd.DataFrame({"fp": h, "grp": np.array(of, "int64")[which], "phrase": pd.Series([whole[p : p + k] for p in at.tolist()], dtype=object)})
                     texts, groups, held = [], [], 0
 
     return run
@@ -183,7 +183,7 @@ def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phr
     `length` characters, so that only true pairs are ever made of it.
     """
     spark = records.sparkSession
-    rows = records.select("key", F.xxhash64("grp").alias("grp"), "text").filter(F.col("key").isNotNull() & F.col("grp").isNotNull() & (F.length("text") >= length))
+    rows = records.filter(F.col("key").isNotNull() & F.col("grp").isNotNull() & (F.length("text") >= length)).select("key", F.xxhash64("grp").alias("grp"), "text")
     kept = stage(rows.select("grp", "text").mapInPandas(_phrases(k, length), "fp long, grp long, phrase string"), "phrases")
     recurring = kept.groupBy("fp").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("fp")
     confirmed = stage(kept.join(recurring, "fp", "left_semi").select("fp", "phrase").distinct(), "confirmed")

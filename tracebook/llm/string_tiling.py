@@ -152,8 +152,8 @@ def _tiled(shared, least: int):
                     last += 1
                 some = pows if held <= CHUNK else powers(held)
                 for t, n in sorted(meetings(texts[first:last], seeds, some)):
-                    key, item, length = seeds.items[n]
-                    laid = tiles(texts[first + t], item, min(least, length))
+                    key, item, run_length = seeds.items[n]
+                    laid = tiles(texts[first + t], item, max(1, min(least, (run_length + 1) // 2)))
                     out.append((keys[first + t], key, len(item), max(x[2] for x in laid), sum(x[2] for x in laid), len(laid)))
                 first = last
             yield pd.DataFrame(out, columns=["doc_key", "item_key", "item_length", "longest", "covered", "tiles"])
