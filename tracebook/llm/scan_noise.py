@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ PAGE_LINE = re.compile(rf"^(?P<a>{DRESS})(?P<w>page\s+no\.?|page|pg?\.?|no\.?|
 WITH_NUMBER = (re.compile(rf"^{NUMBER}\s{{2,}}(.*)$"), re.compile(rf"^(.*?)\s{{2,}}{NUMBER}$"))
 CUT = re.compile(r"([^\W\d_]+)[-‐‑­][ \t\r]*\n[ \t]*([^\W\d_]+)")
 WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_㐀-鿿]++(?:-[^\W\d_㐀-鿿]++)+")
 HAN = re.compile("[㐀-鿿]")
 STOP_END = re.compile(r"[.,;:!?。，；：、！？]$")
 LETTER = re.compile(r"[^\W\d_]")
@@ -78,10 +79,23 @@ def edges(lines: list[str]) -> tuple[list[int], list[int]]:
     return held[:2], held[-2:][::-1]
 
 
+def count_ideographs(texts: list[str], chars: Counter, pairs: Counter, chunk: int = 2_000) -> None:
+    """Add the ideographs of the texts and the pairs of neighbours to the counts."""
+    for i in range(0, len(texts), chunk):
+        codes = np.frombuffer("\n".join(texts[i : i + chunk]).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+        han = (codes >= 0x3400) & (codes <= 0x9FFF)
+        both = han[:-1] & han[1:]
+        one, n = np.unique(codes[han], return_counts=True)
+        chars.update(dict(zip(map(chr, one.tolist()), n.tolist())))
+        two, n = np.unique(codes[:-1][both] << np.uint64(16) | codes[1:][both], return_counts=True)
+        pairs.update({chr(k >> 16) + chr(k & 0xFFFF): v for k, v in zip(two.tolist(), n.tolist())})
+
+
 def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out: list[tuple] = []
         counts = {"word": (Counter(), Counter()), "han": (Counter(), Counter()), "char": (Counter(), Counter())}
+        chinese: tuple[list[str], list[str]] = [], []
         for file_id, page_no, text, ocr in zip(f["file_id"], f["page_no"], f["text"], f["ocr"]):
             lines = text.split("\n")
             seen = set()
@@ -108,13 +122,12 @@ def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "-" in lower:
                 counts["word"][ocr].update(COMPOUND.findall(lower))
             if HAN.search(text):
-                flat = text.replace("\n", "")
-                counts["char"][ocr].update(flat)
-                counts["han"][ocr].update(pairwise(flat))
+                chinese[ocr].append(text.replace("\n", ""))
+        for ocr in (False, True):
+            count_ideographs(chinese[ocr], counts["char"][ocr], counts["han"][ocr])
         for kind, (clean, read) in counts.items():
             for key in clean.keys() | read.keys():
-                if kind == "word" or all("㐀" <= c <= "鿿" for c in key):
-                    out.append((kind, None, None, None, "".join(key), None, clean[key], read[key]))
+                out.append((kind, None, None, None, key, None, clean[key], read[key]))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -241,12 +254,12 @@ def page_numbers(num: DataFrame, labels: DataFrame) -> DataFrame:
 
 @F.pandas_udf(StringType())
 def printed_number(label: pd.Series) -> pd.Series:
-    return label.map(lambda x: label_number(x)[0])
+    return pd.Series([label_number(x)[0] for x in label], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def label_misread(label: pd.Series) -> pd.Series:
-    return label.map(lambda x: "y" if label_number(x)[1] else "n")
+    return pd.Series(["y" if label_number(x)[1] else "n" for x in label], dtype=object)
 
 
 def page_faults(pages: DataFrame, skeleton: DataFrame) -> DataFrame:
