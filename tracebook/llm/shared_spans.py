@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow.dataset as ds
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -127,8 +127,8 @@ def _occurrences(path: str, shard: int, k: int, length: int):
                 if len(t) >= length and len(a):
                     for end, fp in a.iter(t):
                         s = end - k + 1
-                        out.append((fp, key, grp, t[max(0, s - side) : s], t[end + 1 : end + 1 + side]))
-            yield pd.DataFrame(out, columns=["fp", "key", "grp", "before", "after"])
+                        out.append((fp, key, grp, len(t), s, t[max(0, s - side) : s], t[end + 1 : end + 1 + side]))
+            yield pd.DataFrame(out, columns=["fp", "key", "grp", "n", "at", "before", "after"])
 
     return run
 
@@ -163,25 +163,19 @@ def _windows(k: int, length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for fp, key, grp, before, after in f[["fp", "key", "grp", "before", "after"]].itertuples(index=False):
+            places = f["at"] if "at" in f else pd.Series(0, index=f.index)
+            for fp, key, grp, before, after, at in zip(f["fp"], f["key"], f["grp"], f["before"], f["after"], places):
                 for left in range(max(0, side - len(after)), len(before) + 1):
-                    out.append((fp, key, grp, left, before[len(before) - left :] + "|" + after[: side - left]))
-            yield pd.DataFrame(out, columns=["fp", "key", "grp", "left", "around"])
+                    out.append((fp, key, grp, left, before[len(before) - left :] + "|" + after[: side - left], at))
+            yield pd.DataFrame(out, columns=["fp", "key", "grp", "left", "around", "at"])
 
     return run
 
 
-def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phrases_per_shard: int = 50_000, hot: int = 2_000) -> DataFrame:
-    """key_a, key_b (key_a < key_b): the records of different groups that share
-    `length` or more consecutive characters, whitespace (space, tab, CR, LF)
-    left out.
-
-    `records`: key STRING, grp STRING, text STRING; others are not read. Rows
-    with a null are left out, texts shorter than `length` are in no pair, rows
-    repeated in full count once. A phrase with more than `hot` occurrences is
-    not paired occurrence by occurrence but by its equal surroundings of
-    `length` characters, so that only true pairs are ever made of it.
-    """
+def phrase_occurrences(records: DataFrame, length: int, k: int, phrases_per_shard: int) -> DataFrame | None:
+    """fp, key, grp, n, at, before, after: every occurrence of every recurring
+    phrase, staged; n is the stripped length of the record and at the place in
+    it. None if nothing recurs. `records` as in `shared_span_pairs`."""
     spark = records.sparkSession
     rows = records.filter(F.col("key").isNotNull() & F.col("grp").isNotNull() & (F.length("text") >= length)).select("key", F.xxhash64("grp").alias("grp"), "text")
     kept = stage(rows.select("grp", "text").mapInPandas(_phrases(k, length), "fp long, grp long, phrase string"), "phrases")
@@ -193,22 +187,60 @@ def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phr
     there = {r["shard"] for r in spark.read.schema("fp long, phrase string, shard int").parquet(path).select("shard").distinct().toLocalIterator()}
     found = None
     for shard in sorted(there):
-        one = rows.mapInPandas(_occurrences(path, shard, k, length), "fp long, key string, grp long, before string, after string")
+        one = rows.mapInPandas(_occurrences(path, shard, k, length), "fp long, key string, grp long, n int, at int, before string, after string")
         found = one if found is None else found.union(one)
-    if found is None:
-        return spark.createDataFrame([], "key_a string, key_b string")
-    met = stage(found, "occurrences")
+    return None if found is None else stage(found, "occurrences")
+
+
+def _paired(df: DataFrame, on: list[str]) -> DataFrame:
+    a, b = df.alias("a"), df.alias("b")
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, same & (F.col("a.grp") != F.col("b.grp")) & (F.col("a.key") < F.col("b.key")))
+
+
+def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phrases_per_shard: int = 50_000, hot: int = 2_000) -> DataFrame:
+    """key_a, key_b (key_a < key_b): the records of different groups that share
+    `length` or more consecutive characters, whitespace (space, tab, CR, LF)
+    left out.
+
+    `records`: key STRING, grp STRING, text STRING; others are not read. Rows
+    with a null are left out, texts shorter than `length` are in no pair, rows
+    repeated in full count once. A phrase with more than `hot` occurrences is
+    not paired occurrence by occurrence but by its equal surroundings of
+    `length` characters, so that only true pairs are ever made of it.
+    """
+    met = phrase_occurrences(records, length, k, phrases_per_shard)
+    if met is None:
+        return records.sparkSession.createDataFrame([], "key_a string, key_b string")
+    met = met.drop("n", "at")
     often = met.groupBy("fp").count().filter(F.col("count") > hot).select("fp")
     few, many = met.join(often, "fp", "left_anti").distinct(), met.join(often, "fp", "left_semi").distinct()
+    keys = F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")
+    of_few = _paired(few, ["fp"]).filter(extends(k, length)("a.before", "b.before", "a.after", "b.after")).select(*keys)
+    around = many.mapInPandas(_windows(k, length), "fp long, key string, grp long, left int, around string, at int")
+    return of_few.union(_paired(around.drop("at"), ["fp", "left", "around"]).select(*keys)).distinct()
 
-    def paired(df: DataFrame, on: list[str]) -> DataFrame:
-        a, b = df.alias("a"), df.alias("b")
-        same = F.lit(True)
-        for c in on:
-            same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        return a.join(b, same & (F.col("a.grp") != F.col("b.grp")) & (F.col("a.key") < F.col("b.key")))
 
-    keys = F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")
-    of_few = paired(few, ["fp"]).filter(extends(k, length)("a.before", "b.before", "a.after", "b.after")).select(*keys)
-    around = many.mapInPandas(_windows(k, length), "fp long, key string, grp long, left int, around string")
-    return of_few.union(paired(around, ["fp", "left", "around"]).select(*keys)).distinct()
+def shared_portions(records: DataFrame, *, length: int = 100, k: int = 40, phrases_per_shard: int = 50_000) -> DataFrame:
+    """key, n, spans, shared, share: of each record that shares something, its
+    length without whitespace, the number of spans of it that stand in records
+    of other groups as well, their characters, and their part of the record.
+
+    All texts of `length` characters around an occurrence are compared by
+    equality across groups, so a phrase that stands in a third of all records
+    costs rows in proportion, not pairs. Takes records as `shared_span_pairs`.
+    """
+    met = phrase_occurrences(records, length, k, phrases_per_shard)
+    if met is None:
+        return records.sparkSession.createDataFrame([], "key string, n int, spans long, shared long, share double")
+    around = met.distinct().mapInPandas(_windows(k, length), "fp long, key string, grp long, left int, around string, at int")
+    window = around.select("key", "grp", (F.col("at") - F.col("left")).alias("start"), F.xxhash64("around", "fp", "left").alias("h"), F.md5("around").alias("m")).distinct()
+    elsewhere = window.groupBy("h", "m").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("h", "m")
+    starts = window.join(elsewhere, ["h", "m"], "left_semi").select("key", "start").distinct()
+    w = Window.partitionBy("key").orderBy("start")
+    gap = F.col("start") - F.lag("start").over(w)
+    cut = starts.withColumns({"new": F.coalesce((gap > length).cast("int"), F.lit(1)), "fresh": F.least(F.coalesce(gap, F.lit(length)), F.lit(length))})
+    size = met.select("key", "n").groupBy("key").agg(F.max("n").alias("n"))
+    return cut.groupBy("key").agg(F.sum("new").alias("spans"), F.sum("fresh").cast("long").alias("shared")).join(size, "key").select("key", "n", "spans", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
