@@ -88,5 +88,5 @@ def expand_sessions(timetables: DataFrame) -> DataFrame:
 
 
 def clock(minute: Column) -> Column:
-    """`HH:MM` of minutes since midnight."""
-    return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), (minute % 60).cast("int"))
+    """`HH:MM` of minutes since midnight; null for null."""
+    return F.when(minute.isNotNull(), F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), (minute % 60).cast("int")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracebook.functions.text import flattened
 from tracebook.operators import pages as P
+from tracebook.operators import titles as T
 from tracebook.operators.merging import segments
 from tracebook.plans.sqltext import BLANK, KEYS
 from tracebook.sources.tables import table
@@ -82,7 +83,24 @@ def scan_pages(spark: SparkSession, d: str) -> DataFrame:
     return p.select("file_id", "page_no", (F.coalesce("text_source", F.lit("")) != "ocr").alias("pending")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (page_runs, page_global_interval, chapter_end_lead, page_owner, page_section, coverage_chapters, coverage_sections, greedy_windows, chunks, offset_votes, offset_by_course, anchor_interpolate, title_segments, scan_pages)}
+def title_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """title, kind, plausible, number of every chapter title."""
+    t = table(spark, d, "skeleton").select("title").filter("title is not null").distinct()
+    return t.select("title", T.title_kind(F.col("title")).alias("kind"), T.plausible_title(F.col("title")).alias("plausible"), T.chapter_number(F.col("title")).alias("number"))
+
+
+def header_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters of each file by its running headers."""
+    return T.header_chapters(table(spark, d, "pages"))
+
+
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, page_no, section: the heading that each page begins with."""
+    p = table(spark, d, "pages").filter("length(text) > 0").select("file_id", "page_no", T.detected_section(F.col("text")).alias("section")).filter("section is not null")
+    return p.distinct()
+
+
+QUERIES = {f.__name__: f for f in (title_kinds, header_chapters, page_sections, page_runs, page_global_interval, chapter_end_lead, page_owner, page_section, coverage_chapters, coverage_sections, greedy_windows, chunks, offset_votes, offset_by_course, anchor_interpolate, title_segments, scan_pages)}
 
 _CHAPTERS = "ch AS (SELECT DISTINCT node_id, source_file, ord, num, kind, page_start, page_end FROM skeleton WHERE node_id IS NOT NULL)"
 _OWNERS = f"""{KEYS}, {_CHAPTERS}, owners AS (SELECT file_id, source_file, page_no, size, node_id, ord FROM (
@@ -99,7 +117,14 @@ _VOTES = rf"""pg AS (SELECT DISTINCT file_id, page_no, text FROM pages WHERE len
   votes AS (SELECT n.file_id, pages, off AS best_offset, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / pages, 3) AS ratio, CASE WHEN round(coalesce(hits, 0) / pages, 3) >= 0.75 THEN 'high' WHEN round(coalesce(hits, 0) / pages, 3) >= 0.5 THEN 'medium' ELSE 'low' END AS tier,
     off IS NOT NULL AND coalesce(hits, 0) / pages >= 0.3 AND coalesce(hits, 0) >= 5 AS confident FROM n LEFT JOIN bs USING (file_id))"""
 
+_HEADS = [r"^第\s*[0-9一二三四五六七八九十]{1,3}\s*章", r"(?i)^chapter\s+[0-9]+", r"^第\s*[0-9一二三四五六七八九十]{1,3}\s*节", r"^[0-9]{1,2}\.[0-9]{1,2}(\.[0-9]{1,2})?\s+\S"]
+_HEAD_LINES = "list_filter(list_transform(string_split(text[:400], chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:12]"
+_PLAIN = f"regexp_replace(lower(title), '{BLANK}', '', 'g')"
 ORACLE_SQL = {
+    "title_kinds": f"""SELECT DISTINCT title, CASE WHEN {_PLAIN} IN ({", ".join(f"'{m}'" for m in T.MATTER)}) THEN 'matter' WHEN regexp_matches({_PLAIN}, '^({"|".join(T.APPENDIX)})') THEN 'appendix' ELSE 'body' END AS kind,
+      length(title) <= 46 AND length(title) - length(translate(title, '{T.PUNCTUATION}', '')) <= 2 AND regexp_matches(title, '[\\x{{4E00}}-\\x{{9FFF}}]|[A-Za-z]{{3}}') AS plausible,
+      try_cast(regexp_extract(title, '(?i)^\\s*chapter\\s+([0-9]{{1,3}})\\b', 1) AS INT) AS number FROM skeleton WHERE title IS NOT NULL""",
+    "page_sections": "SELECT DISTINCT file_id, page_no, section FROM (SELECT file_id, page_no, coalesce(" + ", ".join(f"list_filter(ls, lambda x: regexp_matches(x, '{h}') AND length(x) <= 60)[1]" for h in _HEADS) + f") AS section FROM (SELECT file_id, page_no, {_HEAD_LINES} AS ls FROM pages WHERE length(text) > 0)) WHERE section IS NOT NULL",
     "page_runs": f"WITH {KEYS}, g AS (SELECT file_id, page_no, page_no - row_number() OVER (PARTITION BY file_id ORDER BY page_no) AS r FROM keys WHERE size > 0) SELECT file_id, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages FROM g GROUP BY file_id, r",
     "page_global_interval": f"WITH {KEYS}, f AS (SELECT source_file, count(*) AS pages FROM keys GROUP BY 1) SELECT source_file, pages, (sum(pages) OVER (ORDER BY source_file) - pages + 1)::BIGINT AS first_page, (sum(pages) OVER (ORDER BY source_file))::BIGINT AS last_page FROM f",
     "chapter_end_lead": f"WITH {KEYS}, {_CHAPTERS}, l AS (SELECT source_file, max(page_no) AS last_page FROM keys GROUP BY 1) SELECT node_id, page_start, greatest(page_start, coalesce(lead(page_start) OVER (PARTITION BY source_file ORDER BY num, page_start, node_id) - 1, last_page)) AS page_end FROM ch JOIN l USING (source_file)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracebook.operators.recordings import name_time
 from tracebook.operators.timetable import clock, expand_sessions
 from tracebook.sources.tables import table
 from tracebook.streaming.ledger import windowed_counts
@@ -50,7 +51,13 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("keys"), F.round(F.avg("k"), 6).alias("mean_k"))
 
 
-QUERIES = {f.__name__: f for f in (weekly_sessions, session_match, event_windows, event_runs, event_properties)}
+def recording_name_times(spark: SparkSession, d: str) -> DataFrame:
+    """rec_id, named_day, named_at of the recordings whose name tells a date."""
+    r = table(spark, d, "recordings").select("rec_id", name_time(F.col("name")).alias("t")).filter("t.day is not null").distinct()
+    return r.select("rec_id", F.date_format("t.day", "yyyy-MM-dd").alias("named_day"), clock(F.col("t.minute")).alias("named_at"))
+
+
+QUERIES = {f.__name__: f for f in (recording_name_times, weekly_sessions, session_match, event_windows, event_runs, event_properties)}
 
 _SESSIONS = """
 ex AS (SELECT timetable_id, tolerance_minutes, timezone, i, x.course_id AS c, x.date AS day, replace(x.start, '：', ':') AS s, replace(x."end", '：', ':') AS e, x.action AS act FROM (SELECT timetable_id, tolerance_minutes, timezone, unnest(exceptions) AS x, generate_subscripts(exceptions, 1) AS i FROM timetable)),
@@ -64,7 +71,11 @@ ses AS (SELECT * FROM wk WHERE NOT EXISTS (FROM exm WHERE exm.timetable_id = wk.
 """
 _HM = "lpad(({0} // 60)::VARCHAR, 2, '0') || ':' || lpad(({0} % 60)::VARCHAR, 2, '0')"
 
+_DATE = r"(20[0-9]{2})\s*[-._年/]?\s*(1[0-2]|0?[1-9])\s*[-._月/]?\s*([12][0-9]|3[01]|0?[1-9])"
+_TIME = _DATE + r"日?[\s_T]*(2[0-3]|[01]?[0-9])\s*[-.:：点时h]?\s*([0-5][0-9])"
 ORACLE_SQL = {
+    "recording_name_times": f"""WITH r AS (SELECT DISTINCT rec_id, name, try_cast(regexp_extract(name, '{_DATE}', 1) || '-' || lpad(regexp_extract(name, '{_DATE}', 2), 2, '0') || '-' || lpad(regexp_extract(name, '{_DATE}', 3), 2, '0') AS DATE) AS d FROM recordings)
+      SELECT DISTINCT rec_id, strftime(d, '%Y-%m-%d') AS named_day, CASE WHEN regexp_extract(name, '{_TIME}', 4) <> '' THEN lpad(regexp_extract(name, '{_TIME}', 4), 2, '0') || ':' || regexp_extract(name, '{_TIME}', 5) END AS named_at FROM r WHERE d IS NOT NULL""",
     "weekly_sessions": f"WITH {_SESSIONS} SELECT timetable_id, c AS course_id, strftime(day, '%Y-%m-%d') AS session_date, {_HM.format('a')} AS starts, {_HM.format('b')} AS ends FROM ses",
     "session_match": f"""WITH {_SESSIONS}, t AS (SELECT timetable_id, c, epoch_us(timezone(timezone, day::TIMESTAMP + to_minutes(a))) - tolerance_minutes * 60000000 AS lo, epoch_us(timezone(timezone, day::TIMESTAMP + to_minutes(b))) + tolerance_minutes * 60000000 AS hi FROM ses),
       r AS (SELECT DISTINCT rec_id, timetable_id, course_id, epoch_us(stamp_at) AS us FROM recordings WHERE stamp_at IS NOT NULL)
