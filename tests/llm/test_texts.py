@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracebook.llm import scan_noise as N
-from tracebook.llm.lookalike import accepted_repairs, apply_repairs, base_and_tokens, base_form, one_form, repaired, vocabulary, with_repairs
+from tracebook.llm.lookalike import accepted_repairs, apply_repairs, base_and_tokens, base_form, one_form, readable_forms, repaired, vocabulary, with_repairs
 from tracebook.llm.mixing import plan_shares, position, prefix_sums
 from tracebook.llm.quality import Vocabulary, jensen_shannon, measure, prose_profiles, text_quality
 from tracebook.llm.splitting import split_oversized
@@ -34,6 +34,13 @@ def test_one_form_by_the_vocabulary(spark):
     assert {r["id"]: r["f"] for r in got} == {"1": "canopyexit", "2": "zqxаv", "3": None, "4": ""}
 
 
+def test_readable_forms(spark):
+    rows = [("a", "the cаnopy  ｅxit"), ("a", "the cаnopy  ｅxit"), ("b", "the canopy"), ("c", None), ("d", ""), ("e", "zqxаv ﬁre")]
+    got = {r["k"]: r["form"] for r in readable_forms(spark.createDataFrame([(*r, "clash") for r in rows], "k string, text string, base string"), ["k"]).collect()}
+    assert got == {"a": "the canopy exit", "b": "the canopy", "c": None, "d": "", "e": "zqxаv fire"}
+    assert readable_forms(spark.createDataFrame([], "k string, text string"), ["k"]).count() == 0
+
+
 def test_splitting(spark):
     text = ("A sentence of some words here. " * 12 + "\n\n") * 30
     rows = [("a", text), ("b", "x" * 5000), ("c", "short"), ("d", ""), ("e", None), ("f", "𝒳" * 700), ("g", "\n" * 900)]

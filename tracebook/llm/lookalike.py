@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
+from tracebook.sources.tables import stage
+
 # Letters of other scripts that look like Latin ones.
 CYRILLIC_UPPER = "АВЕЗІЈКМНОРЅТУХԚԜҮ"
 CYRILLIC_UPPER_AS = "ABE3IJKMHOPSTYXQWY"
@@ -134,6 +136,29 @@ def one_form(base: pd.Series, repairs: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else apply_repairs(b, dict(r) if r is not None else {}) for b, r in zip(base, repairs)], dtype=object)
 
 
+def readable_forms(texts: DataFrame, key: list[str]) -> DataFrame:
+    """key, form: every text in the one form, its words kept apart by single
+    spaces. `texts`: the key columns and `text`, all of which is the corpus
+    whose words repairs must be. Null texts stay null; rows repeated in full
+    count once; other columns are not read."""
+    rows = texts.select(*key, "text")
+    tokens = stage(rows.select(*key, base_and_tokens("text").alias("b")).filter(F.size("b.tokens") > 0).select(*key, F.col("b.tokens").alias("tokens")).distinct(), "tokens")
+    accepted = stage(accepted_repairs(tokens.select(F.explode("tokens").alias("token")), vocabulary([rows.select("text")])), "repairs")
+    return rows.distinct().join(with_repairs(tokens, key, F.col("tokens"), accepted), key, "left").select(*key, spaced_form("text", "repairs").alias("form"))
+
+
+@F.pandas_udf(StringType())
+def spaced_form(text: pd.Series, repairs: pd.Series) -> pd.Series:
+    out = []
+    for t, r in zip(text, repairs):
+        if t is None:
+            out.append(None)
+            continue
+        known, t = dict(r) if r is not None else {}, base_form(t)
+        out.append(unicodedata.normalize("NFC", TOKEN.sub(lambda m: known.get(m[0], m[0]), t) if known else t).strip())
+    return pd.Series(out, dtype=object)
+
+
 def _edges(quote: str) -> list[str]:
     found = TOKEN.findall(quote)
     return [found[0], found[-1]] if found else []

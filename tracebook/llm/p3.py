@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracebook.functions.text import without_whitespace
-from tracebook.llm.lookalike import accepted_repairs, alike_at_most, base_and_tokens, contained, one_form, vocabulary, with_repairs
+from tracebook.llm.lookalike import accepted_repairs, alike_at_most, base_and_tokens, contained, one_form, readable_forms, vocabulary, with_repairs
 from tracebook.sources.tables import stage, table
 
 
@@ -33,3 +33,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name = pairs.select(F.lit("kp.name").alias("field"), F.col("a.kp_id").alias("key_a"), F.col("b.kp_id").alias("key_b"))
     held = quotes.join(with_repairs(quotes, ["row"], F.col("tokens"), accepted), "row", "left").filter(contained("q", "p", "repairs"))
     return by_name.union(held.select(F.lit("evidence.quote"), "evidence_id", "page")).distinct()
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, key, form: all page texts, quotes and names in the one form."""
+    parts = [
+        table(spark, sf_dir, "pages").select(F.lit("pages.text").alias("field"), F.concat("file_id", F.lit("#"), "page_no").alias("key"), "text"),
+        table(spark, sf_dir, "evidence").select(F.lit("evidence.quote"), "evidence_id", "quote"),
+        table(spark, sf_dir, "kp").select(F.lit("kp.name"), "kp_id", "name"),
+    ]
+    return readable_forms(parts[0].union(parts[1]).union(parts[2]), ["field", "key"])

@@ -200,7 +200,7 @@ def _paired(df: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, same & (F.col("a.grp") != F.col("b.grp")) & (F.col("a.key") < F.col("b.key")))
 
 
-def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phrases_per_shard: int = 50_000, hot: int = 2_000) -> DataFrame:
+def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phrases_per_shard: int = 50_000, hot: int = 200) -> DataFrame:
     """key_a, key_b (key_a < key_b): the records of different groups that share
     `length` or more consecutive characters, whitespace (space, tab, CR, LF)
     left out.
