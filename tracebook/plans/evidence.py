@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracebook.functions.links import statements
 from tracebook.functions.numbers import canonical_numbers, number_appears
 from tracebook.functions.text import first_number, match_form, plain_form
 from tracebook.operators.merging import differing_numbers, last_by_key, longest_match, next_index, representatives, stratified, upsert
@@ -117,13 +118,21 @@ def evidence_gaps(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("gap", gap).groupBy("kp_id").agg(F.count(F.lit(1)).alias("n_quotes"), F.date_format(F.min("at"), "yyyy-MM-dd HH:mm:ss").alias("first_at"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap_s"))
 
 
-QUERIES = {f.__name__: f for f in (quote_tier_ledger, quote_tier_full, quote_confidence, quote_transition, number_missing, number_check_units, claim_sources, dedup_representative, numeric_differences, stratified_sample, name_similarity, next_kp_index, evidence_last_by_key, upsert_by_run, reference_works, evidence_gaps)}
+def claim_statements(spark: SparkSession, d: str) -> DataFrame:
+    """kp_id, id, kind, text: the definition, numbers and note of every claim, one by one."""
+    kp = table(spark, d, "kp").select("kp_id", F.explode(statements(F.col("definition"), F.col("numbers"), F.col("note"))).alias("s"))
+    return kp.select("kp_id", "s.*").distinct()
+
+
+QUERIES = {f.__name__: f for f in (claim_statements, quote_tier_ledger, quote_tier_full, quote_confidence, quote_transition, number_missing, number_check_units, claim_sources, dedup_representative, numeric_differences, stratified_sample, name_similarity, next_kp_index, evidence_last_by_key, upsert_by_run, reference_works, evidence_gaps)}
 
 _RANK = "CASE {} WHEN 'exact' THEN 3 WHEN 'partial' THEN 2 WHEN 'fabricated' THEN 1 WHEN 'not_found' THEN 0 END"
 _CANON = r"list_transform(regexp_extract_all({}, '[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?'), lambda x: regexp_replace(CASE WHEN contains(x, '.') THEN regexp_replace(regexp_replace(replace(x, ',', ''), '0+$', ''), '\.$', '') ELSE replace(x, ',', '') END, '^0+([0-9])', '\1'))"
 _NUMS = "array_to_string(list_sort({}), chr(31))"
 
 ORACLE_SQL = {
+    "claim_statements": """SELECT DISTINCT kp_id, 'definition' AS id, 'definition' AS kind, coalesce(definition, '') AS text FROM kp
+      UNION ALL SELECT DISTINCT kp_id, 'number-' || i, 'number', x FROM (SELECT kp_id, unnest(numbers) AS x, generate_subscripts(numbers, 1) AS i FROM kp) UNION ALL SELECT DISTINCT kp_id, 'note', 'note', note FROM kp WHERE trim(note) <> ''""",
     "quote_tier_ledger": f"WITH {LEDGER} SELECT * FROM ledger",
     "quote_confidence": f"WITH {LEDGER} SELECT kp_id, CASE WHEN bool_and(tier = 'exact') THEN 'A' WHEN bool_or(tier IN ('exact', 'partial')) THEN 'B' ELSE 'C' END AS confidence, count(*) AS n FROM ledger WHERE kp_id IS NOT NULL GROUP BY kp_id",
     "quote_transition": f"WITH {LEDGER} SELECT before, tier, count(*) AS n, CASE WHEN before IS NULL THEN 'new' WHEN {_RANK.format('tier')} > {_RANK.format('before')} THEN 'raised' WHEN {_RANK.format('tier')} < {_RANK.format('before')} THEN 'lowered' ELSE 'same' END AS change FROM ledger GROUP BY before, tier",
