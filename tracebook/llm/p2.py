@@ -6,23 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracebook.functions.text import without_whitespace
+from tracebook.llm.components import grouped
 from tracebook.llm.minmax_hash import expand_pairs, near_duplicate_pairs
 from tracebook.operators.courses import resolve_course
-from tracebook.sources.tables import table
+from tracebook.sources.tables import stage, table
 
 THRESHOLD, SIZE = 0.6, 4
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kp_id_a, kp_id_b: near duplicates of one resolved course. A course that
+def similar_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of texts and who holds them, of all knowledge points. A course that
     resolves neither by its spelling nor by course_id is in no pair; texts of
     fewer than four characters have no substring to share and are in none."""
     kp = resolve_course(table(spark, sf_dir, "kp").select("kp_id", "course", "course_id", "name", "definition"), table(spark, sf_dir, "courses"), ["course", "course_id"])
     text = without_whitespace(F.lower(F.concat(F.coalesce("name", F.lit("")), F.coalesce("definition", F.lit("")))))
-    pairs, members = near_duplicate_pairs(kp, key="kp_id", text=text, block=F.col("resolved_course"), unit="char", size=SIZE, threshold=THRESHOLD)
+    return near_duplicate_pairs(kp, key="kp_id", text=text, block=F.col("resolved_course"), unit="char", size=SIZE, threshold=THRESHOLD)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kp_id_a, kp_id_b: near duplicates of one resolved course."""
+    pairs, members = similar_points(spark, sf_dir)
     return expand_pairs(pairs, members).select(F.col("key_a").alias("kp_id_a"), F.col("key_b").alias("kp_id_b"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kp_id, group_key, n_links: one row per knowledge point and the group it belongs to."""
+    pairs, members = similar_points(spark, sf_dir)
+    return grouped(stage(pairs, "pairs"), members).withColumnRenamed("key", "kp_id")
+
+
 P2_FOUND_SQL = """
 WITH names AS (
   SELECT DISTINCT lower(regexp_replace(n, '[ \\t\\r\\n]', '', 'g')) AS k, course_id FROM (SELECT course_id, unnest(list_concat([course_id, name], coalesce(aliases, []))) AS n FROM courses)
