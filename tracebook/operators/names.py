@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,10 +12,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf(DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """1 where one name holds the other, else the ratio of matching blocks."""
-    return pd.Series([1.0 if x in y or y in x else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+def most_matching(a: Counter, b: Counter, size: int) -> float:
+    """An upper bound of the characters that two names of together `size`
+    characters can match in blocks. With M matching characters at most
+    size - 2 M + 1 blocks are possible, each of which has one bigram less than
+    characters: so 3 M - size - 1 bigrams are in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = sum(min(n, b[g]) for g, n in a.items() if g in b)
+    return (common + size + 1) / 3
+
+
+def block_ratio(threshold: float):
+    """1 where one name holds the other, else the ratio of matching blocks; 0
+    where bigrams show that it is under the threshold."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        held: dict[str, Counter] = {}
+
+        def grams(t: str) -> Counter:
+            if t not in held:
+                held[t] = Counter(map("".join, pairwise(t)))
+            return held[t]
+
+        out, matcher = [], SequenceMatcher()
+        for x, y in zip(a, b):
+            size = len(x) + len(y)
+            if x in y or y in x:
+                out.append(1.0)
+            elif 2 * most_matching(grams(x), grams(y), size) < threshold * size:
+                out.append(0.0)
+            else:
+                if matcher.b != y:
+                    matcher.set_seq2(y)
+                matcher.set_seq1(x)
+                out.append(matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return ratio
 
 
 def similar_names(items: DataFrame, *, group: str, name: str, threshold: float = 0.82) -> DataFrame:
@@ -48,5 +85,5 @@ def similar_names(items: DataFrame, *, group: str, name: str, threshold: float =
     letters = names.select("g", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("gram")).filter("gram <> ''")
     single = names.filter("length(name) = 1").select("g", F.col("name").alias("gram")).join(letters, ["g", "gram"]).filter("name <> gram")
     held = held.union(single.select("g", F.least("name", "gram"), F.greatest("name", "gram")))
-    pairs = near.union(held).distinct().withColumn("ratio", block_ratio("x", "y")).filter(F.col("ratio") >= threshold)
+    pairs = near.union(held).distinct().withColumn("ratio", block_ratio(threshold)("x", "y")).filter(F.col("ratio") >= threshold)
     return pairs.select(F.col("g").alias(group), F.col("x").alias("name_a"), F.col("y").alias("name_b"), F.round("ratio", 6).alias("ratio"))
