@@ -289,8 +289,9 @@ def page_faults(pages: DataFrame, skeleton: DataFrame) -> DataFrame:
 
     words = stage(word_corrections(counts["word"]), "words")
     han = stage(ideograph_corrections(counts["char"], counts["han"]), "han")
-    # at most as many as there are ideographs
-    suspects = {c for r in han.toLocalIterator() for c, d in zip(r["word"], r["fixed"]) if c != d}
+    # single characters, so at most as many as there are ideographs
+    wrong_of = F.when(F.left("word", F.lit(1)) != F.left("fixed", F.lit(1)), F.left("word", F.lit(1))).otherwise(F.right("word", F.lit(1)))
+    suspects = {r["x"] for r in han.select(wrong_of.alias("x")).distinct().collect()}
     tokens = texts.filter("ocr").mapInPandas(_tokens(suspects), "file_id string, page_no int, line_no int, word string, cut int")
     fixes = words.union(han.select("word", "fixed", F.lit(0).alias("place")))
     misread = tokens.join(broadcast_if_small(fixes, 200_000), "word").withColumn("line_no", F.when((F.col("cut") > 0) & (F.col("place") > F.col("cut")), F.col("line_no") + 1).otherwise(F.col("line_no")))
