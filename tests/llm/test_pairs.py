@@ -140,3 +140,29 @@ def test_items_against_brute_force(spark):
         assert {(r["doc_key"], r["item_key"]) for r in found.collect()} == want
     assert tiled_items(a, b.limit(0), doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").count() == 0
     assert all(2 * seed_size(r) - 1 <= max(r, 1) + (r < 9) for r in range(1, 400))
+
+
+def test_items_in_pieces_against_brute_force(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefghijk .,") for _ in range(n))
+    items = [(i, text(rng.randint(60, 300))) for i in range(30)] + [(90, "ab"), (91, text(20))]
+    docs = [(d, text(rng.randint(0, 200))) for d in range(20)]
+    for d in range(20, 120):
+        n = letters_and_digits(items[d % 30][1])
+        size = rng.randint(6, max(7, len(n) // 4 - 1))
+        pieces = [n[i : i + size] for i in range(0, len(n), size)]
+        docs.append((d, "".join(text(rng.randint(0, 40)) + "!" + x + "z" for x in rng.sample(pieces, rng.randint(1, len(pieces))))))
+    want = {}
+    for d, t in docs:
+        for i, s in items:
+            n = letters_and_digits(s)
+            half = -(-len(n) // 2)
+            laid = [x[2] for x in tiles(letters_and_digits(t), n, max(1, min(12, (half + 1) // 2)))]
+            if laid and (sum(laid) >= half or 2 * max(laid) >= half):
+                want[str(d), str(i)] = (max(laid), sum(laid), len(laid))
+    short = [k for k, v in want.items() if 4 * v[0] < len(letters_and_digits(dict(items)[int(k[1])]))]
+    assert len(short) > 15
+    a, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    for block in (10_000, 7):
+        found = tiled_items(a, b, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text", block=block)
+        assert {(r["doc_key"], r["item_key"]): (r["longest"], r["covered"], r["tiles"]) for r in found.collect()} == want

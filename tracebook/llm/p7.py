@@ -12,7 +12,8 @@ SHARE = 0.5
 
 
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, item_length, longest, covered, tiles of each document and item that meet."""
+    """doc_id, item_id, item_length, longest, covered, tiles of each document and item of which
+    half is covered, in whatever order, or a quarter by one tile."""
     met = tiled_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text", share=SHARE)
     return met.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").cast("long").alias("item_id"), "item_length", "longest", "covered", "tiles")
 

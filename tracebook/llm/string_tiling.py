@@ -1,12 +1,12 @@
 """Held-out items inside documents, by greedy string tiling.
 
 Documents and items are reduced to their letters and digits. The seeds of an
-item are all its substrings of K characters, K chosen so that any run of the
-length that matters holds a whole aligned block of K; a document offers its
-aligned blocks. Where a seed meets a block and the match around it is long
-enough, the pair is tiled: the longest matches between unmarked characters are
-found by running Karp-Rabin over substrings, marked, and the search repeated,
-so passages that were moved about still add up in the coverage.
+item are all its substrings as long as the shortest tile; a document offers its
+own at every place. Where the seeds that a document holds cover enough of an
+item together, or half of that without a break, the pair is tiled: the longest
+matches between unmarked characters are found by running Karp-Rabin over
+substrings, marked, and the search repeated, so passages that were moved about
+or cut up still add up in the coverage.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ def seed_size(run: int) -> int:
     return k
 
 
+def shortest_tile(run: int, least: int) -> int:
+    """`least` characters, and never more than half the run that matters."""
+    return max(1, min(least, (run + 1) // 2))
+
+
 def prefix_hashes(codes: np.ndarray, pows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, "u8"), np.cumsum((codes + np.uint64(1)) * pows[: len(codes)], dtype="u8")])
 
@@ -85,61 +90,95 @@ def tiles(doc: str, item: str, least: int) -> list[tuple[int, int, int]]:
                 out.append((i, j, best))
 
 
+class Grams:
+    """The substrings of one size of several items: distinct hashes, ascending,
+    and where each is. Places are counted through all the items in turn."""
+
+    def __init__(self, size: int, items: list[tuple[str, int]]):
+        self.size = size
+        pows = powers(max(len(t) for t, _ in items))
+        found, places, owner, first = [], [], [], 0
+        for t, n in items:
+            total = prefix_hashes(codes_of(t), pows[0])
+            found.append(mix((total[size:] - total[:-size]) * pows[1][: len(t) - size + 1]))
+            places.append(np.arange(first, first + len(found[-1])))
+            owner.append(np.full(len(t), n, "i4"))
+            first += len(t)
+        h, self.owner = np.concatenate(found), np.concatenate(owner)
+        order = np.argsort(h, kind="stable")
+        self.places = np.concatenate(places)[order]
+        self.hashes, begins = np.unique(h[order], return_index=True)
+        self.begins = np.append(begins, len(h))
+
+    def table(self) -> tuple[np.uint64, np.ndarray]:
+        """By the upper bits of a hash whether it can be among the hashes."""
+        bits = min(26, max(10, (16 * len(self.hashes)).bit_length()))
+        shift = np.uint64(64 - bits)
+        may = np.zeros(1 << bits, bool)
+        may[(self.hashes >> shift).astype("i8")] = True
+        return shift, may
+
+
 class Seeds:
-    """The seeds of one block of items, sorted for look-up."""
+    """The seeds of one block of items: all substrings as long as the shortest
+    tile, by that length."""
 
-    def __init__(self, items: list[tuple[str, str]], share: float):
+    def __init__(self, items: list[tuple[str, str]], share: float, least: int):
         self.items = [(k, t, -(-int(len(t) * share * 1e6) // 1_000_000)) for k, t in items if t]
-        by_size: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        pows = powers(max([len(t) for _, t, _ in self.items], default=1))
+        self.runs = np.array([run for *_, run in self.items], "i8")
+        by_size: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for n, (_, t, run) in enumerate(self.items):
-            k = seed_size(run)
-            total = prefix_hashes(codes_of(t), pows[0])
-            by_size[k].append((mix((total[k:] - total[:-k]) * pows[1][: len(t) - k + 1]), n))
-        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k, found in by_size.items():
-            h = np.concatenate([x for x, _ in found])
-            which = np.concatenate([np.full(len(x), n) for x, n in found])
-            at = np.concatenate([np.arange(len(x)) for x, _ in found])
-            order = np.argsort(h, kind="stable")
-            self.of[k] = h[order], which[order], at[order]
-
-
-def meetings(texts: list[str], seeds: Seeds, pows: tuple[np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
-    """(text number, item number) of the pairs whose match around some seed is
-    at least half as long as the run that matters."""
+            by_size[shortest_tile(run, least)].append((t, n))
+        self.of = [Grams(size, found) for size, found in by_size.items()]
+
+
+def meetings(texts: list[str], seeds: Seeds, tables: list[tuple[np.uint64, np.ndarray]], pows: tuple[np.ndarray, np.ndarray], at_once: int = 2_000_000) -> set[tuple[int, int]]:
+    """(text number, item number) of the pairs that can be kept: the seeds that
+    a text holds cover the run that matters of the item, or half of it without
+    a break. No tiling covers more than all the seeds do."""
     whole = "".join(texts)
     starts = np.cumsum([0, *map(len, texts)])
     total = prefix_hashes(codes_of(whole), pows[0])
     out: set[tuple[int, int]] = set()
-    for k, (h, which, at) in seeds.of.items():
-        blocks = np.concatenate([np.arange(s, e - k + 1, k) for s, e in zip(starts[:-1], starts[1:])]) if len(texts) else np.empty(0, int)
-        mine = mix((total[blocks + k] - total[blocks]) * pows[1][blocks])
-        low, high = np.searchsorted(h, mine), np.searchsorted(h, mine, side="right")
-        for b in np.flatnonzero(high > low).tolist():
-            p = int(blocks[b])
-            t = int(np.searchsorted(starts, p, side="right")) - 1
-            doc, j = texts[t], p - int(starts[t])
-            for s in range(low[b], high[b]):
-                n, i = int(which[s]), int(at[s])
-                if (t, n) in out:
-                    continue
-                _, item, run = seeds.items[n]
-                a = 0
-                while a < i and a < j and item[i - a - 1] == doc[j - a - 1]:
-                    a += 1
-                z = 0
-                while i + z < len(item) and j + z < len(doc) and item[i + z] == doc[j + z]:
-                    z += 1
-                if z >= k and 2 * (a + z) >= run:
-                    out.add((t, n))
+    for g, (shift, may) in zip(seeds.of, tables):
+        k = g.size
+        if len(whole) < k:
+            continue
+        h = mix((total[k:] - total[:-k]) * pows[1][: len(whole) - k + 1])
+        p = np.flatnonzero(may[(h >> shift).astype("i8")])
+        slot = np.minimum(np.searchsorted(g.hashes, h[p]), len(g.hashes) - 1)
+        t = np.searchsorted(starts, p, side="right") - 1
+        real = (g.hashes[slot] == h[p]) & (p + k <= starts[t + 1])
+        held = np.unique(t[real] * len(g.hashes) + slot[real])
+        if not len(held):
+            continue
+        t, slot = held // len(g.hashes), held % len(g.hashes)
+        many = g.begins[slot + 1] - g.begins[slot]
+        before = np.concatenate([[0], np.cumsum(many)])
+        edges = np.append(np.flatnonzero(np.diff(t, prepend=-1)), len(t))
+        low = 0
+        while low < len(edges) - 1:  # whole texts, about `at_once` places of items together
+            high = max(low + 1, int(np.searchsorted(before[edges], before[edges[low]] + at_once, side="right")) - 1)
+            part = slice(edges[low], edges[high])
+            n = many[part]
+            of = np.repeat(g.begins[slot[part]] - (before[part] - before[part.start]), n) + np.arange(n.sum())
+            place = np.sort(np.repeat(t[part], n) * len(g.owner) + g.places[of])
+            pair = place // len(g.owner) * len(seeds.items) + g.owner[place % len(g.owner)]
+            step = np.diff(place, append=place[-1] + k)
+            new = np.flatnonzero(np.diff(pair, prepend=-1))
+            covered = np.add.reduceat(np.minimum(step, k), new)
+            breaks = np.flatnonzero(np.concatenate([[True], (step[:-1] != 1) | (pair[1:] != pair[:-1])]))
+            unbroken = np.diff(breaks, append=len(place)) + k - 1
+            enough = np.concatenate([pair[new][covered >= seeds.runs[pair[new] % len(seeds.items)]], pair[breaks][2 * unbroken >= seeds.runs[pair[breaks] % len(seeds.items)]]])
+            out.update((int(x) // len(seeds.items), int(x) % len(seeds.items)) for x in np.unique(enough))
+            low = high
     return out
 
 
 def _tiled(shared, least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds: Seeds = shared.value
-        pows = powers(CHUNK)
+        tables, pows = [g.table() for g in seeds.of], powers(CHUNK)
         for f in frames:
             keys = f["key"].tolist()
             texts = [letters_and_digits(t) for t in f["text"]]
@@ -151,10 +190,12 @@ def _tiled(shared, least: int):
                     held += len(texts[last])
                     last += 1
                 some = pows if held <= CHUNK else powers(held)
-                for t, n in sorted(meetings(texts[first:last], seeds, some)):
+                for t, n in sorted(meetings(texts[first:last], seeds, tables, some)):
                     key, item, run_length = seeds.items[n]
-                    laid = tiles(texts[first + t], item, max(1, min(least, (run_length + 1) // 2)))
-                    out.append((keys[first + t], key, len(item), max(x[2] for x in laid), sum(x[2] for x in laid), len(laid)))
+                    laid = tiles(texts[first + t], item, shortest_tile(run_length, least))
+                    longest, covered = max((x[2] for x in laid), default=0), sum(x[2] for x in laid)
+                    if covered >= run_length or 2 * longest >= run_length:
+                        out.append((keys[first + t], key, len(item), longest, covered, len(laid)))
                 first = last
             yield pd.DataFrame(out, columns=["doc_key", "item_key", "item_length", "longest", "covered", "tiles"])
 
@@ -163,11 +204,12 @@ def _tiled(shared, least: int):
 
 def tiled_items(documents: DataFrame, items: DataFrame, *, doc_key: str, doc_text: str, item_key: str, item_text: str, share: float = 0.5, least: int = 12, block: int = 20_000) -> DataFrame:
     """doc_key, item_key, item_length, longest, covered, tiles: the pairs of a
-    document and an item of which the document holds a run of at least
-    `share` / 2 of its letters and digits, with the longest tile, the
-    characters of the item covered by tiles of `least` or more, and their number.
+    document and an item of which tiles cover at least `share` of its letters
+    and digits, in whatever order, or one tile `share` / 2; with the longest
+    tile, the characters of the item covered by tiles of `least` or more (half
+    of `share` in shorter items), and their number.
 
-    No pair with an unbroken run of `share` of the item is lost. Items are the
+    No such pair is lost. Items are the
     stated query set: they go to the workers in blocks of `block`, one scan of
     the documents each, so nothing unbounded is broadcast; documents are not
     shuffled. Null keys and texts are left out, as are items without a letter
@@ -178,7 +220,7 @@ def tiled_items(documents: DataFrame, items: DataFrame, *, doc_key: str, doc_tex
     queue = (((r["key"], letters_and_digits(r["text"])) for r in items.select(F.col(item_key).cast("string").alias("key"), F.col(item_text).alias("text")).filter("key is not null and text is not null").distinct().toLocalIterator()))
     out = None
     while part := list(islice(queue, block)):
-        shared = spark.sparkContext.broadcast(Seeds(part, share))
+        shared = spark.sparkContext.broadcast(Seeds(part, share, least))
         one = docs.mapInPandas(_tiled(shared, least), "doc_key string, item_key string, item_length int, longest int, covered int, tiles int")
         out = one if out is None else out.union(one)
     if out is None:
