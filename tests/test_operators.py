@@ -144,3 +144,16 @@ def test_search(spark):
     assert [r["page_no"] for r in search(df, ["SMOKE", "fire"]).collect()] == [1]
     assert sorted(r["page_no"] for r in search(df, ["fire", "only"], match_any=True).collect()) == [1, 2]
     assert "【Smoke】 and 【fire】" in search(df, ["smoke", "fire"]).first()["snippet"]
+
+
+def test_name_similarity_of_all_points_of_a_course(spark, tmp_path):
+    from tracebook.plans.evidence import name_similarity
+
+    spark.createDataFrame([("EC10", "Fire Dynamics", ["fire dyn"])], "course_id string, name string, aliases array<string>").write.parquet(str(tmp_path / "courses.parquet"))
+    kp = [
+        ("EC10", None, "plume rise"), (None, "fire  Dynamics", "plume rise 2"), ("ec 10", "x", "plume rises"),
+        (None, None, "duct leak"), (None, " ", "duct leaks"), (None, "other", "duct leakage"), (None, "other", "a duct leakage"), ("EC99", None, "riser"), ("EC99", "other", "risers"),
+    ]
+    spark.createDataFrame(kp, "course_id string, course string, name string").write.parquet(str(tmp_path / "kp.parquet"))
+    got = {(r["course_id"], r["name_a"], r["name_b"]) for r in name_similarity(spark, str(tmp_path)).collect()}
+    assert got == {("EC10", "plume rise", "plume rise 2"), ("EC10", "plume rise", "plume rises"), ("EC10", "plume rise 2", "plume rises"), ("未分类", "duct leak", "duct leaks"), ("other", "a duct leakage", "duct leakage"), ("EC99", "riser", "risers")}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracebook.functions.links import statements
 from tracebook.functions.numbers import canonical_numbers, number_appears
 from tracebook.functions.text import first_number, match_form, plain_form
+from tracebook.operators.courses import resolve_course
 from tracebook.operators.merging import differing_numbers, last_by_key, longest_match, next_index, representatives, stratified, upsert
 from tracebook.operators.names import similar_names
 from tracebook.operators.quotes import confidence, quote_ledger, transitions
@@ -84,7 +85,11 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return similar_names(table(spark, d, "kp"), group="course_id", name="name")
+    """course_id, name_a, name_b, ratio within resolved courses. What resolves
+    to none is grouped by what it states, and together where it states nothing."""
+    kp = resolve_course(table(spark, d, "kp").select("course_id", "course", "name"), table(spark, d, "courses"), ["course_id", "course"])
+    stated = [F.when(F.trim(c) != "", F.trim(c)) for c in ("course_id", "course")]
+    return similar_names(kp.select(F.coalesce("resolved_course", *stated, F.lit("未分类")).alias("course_id"), "name"), group="course_id", name="name")
 
 
 def next_kp_index(spark: SparkSession, d: str) -> DataFrame:
