@@ -157,3 +157,15 @@ def test_name_similarity_of_all_points_of_a_course(spark, tmp_path):
     spark.createDataFrame(kp, "course_id string, course string, name string").write.parquet(str(tmp_path / "kp.parquet"))
     got = {(r["course_id"], r["name_a"], r["name_b"]) for r in name_similarity(spark, str(tmp_path)).collect()}
     assert got == {("EC10", "plume rise", "plume rise 2"), ("EC10", "plume rise", "plume rises"), ("EC10", "plume rise 2", "plume rises"), ("未分类", "duct leak", "duct leaks"), ("other", "a duct leakage", "duct leakage"), ("EC99", "riser", "risers")}
+
+
+def test_numbers_of_claims_whose_quotes_cite_no_page(spark, tmp_path):
+    from tracebook.plans.evidence import number_check_units
+
+    kp = [("cited", "f", "1", "1"), ("lost", "f", "p. 2", "3"), ("label", "f", None, None), ("bare", "f", "2", None), ("none", "g", "1", "2"), ("wide", "f", "1", "900000000")]
+    spark.createDataFrame([(k, ["7 m", "8 m"], f, a, b) for k, f, a, b in kp], "kp_id string, numbers array<string>, source_file string, page_label_start string, page_label_end string").write.parquet(str(tmp_path / "kp.parquet"))
+    spark.createDataFrame([("cited", "f", 1, "1"), ("cited", "f", 99, "99"), ("lost", "f", 99, None), ("label", "f", None, "3"), ("none", "g", 1, "1")], "kp_id string, source_file string, page_no int, page_label string").write.parquet(str(tmp_path / "evidence.parquet"))
+    spark.createDataFrame([("f", 1, "8 m"), ("f", 2, "none"), ("f", 3, "7 m")], "source_file string, page_no int, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r["kp_id"], r["number"]): r["ok"] for r in number_check_units(spark, str(tmp_path)).collect()}
+    right = {("cited", "8 m"), ("lost", "7 m"), ("label", "7 m"), ("wide", "7 m"), ("wide", "8 m")}
+    assert got == {(k, n): (k, n) in right for k, *_ in kp for n in ("7 m", "8 m")}

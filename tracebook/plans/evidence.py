@@ -11,6 +11,7 @@ from tracebook.functions.text import first_number, match_form, plain_form
 from tracebook.operators.courses import resolve_course
 from tracebook.operators.merging import differing_numbers, last_by_key, longest_match, next_index, representatives, stratified, upsert
 from tracebook.operators.names import similar_names
+from tracebook.operators.pages import expand_ranges
 from tracebook.operators.quotes import confidence, quote_ledger, transitions
 from tracebook.plans.sqltext import LEDGER
 from tracebook.sources.tables import table
@@ -33,11 +34,21 @@ def quote_transition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    """kp_id, number, body: each stated number of a claim with each page that its quotes cite."""
-    kp = table(spark, d, "kp").select("kp_id", F.explode("numbers").alias("number")).distinct()
-    cited = table(spark, d, "evidence").select("kp_id", "source_file", "page_no").distinct()
-    bodies = table(spark, d, "pages").select("source_file", "page_no", F.coalesce("text", F.lit("")).alias("body")).dropDuplicates(["source_file", "page_no"])
-    return kp.join(cited, "kp_id").join(bodies, ["source_file", "page_no"])
+    """kp_id, number, body: each stated number of a claim with each page that
+    its quotes cite. If none of those exists, the pages from the first to the
+    last label of the claim and its quotes, in its file, count; if there is none
+    either, the body is empty."""
+    points, evidence, pages = (table(spark, d, t) for t in ("kp", "evidence", "pages"))
+    kp = points.filter("kp_id is not null").select("kp_id", F.explode("numbers").alias("number")).distinct()
+    bodies = pages.select("source_file", "page_no", F.coalesce("text", F.lit("")).alias("body")).dropDuplicates(["source_file", "page_no"])
+    keys = bodies.select("source_file", "page_no", F.lit(None).cast("string").alias("file_id"), F.length("body").alias("size"))
+    cited = evidence.select("kp_id", "source_file", "page_no").distinct().join(keys.select("source_file", "page_no"), ["source_file", "page_no"], "left_semi").select("kp_id", "source_file", "page_no")
+    rest = points.join(kp, "kp_id", "left_semi").join(cited, "kp_id", "left_anti")
+    quoted = evidence.select("kp_id", first_number(F.col("page_label")).alias("n")).groupBy("kp_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ends = [first_number(F.col("page_label_start")), first_number(F.col("page_label_end"))]
+    ranges = rest.join(quoted, "kp_id", "left").select("kp_id", "source_file", F.least(*ends, "low").alias("page_start"), F.greatest(*ends, "high").alias("page_end")).distinct()
+    found = cited.union(expand_ranges(ranges, keys).select("kp_id", "source_file", "page_no").distinct())
+    return kp.join(found.join(bodies, ["source_file", "page_no"]), "kp_id", "left").select("kp_id", "number", F.coalesce("body", F.lit("")).alias("body"))
 
 
 def number_missing(spark: SparkSession, d: str) -> DataFrame:
