@@ -169,3 +169,12 @@ def test_numbers_of_claims_whose_quotes_cite_no_page(spark, tmp_path):
     got = {(r["kp_id"], r["number"]): r["ok"] for r in number_check_units(spark, str(tmp_path)).collect()}
     right = {("cited", "8 m"), ("lost", "7 m"), ("label", "7 m"), ("wide", "7 m"), ("wide", "8 m")}
     assert got == {(k, n): (k, n) in right for k, *_ in kp for n in ("7 m", "8 m")}
+
+
+def test_claim_sources_of_wide_ranges(spark, tmp_path):
+    from tracebook.plans.evidence import claim_sources
+
+    kp = [("narrow", "f", "2", "3"), ("wide", "f", "1", "p. 2500"), ("beyond", "f", "3", "999999999"), ("back", "f", "3", "2"), ("open", "f", "3", None)]
+    spark.createDataFrame(kp, "kp_id string, source_file string, page_label_start string, page_label_end string").write.parquet(str(tmp_path / "kp.parquet"))
+    spark.createDataFrame([("f", 1, "a"), ("f", 2, "bb"), ("f", 3, None), ("f", 2500, "cccc"), ("f", 2501, "d"), ("g", 2, "e")], "source_file string, page_no int, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert rows(claim_sources(spark, str(tmp_path)).select("kp_id", "pages", "chars")) == [("beyond", 3, 5), ("narrow", 2, 2), ("wide", 4, 7)]

@@ -70,11 +70,11 @@ def number_check_units(spark: SparkSession, d: str) -> DataFrame:
 
 def claim_sources(spark: SparkSession, d: str) -> DataFrame:
     """kp_id, pages, chars: the pages from the first to the last page label of a
-    claim, in its file. Label ranges are expanded to pages, not compared."""
-    kp = table(spark, d, "kp").select("kp_id", "source_file", first_number(F.col("page_label_start")).alias("a"), first_number(F.col("page_label_end")).alias("b")).filter("a is not null and b is not null and b between a and a + 2000").distinct()
-    sizes = table(spark, d, "pages").select("source_file", "page_no", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct()
-    wide = kp.select("kp_id", "source_file", F.explode(F.sequence("a", "b")).alias("page_no"))
-    return wide.join(sizes, ["source_file", "page_no"]).groupBy("kp_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("chars"))
+    claim, in its file. Label ranges are cut to the pages of the file and
+    expanded, not compared."""
+    kp = table(spark, d, "kp").select("kp_id", "source_file", first_number(F.col("page_label_start")).alias("page_start"), first_number(F.col("page_label_end")).alias("page_end")).filter("page_start <= page_end").distinct()
+    sizes = table(spark, d, "pages").select("source_file", "page_no", F.lit(None).cast("string").alias("file_id"), F.coalesce(F.length("text"), F.lit(0)).alias("size")).distinct()
+    return expand_ranges(kp, sizes).groupBy("kp_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("chars"))
 
 
 def dedup_representative(spark: SparkSession, d: str) -> DataFrame:
