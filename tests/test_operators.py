@@ -178,3 +178,16 @@ def test_claim_sources_of_wide_ranges(spark, tmp_path):
     spark.createDataFrame(kp, "kp_id string, source_file string, page_label_start string, page_label_end string").write.parquet(str(tmp_path / "kp.parquet"))
     spark.createDataFrame([("f", 1, "a"), ("f", 2, "bb"), ("f", 3, None), ("f", 2500, "cccc"), ("f", 2501, "d"), ("g", 2, "e")], "source_file string, page_no int, text string").write.parquet(str(tmp_path / "pages.parquet"))
     assert rows(claim_sources(spark, str(tmp_path)).select("kp_id", "pages", "chars")) == [("beyond", 3, 5), ("narrow", 2, 2), ("wide", 4, 7)]
+
+
+def test_similar_names_with_repeated_bigrams(spark):
+    rng = random.Random(5)
+    names = {"ab" * 10, "ab" * 9 + "ac"} | {"".join(rng.choice(["ab", "ab", "ab", "b", "cd"]) for _ in range(rng.randint(5, 16))) for _ in range(70)}
+    whole = ["".join(rng.choice("abcdefgh") for _ in range(220)) for _ in range(4)]
+    for w in whole:  # one name within the other but for one character in fifty-five
+        names |= {w, "".join(c for i, c in enumerate(w) if i % 55), "".join(c + "." * (i % 55 == 0) for i, c in enumerate(w))}
+    df = spark.createDataFrame([("c", n) for n in sorted(names)], "g string, n string")
+    for t in (0.82, 0.9):
+        got = {(r["name_a"], r["name_b"]) for r in similar_names(df, group="g", name="n", threshold=t).collect()}
+        clean = sorted(names)
+        assert got == {(a, b) for i, a in enumerate(clean) for b in clean[i + 1 :] if a in b or b in a or SequenceMatcher(None, a, b).ratio() >= t}

@@ -58,10 +58,12 @@ def similar_names(items: DataFrame, *, group: str, name: str, threshold: float =
     of a group that hold each other or match by `threshold` or more; name_a is
     the smaller.
 
-    A pair is compared only if it can match. Names of n characters that match
-    by t share at least 2n - 1 - (3n)(1 - t)/t bigrams in sum and so one of the
-    rarest bigrams of each (prefix filtering); pairs are joined on those, never
-    all names of a group with each other. Names of one another's parts share
+    A pair is compared only if it can match. A name of n characters shares with
+    one that it matches by t at least n (3t - 2) / (2 - t) - 1 of its n - 1
+    bigrams (the other has t n / (2 - t) characters or more, see most_matching)
+    and so one of the rarest bigrams of each (prefix filtering); pairs are
+    joined on those, never all names of a group with each other. Repeated
+    bigrams count each time, so a prefix of as many distinct ones holds theirs. Names of one another's parts share
     all bigrams of the shorter one; so its rarest bigram is joined with every
     bigram of the longer. Names under six characters are joined on any bigram,
     and a name of one character with the names that have it.
@@ -72,8 +74,8 @@ def similar_names(items: DataFrame, *, group: str, name: str, threshold: float =
     often = grams.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("f"))
     ranked = grams.join(often, ["g", "gram"]).groupBy("g", "name", "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("r"))
     # of n - 1 bigrams at least `need` are in common; so one of the first n - need of either is
-    need = F.floor(F.lit(threshold) * F.col("n") - (F.lit(1.0) - threshold) * 2 / threshold * F.col("n") - 1)
-    first = F.when(F.col("n") < 6, F.size("r")).otherwise(F.least(F.size("r"), F.greatest(F.size("r") - F.greatest(need, F.lit(0)) + 1, F.lit(1)))).cast("int")
+    need = F.floor(F.lit((3 * threshold - 2) / (2 - threshold)) * F.col("n") - 1)
+    first = F.when(F.col("n") < 6, F.size("r")).otherwise(F.least(F.size("r"), F.greatest(F.col("n") - F.greatest(need, F.lit(0)), F.lit(1)))).cast("int")
     cut = ranked.select("g", "name", "n", F.slice("r", 1, first).alias("p"), "r")
     prefix = cut.select("g", "name", "n", F.explode("p.gram").alias("gram"))
     a, b = prefix.alias("a"), prefix.alias("b")
