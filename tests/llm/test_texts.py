@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tracebook.llm import scan_noise as N
 from tracebook.llm.lookalike import accepted_repairs, apply_repairs, base_and_tokens, base_form, one_form, readable_forms, repaired, vocabulary, with_repairs
 from tracebook.llm.mixing import plan_shares, position, prefix_sums
-from tracebook.llm.quality import Vocabulary, jensen_shannon, measure, prose_profiles, text_quality
 from tracebook.llm.splitting import split_oversized
 
 
@@ -62,50 +61,6 @@ def test_splitting(spark):
     assert split_oversized(df.limit(0), keys=["k"], text="t").count() == 0
 
 
-PROSE = "The pump was measured at the gate, while the hall is near the exit. It is assumed that the door of the duct is open."
-VOCAB = Vocabulary("the of and a to in is it that for as with was at by on from this while near".split() + ["的", "在", "与", "如果"])
-
-
-@pytest.mark.parametrize("text,kind", [
-    (PROSE, "prose"), ("Heading\n" + PROSE + "\n- one item\n" + PROSE, "prose"), ("\n".join(f"{i}. pump gate" for i in range(1, 12)), "list"), ("\n".join(["pump rate", "hall width", "duct"] * 1 + ["exit door", "smoke vent", "foam mist"]), "list"),
-    ("a\tb\tc\n" * 1 + "\n".join(f"x{i}\t{i}\tn/a" for i in range(9)), "table"), ("| a | b |\n|---|---|\n" + "\n".join(f"| r{i} | {i} |" for i in range(9)), "table"), ("p,q,r\n" + "\n".join(f"v{i},{i},n/a" for i in range(9)), "table"),
-    ("same line of text\n" * 20, "junk"), ("S p a c e d " * 30, "junk"), ("Home > Menu > Login > Top > Share > " * 6, "junk"), ("/$<|<=@<<@#</~^^/#|=+\n" * 1 + "#^\\%=_+_&<>@*" * 9, "junk"), ("", "junk"), (" \n ", "junk"),
-])
-def test_kinds(text, kind):
-    profiles = prose_profiles([PROSE], VOCAB)
-    if text.strip():
-        assert measure(text, VOCAB, profiles)[-1] == kind
-    else:
-        assert measure(text, VOCAB, profiles)[-1] == "junk"
-
-
-def test_quality_frame(spark):
-    docs = spark.createDataFrame([(1, PROSE, "x"), (2, None, "x"), (3, "", "x"), (4, PROSE * 2000, "x"), (1, PROSE, "x")], "doc_id long, text string, kind string")
-    labels = spark.createDataFrame([(1, "prose"), (9, "list")], "doc_id long, label string")
-    words = spark.createDataFrame([("the",), ("of",), (None,)], "word string")
-    got = {r["doc_id"]: r for r in text_quality(docs, labels, words, key="doc_id", text="text").collect()}
-    assert got[1]["kind"] == "prose" and got[2]["kind"] == got[3]["kind"] == "junk" and got[2]["n_words"] == 0 and got[4]["n_chars"] == len(PROSE) * 2000
-    assert text_quality(docs, labels.limit(0), words.limit(0), key="doc_id", text="text").count() == 5
-    assert text_quality(docs.limit(0), labels, words, key="doc_id", text="text").count() == 0
-    assert jensen_shannon(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and jensen_shannon(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
-
-
-def test_held_out_accuracy():
-    pd = pytest.importorskip("pandas")
-    import os
-
-    d = "/root/testdata/sf0.01"
-    if not os.path.isdir(d):
-        pytest.skip("no test data")
-    docs, labels = pd.read_parquet(f"{d}/documents.parquet").drop_duplicates("doc_id"), pd.read_parquet(f"{d}/doc_labels.parquet")
-    vocab = Vocabulary(pd.read_parquet(f"{d}/common_words.parquet").word.tolist())
-    both = labels.merge(docs, on="doc_id")
-    both = both[both.text.notna()]
-    even, odd = both[both.doc_id % 2 == 0], both[both.doc_id % 2 == 1]
-    profiles = prose_profiles(even[even.label == "prose"].text.tolist(), vocab)
-    assert np.mean([measure(t, vocab, profiles)[-1] == k for t, k in zip(odd.text, odd.label)]) >= 0.95
-
-
 def test_plan_and_positions(spark):
     shares = {x.source: x for x in plan_shares([("a", 0.5, 2), ("b", 0.3, 1), ("none", 0.2, 3), (None, 0.1, 1), ("z", 0.0, 1)], {"a": 1000, "b": 600}, {"a": 1.0, "b": -1.0}, None)}
     assert abs(shares["a"].demand / shares["b"].demand - 5 / 3) < 1e-9 and abs(shares["b"].demand - 600) < 1e-6 and shares["none"].demand == 0

@@ -9,7 +9,7 @@ from tracebook.sources.tables import table
 
 
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the figures of every document; kind is its nearest structural profile."""
+    """doc_id and the figures of every document; kind is that of its nearest profile."""
     documents, labels, words = (table(spark, sf_dir, t) for t in ("documents", "doc_labels", "common_words"))
     return text_quality(documents, labels, words, key="doc_id", text="text").distinct()
 
