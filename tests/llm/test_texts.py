@@ -7,39 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracebook.llm import scan_noise as N
-from tracebook.llm.lookalike import accepted_repairs, apply_repairs, base_and_tokens, base_form, one_form, readable_forms, repaired, vocabulary, with_repairs
 from tracebook.llm.mixing import plan_shares, position, prefix_sums
 from tracebook.llm.splitting import split_oversized
 
 
-def test_base_form_keeps_what_counts():
-    assert base_form("ﬁre　ＡＢ１​­x‑y") == "fire AB1x-y"
-    assert base_form("Rôle") == "Rôle" != base_form("Role") and base_form("m²") != base_form("m2")
-    assert base_form("⽕ 度") == "火 度" and base_form("ϲold") == "cold"
-
-
-def test_repairs_only_mixed_tokens():
-    assert repaired("cаnopy") == "canopy" and repaired("Т") == "T" and repaired("canopy") is None
-    assert repaired("при") is None  # letters without a look-alike
-    assert apply_repairs("cаnopy bеd", {"cаnopy": "canopy"}) == "canopybеd"
-
-
-def test_one_form_by_the_vocabulary(spark):
-    df = spark.createDataFrame([("1", "cаnopy еxit"), ("2", "zqxаv"), ("3", None), ("4", "")], "id string, name string")
-    named = df.select("id", "name", base_and_tokens("name").alias("b")).select("id", "name", "b.*")
-    words = vocabulary([spark.createDataFrame([("the canopy exit",), (None,)], "text string")])
-    accepted = accepted_repairs(named.select(F.explode("tokens").alias("token")), words)
-    got = named.join(with_repairs(named, ["id"], F.col("tokens"), accepted), "id", "left").select("id", one_form("base", "repairs").alias("f")).collect()
-    assert {r["id"]: r["f"] for r in got} == {"1": "canopyexit", "2": "zqxаv", "3": None, "4": ""}
-
-
-def test_readable_forms(spark):
-    rows = [("a", "the cаnopy  ｅxit"), ("a", "the cаnopy  ｅxit"), ("b", "the canopy"), ("c", None), ("d", ""), ("e", "zqxаv ﬁre")]
-    got = {r["k"]: r["form"] for r in readable_forms(spark.createDataFrame([(*r, "clash") for r in rows], "k string, text string, base string"), ["k"]).collect()}
-    assert got == {"a": "the canopy exit", "b": "the canopy", "c": None, "d": "", "e": "zqxаv fire"}
-    assert readable_forms(spark.createDataFrame([], "k string, text string"), ["k"]).count() == 0
-
-
 def test_splitting(spark):
     text = ("A sentence of some words here. " * 12 + "\n\n") * 30
     rows = [("a", text), ("b", "x" * 5000), ("c", "short"), ("d", ""), ("e", None), ("f", "𝒳" * 700), ("g", "\n" * 900)]

@@ -1,20 +1,26 @@
 """One form for text that looks the same: composition, width, ligatures,
 invisible characters, hyphens, and look-alike letters by script-aware repair.
 
-Look-alikes are substituted only in tokens that mix scripts (or consist of
-look-alikes altogether) and only if the result is a word of the corpus.
+The scripts of each token's letters are counted. A token that mixes scripts is
+spelled in its dominant one, or else in the next that has look-alikes for all
+its other letters, if that spelling is a word of the corpus. A token of one
+script stays as it is, with one exception: if all its letters are look-alikes,
+no other word of its line is in its script, and the other spelling is at least
+OFTEN times as frequent in the corpus, it was typed in the wrong script.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tracebook.sources.tables import stage
 
@@ -39,88 +45,220 @@ FOLD = str.maketrans(LATIN_OF)
 EARLY = str.maketrans("ϲϹ" + RADICALS, "cC" + RADICALS_AS)
 HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"(?:[^\W\d_{HAN}][̀-ͯ]*)+")
-SUSPECT = re.compile("[" + "".join(LATIN_OF) + "]")
 INVISIBLE = re.compile("[­͏ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 HYPHENS = re.compile("[‐‑﹣－]")
 #: Superscripts, subscripts and fractions look unlike plain digits and stay.
 KEPT = re.compile("([ªº²³¹¼-¾⁰-ₜ⅐-↉])")
 BLANK = re.compile(r"\s+")
+IN_LINE = re.compile(r"[^\S\n]+")
 VOCABULARY_TOKEN = re.compile(rf"[^\W\d_{HAN}]+")
+#: Letters of other scripts than Latin (and Latin ones that only look like others).
+FOREIGN = re.compile("[" + "".join(c for c in OTHER if c < "Ͱ") + "Ͱ-ϿЀ-ԯ԰-֏ἀ-῿]")
+#: How much more frequent a word must be for a token of one script to be it.
+OFTEN = 20
+#: Marks of tokens that may be cut: the first and the last one of a quote.
+FIRST, LAST = "^", "$"
 
 
 def base_form(text: str) -> str:
-    """Everything but the look-alike letters; blanks become single spaces."""
+    """Everything but the look-alike letters; blanks within a line become
+    single spaces."""
     if text.isascii():
-        return BLANK.sub(" ", text)
+        return IN_LINE.sub(" ", text)
     text = INVISIBLE.sub("", text).translate(EARLY)
     if KEPT.search(text):
         text = "".join(p if KEPT.match(p) else unicodedata.normalize("NFKC", p) for p in KEPT.split(text))
     else:
         text = unicodedata.normalize("NFKC", text)
-    return BLANK.sub(" ", HYPHENS.sub("-", INVISIBLE.sub("", text)))
+    return IN_LINE.sub(" ", HYPHENS.sub("-", INVISIBLE.sub("", text)))
 
 
-def repaired(token: str) -> str | None:
-    """The token in its dominant script, if it mixes that with look-alikes or
-    is made of look-alikes only; None if there is nothing to repair."""
-    if not SUSPECT.search(token):
-        return None
-    letters = [c for c in unicodedata.normalize("NFD", token) if c.isalpha()]
-    foreign = [c for c in letters if not (c.isascii() or unicodedata.name(c, "").startswith("LATIN"))]
-    native = len(letters) - len(foreign) + sum(c in LATIN_OF and c not in foreign for c in letters)
-    alike = sum(c in LATIN_OF for c in foreign)
-    if alike < len(foreign) or (native == 0 and not foreign and not SUSPECT.search(token)):
-        return None  # a letter of the other script that Latin has no look-alike of
-    return unicodedata.normalize("NFC", token.translate(FOLD))
+@lru_cache(maxsize=100_000)
+def script_of(c: str) -> str:
+    """The script of a letter by its name; marks have none."""
+    if c.isascii():
+        return "LATIN" if c.isalpha() else ""
+    if not c.isalpha():
+        return ""
+    return "VARIANT" if c in LATIN_OF and c < "Ͱ" else unicodedata.name(c, "?").split(" ")[0]
+
+
+def _letters_by_script() -> dict[str, dict[str, str]]:
+    """By script, the letter that looks like a Latin one."""
+    out: dict[str, dict[str, str]] = {"LATIN": {b: b for b in LATIN_OF.values()}}
+    for other, latin in LATIN_OF.items():
+        if script_of(other) != "VARIANT":
+            out.setdefault(script_of(other), {}).setdefault(latin, other)
+    return out
+
+
+SPELLED = _letters_by_script()
+
+
+def spelled_in(token: str, script: str) -> str | None:
+    """The token with all letters in one script; None if one has no look-alike."""
+    out = []
+    for c in token:
+        own = script_of(c)
+        if own and own != script:
+            c = SPELLED[script].get(LATIN_OF.get(c, c), "")
+            if not c:
+                return None
+        out.append(c)
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+@lru_cache(maxsize=100_000)
+def scripts_in(token: str) -> tuple[str, ...]:
+    """The scripts of the letters of a token, the dominant one first."""
+    counted = Counter(filter(None, map(script_of, unicodedata.normalize("NFD", token))))
+    return tuple(sorted(counted, key=lambda x: (-counted[x], x)))
+
+
+@lru_cache(maxsize=100_000)
+def spellings(token: str, whole: bool = False) -> tuple[str, ...]:
+    """Spellings of a token in one script, dominant scripts first: of a token
+    that mixes scripts, or (whole) of one that may be in the wrong one."""
+    of = scripts_in(token)
+    if not of or (len(of) < 2) != whole:
+        return ()
+    able = [x for x in of if x in SPELLED] + [x for x in SPELLED if x not in of and (whole or x == "LATIN")]
+    found = dict.fromkeys(x for x in (spelled_in(token, script) for script in able) if x is not None)
+    found.pop(unicodedata.normalize("NFC", token), None)
+    return tuple(found)
+
+
+def letters_not_in(token: str, spelling: str) -> int:
+    """How many letters a spelling changes: the fewer, the more dominant its script."""
+    return sum(a != b for a, b in zip(unicodedata.normalize("NFC", token), spelling))
+
+
+@lru_cache(maxsize=100_000)
+def all_alike(token: str) -> bool:
+    """Whether a token is of one script and every letter looks like one of another."""
+    return bool(spellings(token, True))
+
+
+def repairable(text: str) -> list[str]:
+    """The tokens of a base form that a repair may change: those that mix
+    scripts, and those wholly of look-alikes that are alone of their script in
+    their line."""
+    out: set[str] = set()
+    for line in text.split("\n") if FOREIGN.search(text) else ():
+        if not FOREIGN.search(line):
+            continue
+        tokens = [t for t in TOKEN.findall(line) if scripts_in(t)]
+        own = {scripts_in(t)[0] for t in tokens if len(scripts_in(t)) == 1 and not all_alike(t)}
+        out.update(t for t in tokens if spellings(t) or all_alike(t) and scripts_in(t)[0] not in own)
+    return sorted(out)
+
+
+def substituted(text: str, accepted: dict[str, str]) -> str:
+    """The text with the accepted tokens in their places; those marked FIRST or
+    LAST only at its begin or end."""
+    found = list(TOKEN.finditer(text))
+    out, at = [], 0
+    for i, m in enumerate(found):
+        fix = accepted.get(m[0])
+        if not fix and i == 0:
+            fix = accepted.get(FIRST + m[0])
+        if not fix and i == len(found) - 1:
+            fix = accepted.get(LAST + m[0])
+        if fix:
+            out += [text[at : m.start()], fix]
+            at = m.end()
+    return "".join([*out, text[at:]])
 
 
 def apply_repairs(text: str, accepted: dict[str, str]) -> str:
-    """The one form: accepted tokens substituted, blanks taken out."""
-    if accepted and SUSPECT.search(text):
-        text = TOKEN.sub(lambda m: accepted.get(m[0], m[0]), text)
-    return unicodedata.normalize("NFC", text.replace(" ", ""))
+    """The base form with accepted tokens substituted and blanks taken out."""
+    return unicodedata.normalize("NFC", BLANK.sub("", substituted(text, accepted) if accepted else text))
 
 
 def widest(text: str) -> str:
-    """Every look-alike folded. What is alike in the one form is alike here."""
-    return unicodedata.normalize("NFC", text.translate(FOLD)).replace(" ", "")
+    """Every look-alike folded, without blanks. What is alike in the one form
+    is alike here."""
+    return unicodedata.normalize("NFC", BLANK.sub("", text.translate(FOLD)))
+
 
+FORMED = StructType().add("base", StringType()).add("tokens", ArrayType(StringType()))
 
-@F.pandas_udf(StructType().add("base", StringType()).add("tokens", ArrayType(StringType())))
+
+@F.pandas_udf(FORMED)
 def base_and_tokens(text: pd.Series) -> pd.DataFrame:
-    """The base form, and its tokens that a repair would change."""
+    """The base form, and its tokens that a repair may change."""
     bases = [None if t is None else base_form(t) for t in text]
-    tokens = [[] if b is None or not SUSPECT.search(b) else sorted({t for t in TOKEN.findall(b) if repaired(t)}) for b in bases]
+    return pd.DataFrame({"base": pd.Series(bases, dtype=object), "tokens": pd.Series([[] if b is None else repairable(b) for b in bases], dtype=object)})
+
+
+@F.pandas_udf(FORMED)
+def quote_and_tokens(text: pd.Series) -> pd.DataFrame:
+    """As base_and_tokens for texts that may begin and end within a word: their
+    first and last token also come marked as such."""
+    bases, tokens = [], []
+    for t in text:
+        b = None if t is None else base_form(t)
+        found = [] if b is None else repairable(b)
+        if found:
+            edge = TOKEN.findall(b)
+            found += [mark + x for mark, x in ((FIRST, edge[0]), (LAST, edge[-1])) if x in found]
+        bases.append(b)
+        tokens.append(found)
     return pd.DataFrame({"base": pd.Series(bases, dtype=object), "tokens": pd.Series(tokens, dtype=object)})
 
 
+@F.pandas_udf(StringType())
+def widest_form(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else widest(base_form(t)) for t in text], dtype=object)
+
+
 def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        words: set[str] = set()
+        words: Counter = Counter()
         for text in f["text"]:
             if text:
                 words.update(VOCABULARY_TOKEN.findall(text))
-        yield pd.DataFrame({"word": pd.Series(sorted(w for w in words if not SUSPECT.search(w)), dtype=object)})
+        kept = [(w, n) for w, n in words.items() if w.isascii() or len(scripts_in(w)) == 1]
+        yield pd.DataFrame(kept, columns=["word", "n"])
 
 
 def vocabulary(texts: list[DataFrame]) -> DataFrame:
-    """The distinct words of all texts (frames of one column `text`) that
-    hold no look-alike; each batch hands on each word once."""
-    found = [t.mapInPandas(_words, "word string") for t in texts]
+    """word, n: the words of one script in all texts (frames of one column
+    `text`) and how often they occur; batches hand on each word once."""
+    found = [t.mapInPandas(_words, "word string, n long") for t in texts]
     for f in found[1:]:
         found[0] = found[0].union(f)
-    return found[0].distinct()
+    return found[0].groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf(StringType())
-def repair_of(token: pd.Series) -> pd.Series:
-    return pd.Series([repaired(t) for t in token], dtype=object)
+@F.pandas_udf(ArrayType(StructType().add("rank", IntegerType()).add("fixed", StringType()).add("way", StringType())))
+def candidates_of(token: pd.Series) -> pd.Series:
+    out = []
+    for t in token:
+        mark, plain = (t[0], t[1:]) if t[:1] in (FIRST, LAST) else ("", t)
+        mixed = spellings(plain)
+        whole = () if mixed or mark else spellings(plain, True)
+        out.append([{"rank": letters_not_in(plain, x), "fixed": x, "way": mark or ("mixed" if mixed else "whole")} for x in mixed or whole])
+    return pd.Series(out, dtype=object)
 
 
 def accepted_repairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """token, fixed: the repairs of the column `token` whose result is a word."""
-    fixed = tokens.select("token").distinct().select("token", repair_of("token").alias("fixed")).filter(F.col("fixed").isNotNull())
-    return fixed.join(words.withColumnRenamed("word", "fixed"), "fixed", "left_semi")
+    """token, fixed: of each token (column `token`) the spelling in the most
+    dominant script that the vocabulary `words` (word, n) has; where scripts
+    are even the more frequent word. A spelling OFTEN times rarer than another
+    of the same token is no word but the same mistake. A token cut at the begin
+    or end of a quote is taken for the end or begin of a word."""
+    each = stage(tokens.select("token").distinct().select("token", F.explode(candidates_of("token")).alias("c")).select("token", "c.*"), "spellings")
+    as_is = words.select(F.col("word").alias("token"), F.col("n").alias("own"))
+    known = each.filter(F.col("way").isin("mixed", "whole")).join(words.withColumnRenamed("word", "fixed"), "fixed").join(as_is, "token", "left")
+    known = known.filter((F.col("way") == "mixed") | (F.col("n") >= OFTEN * F.coalesce("own", F.lit(1)))).select("token", "rank", "fixed", "n")
+    cut = words.filter("length(word) > 1").select("n", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
+    ends = cut.select(F.lit(FIRST).alias("way"), F.expr("substring(word, i + 1)").alias("fixed"), "n").union(cut.select(F.lit(LAST), F.expr("left(word, i)"), "n"))
+    at_edge = each.filter(F.col("way").isin(FIRST, LAST)).join(ends, ["way", "fixed"]).groupBy("token", "rank", "fixed").agg(F.sum("n").alias("n"))
+    both = known.union(at_edge)
+    best = both.groupBy("token").agg(F.max("n").alias("most"))
+    likely = both.join(best, "token").filter(F.col("n") * OFTEN > F.col("most"))
+    return likely.groupBy("token").agg(F.min_by("fixed", F.struct("rank", -F.col("n"), "fixed")).alias("fixed"))
 
 
 def with_repairs(df: DataFrame, key: list[str], tokens: Column, accepted: DataFrame) -> DataFrame:
@@ -142,8 +280,10 @@ def readable_forms(texts: DataFrame, key: list[str]) -> DataFrame:
     whose words repairs must be. Null texts stay null; rows repeated in full
     count once; other columns are not read."""
     rows = texts.select(*key, "text")
-    tokens = stage(rows.select(*key, base_and_tokens("text").alias("b")).filter(F.size("b.tokens") > 0).select(*key, F.col("b.tokens").alias("tokens")).distinct(), "tokens")
-    accepted = stage(accepted_repairs(tokens.select(F.explode("tokens").alias("token")), vocabulary([rows.select("text")])), "repairs")
+    foreign = rows.filter(F.col("text").rlike(FOREIGN.pattern))
+    tokens = stage(foreign.select(*key, base_and_tokens("text").alias("b")).filter(F.size("b.tokens") > 0).select(*key, F.col("b.tokens").alias("tokens")).distinct(), "tokens")
+    words = stage(vocabulary([rows.select("text")]), "vocabulary")
+    accepted = stage(accepted_repairs(tokens.select(F.explode("tokens").alias("token")), words), "repairs")
     return rows.distinct().join(with_repairs(tokens, key, F.col("tokens"), accepted), key, "left").select(*key, spaced_form("text", "repairs").alias("form"))
 
 
@@ -151,44 +291,8 @@ def readable_forms(texts: DataFrame, key: list[str]) -> DataFrame:
 def spaced_form(text: pd.Series, repairs: pd.Series) -> pd.Series:
     out = []
     for t, r in zip(text, repairs):
-        if t is None:
-            out.append(None)
-            continue
-        known, t = dict(r) if r is not None else {}, base_form(t)
-        out.append(unicodedata.normalize("NFC", TOKEN.sub(lambda m: known.get(m[0], m[0]), t) if known else t).strip())
+        if t is not None:
+            t = base_form(t)
+            t = unicodedata.normalize("NFC", BLANK.sub(" ", substituted(t, dict(r)) if r is not None else t)).strip()
+        out.append(t)
     return pd.Series(out, dtype=object)
-
-
-def _edges(quote: str) -> list[str]:
-    found = TOKEN.findall(quote)
-    return [found[0], found[-1]] if found else []
-
-
-@F.pandas_udf(BooleanType())
-def contained(quote: pd.Series, page: pd.Series, repairs: pd.Series) -> pd.Series:
-    """Whether the base form of a page holds that of a quote once both are in
-    the one form. The quote may begin and end within a word: there a repair
-    counts if its result is part of a word of the page."""
-    out = []
-    for q, p, r in zip(quote, page, repairs):
-        known = dict(r) if r is not None else {}
-        text = apply_repairs(p, known)
-        for t in _edges(q):
-            if t not in known and (fix := repaired(t)) and fix in text:
-                known[t] = fix
-        out.append(apply_repairs(q, known) in text)
-    return pd.Series(out, dtype=bool)
-
-
-@F.pandas_udf(StructType().add("q", StringType()).add("p", StringType()).add("tokens", ArrayType(StringType())))
-def alike_at_most(quote: pd.Series, page: pd.Series) -> pd.DataFrame:
-    """Base forms and tokens of the pairs that are contained once every
-    look-alike is folded, which all contained pairs are; else nulls."""
-    out = []
-    for q, p in zip(quote, page):
-        q, p = base_form(q), base_form(p)
-        if (w := widest(q)) and w in widest(p):
-            out.append((q, p, sorted({t for t in [*TOKEN.findall(q), *(TOKEN.findall(p) if SUSPECT.search(p) else ())] if repaired(t)})))
-        else:
-            out.append((None, None, []))
-    return pd.DataFrame(out, columns=["q", "p", "tokens"])
