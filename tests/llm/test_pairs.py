@@ -109,6 +109,58 @@ def test_every_window_keeps_a_phrase():
     assert all(any(i <= p <= i + 60 for p in at) for i in range(len(t) - 99))
 
 
+def greedy(doc, item, least):
+    """Greedy tiling by comparing all places."""
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best, found = least, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and free_i[i + n] and free_d[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best:
+                    found.append((i, j))
+        if not found:
+            return out
+        for i, j in found:
+            if all(free_i[i : i + best]) and all(free_d[j : j + best]):
+                free_i[i : i + best] = free_d[j : j + best] = [False] * best
+                out.append((i, j, best))
+
+
+def test_running_karp_rabin_tiles_as_greedily(monkeypatch):
+    rng = random.Random(3)
+    for n in range(60):
+        item = "".join(rng.choice("ab" if n % 2 else "abcdefgh") for _ in range(rng.randint(1, 40)))
+        parts = [item[i : i + rng.randint(2, 15)] for i in range(0, len(item), 5)]
+        doc = "".join(rng.choice([*parts, "xy", "a"]) for _ in range(rng.randint(0, 12)))
+        least = rng.randint(2, 6)
+        assert tiles(doc, item, least) == greedy(doc, item, least)
+        size = rng.randint(1, 4)
+        if min(len(doc), len(item)) >= size:
+            from tracebook.llm import string_tiling as T
+
+            pows = powers(100)
+            sides = [T._unmarked_hashes(T.prefix_hashes(T.codes_of(t), pows[0]), pows[1], np.zeros(len(t), bool), size) for t in (item, doc)]
+            assert T.longest_matches(*sides[0], *sides[1], size) == T.longest_matches(*sides[0], *sides[1], size, at_once=0)
+
+
+def test_items_cut_in_many_shuffled_parts(spark):
+    rng = random.Random(12)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    docs = []
+    for n in (2, 4, 5, 8, 10):
+        parts = [item[i : i + 200 // n] for i in range(0, 200, 200 // n)]
+        rng.shuffle(parts)
+        docs.append((n, "".join(x + "".join(rng.choice("0123456789") for _ in range(9)) for x in parts)))
+    a, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(1, item)], "item_id int, text string")
+    got = {r["doc_key"]: r["covered"] for r in tiled_items(a, b, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").collect()}
+    assert got.keys() == {"2", "4", "5", "8", "10"} and min(got.values()) >= 190
+
+
 def test_tiling_catches_reordered_passages():
     item = "abcdefghijklmnopqrstuvwxyz0123456789"
     assert tiles("zz" + item[18:] + "--" + item[:18], item, 6) == [(0, 22, 18), (18, 2, 18)]
@@ -157,12 +209,12 @@ def test_items_in_pieces_against_brute_force(spark):
         for i, s in items:
             n = letters_and_digits(s)
             half = -(-len(n) // 2)
-            laid = [x[2] for x in tiles(letters_and_digits(t), n, max(1, min(12, (half + 1) // 2)))]
+            laid = [x[2] for x in tiles(letters_and_digits(t), n, max(1, min(12, (half + 1) // 2)))]  # equal to the greedy tiling by the test above
             if laid and (sum(laid) >= half or 2 * max(laid) >= half):
                 want[str(d), str(i)] = (max(laid), sum(laid), len(laid))
     short = [k for k, v in want.items() if 4 * v[0] < len(letters_and_digits(dict(items)[int(k[1])]))]
     assert len(short) > 15
     a, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
-    for block in (10_000, 7):
-        found = tiled_items(a, b, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text", block=block)
+    for block, chars in ((10_000, 10**6), (7, 10**6), (10_000, 900)):
+        found = tiled_items(a, b, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text", block=block, block_chars=chars)
         assert {(r["doc_key"], r["item_key"]): (r["longest"], r["covered"], r["tiles"]) for r in found.collect()} == want

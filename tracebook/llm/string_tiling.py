@@ -15,15 +15,16 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracebook.llm.minmax_hash import mix
 from tracebook.llm.shared_spans import CHUNK, powers
+from tracebook.sources.tables import stage
 
 NO_LETTER = re.compile(r"[\W_]+")
 
@@ -57,37 +58,71 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
 
 
+def _unmarked_hashes(total: np.ndarray, inverse: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the substrings of `size` that hold no marked character."""
+    n = len(marked) - size + 1
+    if n < 1:
+        return np.empty(0, "i8"), np.empty(0, "u8")
+    taken = np.concatenate([[0], np.cumsum(marked)])
+    at = np.flatnonzero(taken[size:] == taken[:-size])
+    return at, mix((total[at + size] - total[at]) * inverse[at])
+
+
+def longest_matches(i_at: np.ndarray, i_hash: np.ndarray, d_at: np.ndarray, d_hash: np.ndarray, size: int, at_once: int = 4_000_000) -> tuple[int, list[tuple[int, int]]]:
+    """Length and places (item, doc), ascending, of the longest equal stretches
+    that the equal substrings of `size` make up; (0, []) if none is equal."""
+    order = np.argsort(d_hash, kind="stable")
+    sorted_hash = d_hash[order]
+    low, high = np.searchsorted(sorted_hash, i_hash, "left"), np.searchsorted(sorted_hash, i_hash, "right")
+    many = high - low
+    if not many.any():
+        return 0, []
+    if many.sum() > at_once:  # much repeated text: one place of the item at a time
+        run, best, found, before = np.zeros(d_at.max() + 2, "i8"), 0, [], -2
+        for i, a, z in zip(i_at.tolist(), low.tolist(), high.tolist()):
+            here, j = np.zeros_like(run), d_at[order[a:z]]
+            here[j + 1] = 1 + (run[j] if before == i - 1 else 0)
+            run, before = here, i
+            if (most := int(here.max())) >= max(best, 1):
+                ends = np.flatnonzero(here == most) - 1
+                found = (found if most == best else []) + [(i - most + 1, int(j) - most + 1) for j in ends]
+                best = most
+        return best + size - 1, sorted(found)
+    i = np.repeat(i_at, many)
+    j = d_at[order[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]]
+    along = np.lexsort((i, j - i))
+    i, j = i[along], j[along]
+    breaks = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)]))
+    runs = np.diff(breaks, append=len(i))
+    first = breaks[runs == runs.max()]
+    return int(runs.max()) + size - 1, sorted(zip(i[first].tolist(), j[first].tolist()))
+
+
 def tiles(doc: str, item: str, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (start in item, start in doc, length), longest first, of
-    matches of `least` or more characters that share no character."""
-    places: dict[str, list[int]] = defaultdict(list)
-    free = {item[i : i + least] for i in range(len(item) - least + 1)}
-    for j in range(len(doc) - least + 1):
-        if (g := doc[j : j + least]) in free:
-            places[g].append(j)
-    marked_i, marked_d = bytearray(len(item)), bytearray(len(doc))
+    matches of `least` or more characters that share no character.
+
+    Running Karp-Rabin: the hashes of all unmarked substrings of the search
+    length are compared, equal ones put together to the longest matches, and
+    these marked; when no more are found the search length falls by half.
+    """
+    if min(len(doc), len(item)) < least:
+        return []
+    pows = powers(max(len(doc), len(item)))
+    total_d, total_i = prefix_hashes(codes_of(doc), pows[0]), prefix_hashes(codes_of(item), pows[0])
+    marked_d, marked_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out: list[tuple[int, int, int]] = []
+    size = max(least, min(len(doc), len(item)))
     while True:
-        best, found = least, []
-        for i in range(len(item) - least + 1):
-            if marked_i[i]:
-                continue
-            for j in places.get(item[i : i + least], ()):
-                if marked_d[j] or (i and j and item[i - 1] == doc[j - 1] and not marked_i[i - 1] and not marked_d[j - 1]):
-                    continue  # inside a match that begins further left
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not marked_i[i + n] and not marked_d[j + n]:
-                    n += 1
-                if n > best:
-                    best, found = n, [(i, j)]
-                elif n == best:
-                    found.append((i, j))
-        if not found:
-            return out
+        best, found = longest_matches(*_unmarked_hashes(total_i, pows[1], marked_i, size), *_unmarked_hashes(total_d, pows[1], marked_d, size), size)
         for i, j in found:
-            if not any(marked_i[i : i + best]) and not any(marked_d[j : j + best]):
-                marked_i[i : i + best] = marked_d[j : j + best] = b"\1" * best
+            if item[i : i + best] == doc[j : j + best] and not marked_i[i : i + best].any() and not marked_d[j : j + best].any():
+                marked_i[i : i + best] = marked_d[j : j + best] = True
                 out.append((i, j, best))
+        if not found:
+            if size == least:
+                return out
+            size = max(least, size // 2)
 
 
 class Grams:
@@ -175,13 +210,13 @@ def meetings(texts: list[str], seeds: Seeds, tables: list[tuple[np.uint64, np.nd
     return out
 
 
-def _tiled(shared, least: int):
+def _tiled(shared, least: int, fold: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds: Seeds = shared.value
         tables, pows = [g.table() for g in seeds.of], powers(CHUNK)
         for f in frames:
             keys = f["key"].tolist()
-            texts = [letters_and_digits(t) for t in f["text"]]
+            texts = [letters_and_digits(t) for t in f["text"]] if fold else f["text"].tolist()
             out = []
             first = 0
             while first < len(texts):
@@ -202,27 +237,51 @@ def _tiled(shared, least: int):
     return run
 
 
-def tiled_items(documents: DataFrame, items: DataFrame, *, doc_key: str, doc_text: str, item_key: str, item_text: str, share: float = 0.5, least: int = 12, block: int = 20_000) -> DataFrame:
+def _blocks(items: Iterator[tuple[str, str]], most: int, chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of at most `most` items and (but for a longer item) `chars` characters."""
+    part, held = [], 0
+    for key, text in items:
+        if part and (len(part) == most or held + len(text) > chars):
+            yield part
+            part, held = [], 0
+        part.append((key, text))
+        held += len(text)
+    if part:
+        yield part
+
+
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else letters_and_digits(t) for t in text], dtype=object)
+
+
+def tiled_items(documents: DataFrame, items: DataFrame, *, doc_key: str, doc_text: str, item_key: str, item_text: str, share: float = 0.5, least: int = 12, block: int = 20_000, block_chars: int = 8_000_000) -> DataFrame:
     """doc_key, item_key, item_length, longest, covered, tiles: the pairs of a
     document and an item of which tiles cover at least `share` of its letters
     and digits, in whatever order, or one tile `share` / 2; with the longest
     tile, the characters of the item covered by tiles of `least` or more (half
     of `share` in shorter items), and their number.
 
-    No such pair is lost. Items are the
-    stated query set: they go to the workers in blocks of `block`, one scan of
-    the documents each, so nothing unbounded is broadcast; documents are not
-    shuffled. Null keys and texts are left out, as are items without a letter
+    No such pair is lost. Items are the stated query set: they go to the
+    workers in blocks of at most `block` items and `block_chars` characters,
+    one scan of the documents each, so nothing unbounded is broadcast;
+    documents are not shuffled, and folded only once if there are more blocks
+    than one. Null keys and texts are left out, as are items without a letter
     or digit; keys come out as strings. Other columns are not read.
     """
     spark = documents.sparkSession
+    columns = "doc_key string, item_key string, item_length int, longest int, covered int, tiles int"
     docs = documents.select(F.col(doc_key).cast("string").alias("key"), F.col(doc_text).alias("text")).filter("key is not null and text is not null")
-    queue = (((r["key"], letters_and_digits(r["text"])) for r in items.select(F.col(item_key).cast("string").alias("key"), F.col(item_text).alias("text")).filter("key is not null and text is not null").distinct().toLocalIterator()))
-    out = None
-    while part := list(islice(queue, block)):
-        shared = spark.sparkContext.broadcast(Seeds(part, share, least))
-        one = docs.mapInPandas(_tiled(shared, least), "doc_key string, item_key string, item_length int, longest int, covered int, tiles int")
+    wanted = items.select(F.col(item_key).cast("string").alias("key"), folded(F.col(item_text)).alias("text")).filter("key is not null and text <> ''").distinct()
+    blocks = _blocks(((r["key"], r["text"]) for r in wanted.toLocalIterator()), block, block_chars)
+    out, ahead = None, next(blocks, None)
+    if ahead is None:
+        return spark.createDataFrame([], columns)
+    part, ahead = ahead, next(blocks, None)
+    docs = docs if ahead is None else stage(docs.select("key", folded("text").alias("text")), "folded")
+    fold = ahead is None
+    while part is not None:
+        one = docs.mapInPandas(_tiled(spark.sparkContext.broadcast(Seeds(part, share, least)), least, fold), columns)
         out = one if out is None else out.union(one)
-    if out is None:
-        return spark.createDataFrame([], "doc_key string, item_key string, item_length int, longest int, covered int, tiles int")
+        part, ahead = ahead, next(blocks, None)
     return out.distinct()
