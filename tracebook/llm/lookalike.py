@@ -43,6 +43,7 @@ LATIN_OF = {a: b for a, b in zip(CYRILLIC_UPPER + CYRILLIC_LOWER + GREEK_UPPER +
 FOLD = str.maketrans(LATIN_OF)
 #: Put in place before compatibility folding, which would take it for a final sigma.
 EARLY = str.maketrans("ϲϹ" + RADICALS, "cC" + RADICALS_AS)
+EARLY_ONES = re.compile(f"[ϲϹ{RADICALS}]")
 HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"(?:[^\W\d_{HAN}][̀-ͯ]*)+")
 INVISIBLE = re.compile("[­͏ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
@@ -60,17 +61,24 @@ OFTEN = 20
 FIRST, LAST = "^", "$"
 
 
-def base_form(text: str) -> str:
-    """Everything but the look-alike letters; blanks within a line become
-    single spaces."""
+def composed(text: str) -> str:
+    """Everything of the one form but blanks and look-alike letters."""
     if text.isascii():
-        return IN_LINE.sub(" ", text)
-    text = INVISIBLE.sub("", text).translate(EARLY)
+        return text
+    text = INVISIBLE.sub("", text)
+    if EARLY_ONES.search(text):
+        text = text.translate(EARLY)
     if KEPT.search(text):
-        text = "".join(p if KEPT.match(p) else unicodedata.normalize("NFKC", p) for p in KEPT.split(text))
+        folded = "".join(p if KEPT.match(p) else unicodedata.normalize("NFKC", p) for p in KEPT.split(text))
     else:
-        text = unicodedata.normalize("NFKC", text)
-    return IN_LINE.sub(" ", HYPHENS.sub("-", INVISIBLE.sub("", text)))
+        folded = unicodedata.normalize("NFKC", text)
+    return HYPHENS.sub("-", folded if folded == text else INVISIBLE.sub("", folded))
+
+
+def base_form(text: str) -> str:
+    """Everything but the look-alike letters; blanks within a line become
+    single spaces."""
+    return IN_LINE.sub(" ", composed(text))
 
 
 @lru_cache(maxsize=100_000)
@@ -172,13 +180,14 @@ def substituted(text: str, accepted: dict[str, str]) -> str:
 
 def apply_repairs(text: str, accepted: dict[str, str]) -> str:
     """The base form with accepted tokens substituted and blanks taken out."""
-    return unicodedata.normalize("NFC", BLANK.sub("", substituted(text, accepted) if accepted else text))
+    return unicodedata.normalize("NFC", "".join((substituted(text, accepted) if accepted else text).split()))
 
 
 def widest(text: str) -> str:
     """Every look-alike folded, without blanks. What is alike in the one form
     is alike here."""
-    return unicodedata.normalize("NFC", BLANK.sub("", text.translate(FOLD)))
+    text = "".join(composed(text).split())
+    return unicodedata.normalize("NFC", text.translate(FOLD)) if FOREIGN.search(text) else text
 
 
 FORMED = StructType().add("base", StringType()).add("tokens", ArrayType(StringType()))
@@ -209,7 +218,7 @@ def quote_and_tokens(text: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(StringType())
 def widest_form(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else widest(base_form(t)) for t in text], dtype=object)
+    return pd.Series([None if t is None else widest(t) for t in text], dtype=object)
 
 
 def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

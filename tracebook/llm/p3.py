@@ -13,26 +13,29 @@ from tracebook.sources.tables import stage, table
 def quotes_to_test(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     """evidence_id, page, source_file, page_no, quote: the quotes that are not in
     the page they cite as stored, but are once every look-alike is folded, which
-    all quotes are that any repair can find. Pages and quotes are folded once each."""
-    p = pages.select("source_file", "page_no", F.concat("file_id", F.lit("#"), "page_no").alias("page"), without_whitespace(F.col("text")).alias("p"), widest_form("text").alias("w"))
-    p = p.withColumn("w", F.when(F.col("w") != F.col("p"), F.col("w")))
-    q = evidence.select("evidence_id", "source_file", "page_no", "quote", without_whitespace(F.col("quote")).alias("q"), widest_form("quote").alias("v")).filter(F.col("v") != "")
-    met = q.join(p, ["source_file", "page_no"]).filter(~F.contains("p", "q") & F.contains(F.coalesce("w", "p"), F.col("v")))
-    return met.select("evidence_id", "page", "source_file", "page_no", "quote").distinct()
+    all quotes are that any repair can find. Only what is not there as stored is
+    folded, and each page once."""
+    p = pages.select("source_file", "page_no", F.concat("file_id", F.lit("#"), "page_no").alias("page"), without_whitespace(F.col("text")).alias("p"))
+    met = evidence.select("evidence_id", "source_file", "page_no", "quote", without_whitespace(F.col("quote")).alias("q")).join(p, ["source_file", "page_no"]).filter(~F.contains("p", "q"))
+    missing = stage(met.select("evidence_id", "page", "source_file", "page_no", "quote", F.md5("p").alias("h")).distinct(), "missing")
+    wanted = pages.join(missing.select("source_file", "page_no").distinct(), ["source_file", "page_no"], "left_semi")
+    wide = wanted.select(F.concat("file_id", F.lit("#"), "page_no").alias("page"), F.md5(without_whitespace(F.col("text"))).alias("h"), widest_form("text").alias("w"))
+    held = missing.withColumn("v", widest_form("quote")).filter("v <> ''").join(wide, ["page", "h"]).filter(F.contains("w", "v"))
+    return held.select("evidence_id", "page", "source_file", "page_no", "quote").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field, key_a, key_b. Names and quotes that are null or blank in the one
     form are in no pair; a quote whose page is not there is in none either."""
     kp = table(spark, sf_dir, "kp").select("kp_id", "name").filter(F.col("kp_id").isNotNull() & F.col("name").isNotNull()).distinct()
-    evidence = table(spark, sf_dir, "evidence").select("evidence_id", "source_file", "page_no", "quote").filter(F.col("quote") != "").distinct()
-    pages = table(spark, sf_dir, "pages").select("file_id", "source_file", "page_no", "text").filter(F.col("text") != "").distinct()
+    evidence = table(spark, sf_dir, "evidence").select("evidence_id", "source_file", "page_no", "quote").filter(F.col("quote") != "")
+    pages = table(spark, sf_dir, "pages").select("file_id", "source_file", "page_no", "text").filter(F.col("text") != "")
 
     names = stage(kp.select("kp_id", "name", base_and_tokens("name").alias("b")).select("kp_id", "name", "b.*"), "names")
     tested = stage(quotes_to_test(evidence, pages), "tested")
     quotes = stage(tested.select("evidence_id", "page", quote_and_tokens("quote").alias("b")).select("evidence_id", "page", "b.*").withColumn("row", F.monotonically_increasing_id()), "quotes")
     cited = pages.join(tested.select("source_file", "page_no").distinct(), ["source_file", "page_no"], "left_semi")
-    sheets = stage(cited.select(F.concat("file_id", F.lit("#"), "page_no").alias("page"), base_and_tokens("text").alias("b")).select("page", "b.*").withColumn("row", F.monotonically_increasing_id()), "sheets")
+    sheets = stage(cited.distinct().select(F.concat("file_id", F.lit("#"), "page_no").alias("page"), base_and_tokens("text").alias("b")).select("page", "b.*").withColumn("row", F.monotonically_increasing_id()), "sheets")
 
     token = F.explode("tokens").alias("token")
     words = stage(vocabulary([pages.select("text"), evidence.select(F.col("quote").alias("text")), kp.select(F.col("name").alias("text"))]), "vocabulary")
