@@ -25,18 +25,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
+    """The folder the cluster names in spark.checkpoint.dir, with its scheme.
 
-    Only where that is unset (tests, a laptop) is a folder of our own made and
-    named; on a cluster a machine-local folder would lose data with a machine.
+    Where that is unset a folder of our own is made and named, but only on one
+    machine (tests, a laptop); on a cluster a machine-local folder would be
+    seen by one machine and lost with it, so there ValueError is raised. A path
+    without a scheme is one of the session's default file system.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        of_context = spark.sparkContext.getCheckpointDir()
-        named = of_context or tempfile.mkdtemp(prefix="tracebook-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file:" + tempfile.mkdtemp(prefix="tracebook-")
+    if "://" not in named and not named.startswith("file:"):
+        path = context._jvm.org.apache.hadoop.fs.Path(named)
+        named = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    spark.conf.set("spark.checkpoint.dir", named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -47,12 +54,13 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts the lineage at
-    files that outlive any executor, and gives later readers column pruning."""
+    files that outlive any executor, and gives later readers column pruning.
+    by: a column of few values, by which the files are kept apart."""
     spark = df.sparkSession
     path = staging_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,3 +77,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     shuffled join that Catalyst then picks."""
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def without_broadcast(df: DataFrame) -> DataFrame:
+    """A frame that grows with the data: its joins are shuffled at every size,
+    so that none waits for a broadcast that is small only today."""
+    return df.hint("merge")
