@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Names of the staged tables of each session, for `sweep`.
 _STAGED: dict[str, list[str]] = {}
+#: The shared folder of each session.
+_SHARED: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     without a scheme is one of the session's default file system.
     """
     context = spark.sparkContext
+    if context.applicationId in _SHARED:
+        return _SHARED[context.applicationId]
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
@@ -41,10 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     if "://" not in named and not named.startswith("file:"):
         path = context._jvm.org.apache.hadoop.fs.Path(named)
         named = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    spark.conf.set("spark.checkpoint.dir", named)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    return named.rstrip("/")
+    _SHARED[context.applicationId] = named.rstrip("/")
+    return _SHARED[context.applicationId]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
