@@ -89,3 +89,84 @@ def test_page_faults(spark):
     want |= {("f", 9, 1, "header"), ("f", 9, 2, "misread"), ("f", 9, 2, "hyphen"), ("f", 9, 4, "misread"), ("f", 9, 6, "page_number"), ("f", 9, 0, "label")}
     assert got == want
     assert N.page_faults(pages.limit(0), skeleton).count() == 0
+
+
+def counts(spark, rows):
+    return spark.createDataFrame(rows, "a string, n long, m long")
+
+
+def test_corrections_by_shape_and_by_neighbours(spark):
+    # 密度 is the commoner word, but 侬 has the shape of 浓; 徊 has no known reading
+    bigrams = counts(spark, [("密度", 900, 90), ("浓度", 300, 30), ("侬度", 0, 9), ("的浓", 50, 5), ("的密", 90, 9), ("的侬", 0, 3), ("徊烟", 0, 6), ("排烟", 50, 5), ("挡烟", 40, 5), ("的徊", 0, 6), ("的排", 30, 5), ("的挡", 30, 5)])
+    chars = counts(spark, [("密", 990, 99), ("浓", 350, 35), ("度", 1200, 129), ("侬", 0, 12), ("徊", 0, 12), ("烟", 90, 16), ("的", 200, 33)])
+    words = counts(spark, [("smoke", 40, 4), ("srnoke", 0, 1), ("smokc", 0, 1), ("valve", 30, 3), ("vaive", 0, 2), ("hood", 9, 0), ("hxod", 0, 1), ("srno-ke", 0, 1)])
+    got = {r["word"]: (r["fixed"], r["place"]) for r in N.word_corrections(words, bigrams).collect()}
+    assert got == {"srnoke": ("smoke", 2), "smokc": ("smoke", 5), "vaive": ("valve", 3), "侬度": ("浓度", 0), "的侬": ("的浓", 0)}
+    known = spark.createDataFrame([(w, f) for w, (f, p) in got.items() if p == 0], "word string, fixed string")
+    assert {r["word"]: r["fixed"] for r in N.ideograph_corrections(chars, bigrams, known).collect()} == {"侬": "浓", "徊": None}
+    none = bigrams.limit(0)
+    assert N.word_corrections(none, none).count() == 0 and N.ideograph_corrections(none, none, known).count() == 0
+
+
+def test_learnt_confusions_need_a_share_of_the_words(spark):
+    right = ["cable", "table", "plate", "slate", "later", "relay"]
+    rows = [(w, 40, 4) for w in right] + [(w.replace("l", "j"), 0, 1) for w in right] + [("roof", 40, 1), ("rxof", 0, 1)]
+    got = {r["word"]: r["fixed"] for r in N.word_corrections(counts(spark, rows), counts(spark, [])).collect()}
+    assert got == {w.replace("l", "j"): w for w in right}
+
+
+def test_long_edge_lines_are_titles_if_equal(spark):
+    title = "A running title of many words " * 9
+    pages = spark.createDataFrame([("f", "s", i, str(i), f"{title}\nBody of the page number {i} with words.\nThe end is here.", None) for i in range(1, 4)], "file_id string, source_file string, page_no int, page_label string, text string, text_source string")
+    skeleton = spark.createDataFrame([], "source_file string, num int, title string")
+    assert {(r["page_no"], r["line_no"]) for r in N.page_faults(pages, skeleton).filter("issue = 'header'").collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_accuracy_on_pages_misread_on_purpose(spark):
+    import os
+    import random
+    import re
+
+    import pandas as pd
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    rng, likes, truth = random.Random(5), {x[0]: x[1] for x in N.LIKE_SHAPES}, {}
+    pages = pd.read_parquet(f"{d}/pages.parquet").drop_duplicates(["file_id", "page_no"])
+    pages = pages[pages.text.notna() & (pages.text_source != "ocr")]
+
+    def spoil(key, text):
+        out = []
+        for n, line in enumerate(text.split("\n"), 1):
+
+            def word(m, n=n):
+                w, ways = m[0].lower(), [(x[0], x[1]) for x in N.CONFUSED if x[0] in m[0].lower()]
+                if len(w) < 5 or not ways or rng.random() > 0.03:
+                    return m[0]
+                right, wrong = rng.choice(ways)
+                bad = w.replace(right, wrong, 1)
+                truth[*key, n, bad] = w
+                return bad
+
+            line = re.sub("[A-Za-z]+", word, line)
+            for i, c in enumerate(line):
+                if c in likes and rng.random() < 0.03:
+                    truth[*key, n, likes[c]] = c
+                    line = line[:i] + likes[c] + line[i + 1 :]
+            out.append(line)
+        return "\n".join(out)
+
+    half = pages.index % 2 == 0
+    read = pages[half].assign(text=[spoil(k, t) for k, t in zip(zip(pages[half].file_id, pages[half].page_no), pages[half].text)], text_source="ocr")
+    columns = ["file_id", "source_file", "page_no", "page_label", "text", "text_source"]
+    skeleton = spark.createDataFrame([], "source_file string, num int, title string")
+    found = N.page_faults(spark.createDataFrame(pd.concat([pages[~half], read])[columns].astype({"page_no": "int32"})).withColumn("page_no", F.col("page_no").cast("int")), skeleton).filter("issue = 'misread'").collect()
+    fixed: dict = {}
+    for r in found:
+        for a, b in zip(r["wrong"], r["fixed"] or "") if not r["wrong"].isascii() else [(r["wrong"], r["fixed"])]:
+            if a != b:
+                fixed[r["file_id"], r["page_no"], r["line_no"], a] = b
+    right = [fixed.get(k) == v for k, v in truth.items()]
+    wrong = [k in fixed and fixed[k] != v for k, v in truth.items()]
+    assert len(truth) > 300 and sum(right) >= 0.9 * len(truth) and sum(wrong) <= 0.01 * len(truth)
