@@ -2,11 +2,12 @@
 
 Both sides are buffered per entity. A left row comes out once the watermark
 has passed its tolerance horizon, when no nearer right row can arrive any
-more; right rows that no left row to come can reach are evicted. The buffers
-of the entities of one group (leading columns of the entity) lie in one state,
-cut into slices of time, and slices that are counted as hot are salted: the
-left rows are spread, the right rows copied to each salt, so no task ever
-holds more than one salted slice of a group.
+more; right rows that no left row to come can reach are evicted. Entities are
+put in buckets, and the buffers of a bucket lie in one state, cut into slices
+of time; slices that are counted as hot are salted: the left rows are spread,
+the right rows copied to each salt, so no task ever holds more than one salted
+slice of a bucket. A table at rest goes through the same stream in waves of
+ascending time, so that its state moves on and shrinks as a live one's does.
 """
 
 from __future__ import annotations
@@ -16,15 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracebook.sources.tables import staging_path
+from tracebook.sources.tables import broadcast_if_small, staging_path
 
 LEFT, RIGHT, MARKER = 0, 1, 2
-STATE = "l_of array<string>, l_at array<bigint>, l_id array<string>, r_of array<string>, r_at array<bigint>, r_tol array<bigint>, r_row array<string>"
+STATE = "side array<int>, of array<string>, us array<bigint>, id array<string>, tol_us array<bigint>"
+HELD = ["side", "of", "us", "id", "tol_us"]
+#: Rows of both sides in one stream. id: the left id, or what stands for the right row.
+ROWS = "bucket int, slice bigint, salt int, at timestamp, side int, of string, us bigint, id string, tol_us bigint"
 OUT = "id string, row string, distance_us bigint"
+#: What a right row's name begins with, so that an empty one stands for none.
+NAMED = "="
 
 
 def nearest(l_of: np.ndarray, l_at: np.ndarray, r_of: np.ndarray, r_at: np.ndarray) -> np.ndarray:
@@ -49,36 +55,20 @@ def _step(horizon_us: int):
     """The state machine of one salted slice."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = [list(x) for x in state.get] if state.exists else [[] for _ in range(7)]
+        parts = [pd.DataFrame(dict(zip(HELD, state.get)))] if state.exists else []
         if not state.hasTimedOut:
-            for f in frames:
-                side = f["side"].to_numpy()
-                for at, mine in ((0, side == LEFT), (3, side == RIGHT)):
-                    if mine.any():
-                        for k, c in enumerate(("of", "us", "id") if not at else ("of", "us", "tol_us", "row")):
-                            kept[at + k] += f[c].to_numpy()[mine].tolist()
+            parts += [f[HELD] for f in frames if len(f)]
+        held = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0] if parts else pd.DataFrame(columns=HELD)
+        held = held[held.side != MARKER]
         mark = state.getCurrentWatermarkMs() * 1000
-        lefts = sorted({*zip(*kept[:3])})  # rows repeated in full wait once
-        rights = sorted({*zip(kept[3], kept[4], kept[6], kept[5])})
-        ripe = [x for x in lefts if x[1] + horizon_us < mark]
-        if ripe:
-            codes = {name: i for i, name in enumerate(sorted({x[0] for x in [*ripe, *rights]}))}
-            # of right rows at one instant the smallest is the one that counts
-            one = list({(codes[x[0]], x[1]): x for x in reversed(rights)}.items())[::-1]
-            r_of, r_at = np.array([k for (k, _), _ in one], "int64"), np.array([t for (_, t), _ in one], "int64")
-            l_of, l_at = np.array([codes[x[0]] for x in ripe], "int64"), np.array([x[1] for x in ripe], "int64")
-            found = nearest(l_of, l_at, r_of, r_at)
-            out = []
-            for (_, at, name), i in zip(ripe, found.tolist()):
-                right = one[i][1] if i >= 0 else None
-                hit = right is not None and abs(at - right[1]) <= right[3]
-                out.append((name, right[2], abs(at - right[1])) if hit else (name, None, None))
-            yield pd.DataFrame({"id": [x[0] for x in out], "row": pd.Series([x[1] for x in out], dtype=object), "distance_us": pd.array([x[2] for x in out], "Int64")})
-        lefts = [x for x in lefts if x[1] + horizon_us >= mark]
-        rights = [x for x in rights if x[1] + horizon_us >= mark]
-        if lefts or rights:
-            state.update((*([x[i] for x in lefts] for i in range(3)), *([x[i] for x in rights] for i in (0, 1, 3, 2))))
-            due = (min(x[1] for x in [*lefts, *rights]) + horizon_us) // 1000 + 1
+        past = held.us.to_numpy("int64") + horizon_us < mark
+        is_left = held.side.to_numpy() == LEFT
+        if (past & is_left).any():
+            yield _matched(held[past & is_left], held[~is_left])
+        kept = held[~past].drop_duplicates()  # rows repeated in full wait once
+        if len(kept):
+            state.update(tuple(kept[c].tolist() for c in HELD))
+            due = (int(kept.us.min()) + horizon_us) // 1000 + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
@@ -86,39 +76,93 @@ def _step(horizon_us: int):
     return step
 
 
+def _matched(ripe: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
+    """OUT for the ripe left rows. Of right rows at one instant the smallest counts."""
+    ripe = ripe.drop_duplicates(["of", "us", "id"])
+    codes = pd.Index(np.unique(np.concatenate([ripe.of.to_numpy(object), rights.of.to_numpy(object)])))
+    rights = rights.assign(of=codes.get_indexer(rights.of)).sort_values(["of", "us", "id", "tol_us"]).drop_duplicates(["of", "us"])
+    r_us, tol, names = rights.us.to_numpy("int64"), rights.tol_us.to_numpy("int64"), rights.id.to_numpy(object)
+    l_us = ripe.us.to_numpy("int64")
+    found = nearest(codes.get_indexer(ripe.of), l_us, rights.of.to_numpy("int64"), r_us)
+    far = np.abs(l_us - r_us[found]) if len(r_us) else np.zeros(len(l_us), "int64")
+    hit = (found >= 0) & (far <= tol[found]) if len(r_us) else np.zeros(len(l_us), bool)
+    row = np.where(hit, names[found], "") if len(r_us) else np.full(len(l_us), "", object)
+    return pd.DataFrame({"id": ripe.id.to_numpy(object), "row": row, "distance_us": np.where(hit, far, -1)})
+
+
 def slice_of(us: Column, slice_hours: int) -> Column:
     return F.floor(us / slice_hours / 3_600_000_000).cast("long")
 
 
-def hot_slices(left: DataFrame, group: list[str], time: str, slice_hours: int, rows_per_task: int) -> DataFrame:
-    """Groups and slices of a bounded left side with more rows than one task
+def bucket_of(entity: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in entity)), F.lit(buckets)).cast("int")
+
+
+def complete(entity: list[str], time: str) -> Column:
+    whole = F.col(time).isNotNull()
+    for c in entity:
+        whole = whole & F.col(c).isNotNull()
+    return whole
+
+
+def hot_slices(left: DataFrame, entity: list[str], time: str, slice_hours: int, buckets: int, rows_per_task: int) -> DataFrame:
+    """Buckets and slices of a bounded left side with more rows than one task
     should hold, and how many salts they get. Has at most
     rows / rows_per_task rows."""
-    counted = left.filter(F.col(time).isNotNull()).groupBy(*group, slice_of(F.unix_micros(time), slice_hours).alias("slice")).count()
+    counted = left.filter(complete(entity, time)).groupBy(bucket_of(entity, buckets).alias("bucket"), slice_of(F.unix_micros(time), slice_hours).alias("slice")).count()
     return counted.filter(F.col("count") > rows_per_task).withColumn("salts", F.ceil(F.col("count") / rows_per_task).cast("int")).drop("count")
 
 
-def nearest_time_stream(
+def nearest_time_rows(
     left: DataFrame,
     right: DataFrame,
     *,
     entity: list[str],
-    group: list[str],
     left_id: str,
     left_time: str,
     right_time: str,
     right_row: str,
     right_tolerance_us: str,
     horizon_minutes: int,
-    lateness: str = "0 seconds",
     slice_hours: int = 672,
+    buckets: int = 64,
     hot: DataFrame | None = None,
-    marker: DataFrame | None = None,
 ) -> DataFrame:
+    """ROWS of both sides, streaming or at rest; stateless. Parameters as in
+    `nearest_time_stream`. Rows with a null in their entity or time are left out."""
+    us = {"l": F.unix_micros(left_time), "r": F.unix_micros(right_time)}
+    of = F.to_json(F.array(*(F.col(c).cast("string") for c in entity))).alias("of")
+    bucket = bucket_of(entity, buckets).alias("bucket")
+    rows_l = left.filter(complete(entity, left_time)).select(bucket, slice_of(us["l"], slice_hours).alias("slice"), F.col(left_time).alias("at"), F.lit(LEFT).alias("side"), of, us["l"].alias("us"), F.col(left_id).cast("string").alias("id"), F.lit(0).cast("long").alias("tol_us"))
+    horizon_us = horizon_minutes * 60_000_000
+    reach = F.sequence(slice_of(us["r"] - horizon_us, slice_hours), slice_of(us["r"] + horizon_us, slice_hours))
+    rows_r = right.filter(complete(entity, right_time)).select(bucket, F.explode(reach).alias("slice"), F.col(right_time).alias("at"), F.lit(RIGHT).alias("side"), of, us["r"].alias("us"), F.concat(F.lit(NAMED), F.col(right_row)).alias("id"), F.col(right_tolerance_us).cast("long").alias("tol_us"))
+    if hot is None:
+        rows_l, rows_r = (x.withColumn("salt", F.lit(0)) for x in (rows_l, rows_r))
+    else:
+        few = broadcast_if_small(hot, 100_000)
+        rows_l = rows_l.join(few, ["bucket", "slice"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+        rows_r = rows_r.join(few, ["bucket", "slice"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    return rows_l.select(*names).union(rows_r.select(*names))
+
+
+def matched_stream(rows: DataFrame, horizon_minutes: int, lateness: str) -> DataFrame:
+    """OUT of a stream of ROWS: the state machine of all salted slices."""
+    met = rows.withWatermark("at", lateness).groupBy("bucket", "slice", "salt").applyInPandasWithState(_step(horizon_minutes * 60_000_000), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    hit = F.col("row") != ""
+    return met.select("id", F.when(hit, F.substring("row", len(NAMED) + 1, 2**31 - 1)).alias("row"), F.when(hit, F.col("distance_us")).alias("distance_us"))
+
+
+def without_partner(left: DataFrame, entity: list[str], left_id: str, left_time: str) -> DataFrame:
+    """OUT of the left rows that can have no partner."""
+    return left.filter(~F.coalesce(complete(entity, left_time), F.lit(False))).select(F.col(left_id).cast("string").alias("id"), F.lit(None).cast("string").alias("row"), F.lit(None).cast("long").alias("distance_us"))
+
+
+def nearest_time_stream(left: DataFrame, right: DataFrame, *, entity: list[str], left_id: str, left_time: str, right_time: str, right_row: str, right_tolerance_us: str, horizon_minutes: int, lateness: str = "0 seconds", slice_hours: int = 672, buckets: int = 64, hot: DataFrame | None = None) -> DataFrame:
     """Streaming left join of each left row with the right row nearest in time.
 
-    Both frames are streaming and hold the columns of `entity`; `group` are
-    those of them by which the state is kept apart. `right_row` is
+    Both frames are streaming and hold the columns of `entity`. `right_row` is
     a string that stands for the right row, and `right_tolerance_us` how far a
     left row may lie from it, at most `horizon_minutes`. Of right rows at
     equal distance the earlier counts, at one instant the smaller `right_row`.
@@ -130,56 +174,60 @@ def nearest_time_stream(
     watermark (newest time seen less `lateness`) are late and dropped, so
     `lateness` must cover the disorder of the source. A row repeated within
     the buffer comes out once. Other columns, whatever their names, are
-    not read. `marker`: a streaming frame with one timestamp column `at` whose
-    rows only push the watermark on, to drain the buffers of bounded input.
+    not read.
     """
-    us = {"l": F.unix_micros(left_time), "r": F.unix_micros(right_time)}
-    keys = [f"k{i}" for i in range(len(group))]
-    of = F.to_json(F.array(*(F.col(c).cast("string") for c in entity if c not in group))).alias("of")
-    whole = F.col(left_time).isNotNull()
-    for c in entity:
-        whole = whole & F.col(c).isNotNull()
-    horizon_us = horizon_minutes * 60_000_000
-    rows_l = left.filter(whole).select(
-        *(F.col(c).cast("string").alias(k) for c, k in zip(group, keys)), of, slice_of(us["l"], slice_hours).alias("slice"), F.col(left_time).alias("at"), us["l"].alias("us"), F.col(left_id).cast("string").alias("id"), F.lit(LEFT).alias("side"), F.lit(0).cast("long").alias("tol_us"), F.lit(None).cast("string").alias("row")
-    )
-    reach = F.sequence(slice_of(us["r"] - horizon_us, slice_hours), slice_of(us["r"] + horizon_us, slice_hours))
-    there = F.col(right_time).isNotNull()
-    for c in entity:
-        there = there & F.col(c).isNotNull()
-    rows_r = right.filter(there).select(
-        *(F.col(c).cast("string").alias(k) for c, k in zip(group, keys)), of, F.explode(reach).alias("slice"), F.col(right_time).alias("at"), us["r"].alias("us"), F.lit(None).cast("string").alias("id"), F.lit(RIGHT).alias("side"), F.col(right_tolerance_us).cast("long").alias("tol_us"), F.col(right_row).alias("row")
-    )
-    if hot is not None:
-        named = hot.select(*(F.col(c).cast("string").alias(k) for c, k in zip(group, keys)), "slice", "salts")
-        rows_l = rows_l.join(F.broadcast(named), [*keys, "slice"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        rows_r = rows_r.join(F.broadcast(named), [*keys, "slice"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    else:
-        rows_l, rows_r = (x.withColumn("salt", F.lit(0)) for x in (rows_l, rows_r))
-    both = rows_l.unionByName(rows_r)
-    if marker is not None:
-        both = both.unionByName(
-            marker.select(*(F.lit("").alias(k) for k in keys), F.lit("").alias("of"), F.lit(0).cast("long").alias("slice"), "at", F.unix_micros("at").alias("us"), F.lit(None).cast("string").alias("id"), F.lit(MARKER).alias("side"), F.lit(0).cast("long").alias("tol_us"), F.lit(None).cast("string").alias("row"), F.lit(-1).alias("salt"))
-        )
-    met = both.withWatermark("at", lateness).groupBy(*keys, "slice", "salt").applyInPandasWithState(_step(horizon_us), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    alone = left.filter(~F.coalesce(whole, F.lit(False))).select(F.col(left_id).cast("string").alias("id"), F.lit(None).cast("string").alias("row"), F.lit(None).cast("long").alias("distance_us"))
-    return met.unionByName(alone)
-
-
-def marker_at(spark: SparkSession, latest: dt.datetime | None, horizon_minutes: int, lateness: dt.timedelta) -> DataFrame:
-    """A streaming frame whose one row lies beyond every horizon of input that
-    ends at `latest`."""
-    path = staging_path(spark, "marker")
-    end = (latest or dt.datetime(1970, 1, 2)) + dt.timedelta(minutes=2 * horizon_minutes + 1) + lateness
-    spark.createDataFrame([(end,)], "at timestamp").coalesce(1).write.parquet(path)
-    return spark.readStream.schema("at timestamp").parquet(path)
-
-
-def run_to_end(stream: DataFrame, label: str) -> DataFrame:
-    """Run a streaming frame over all that its sources hold now, into a table
-    in the shared folder, and read that."""
-    spark = stream.sparkSession
-    out, check = staging_path(spark, label), staging_path(spark, f"{label}-log")
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = nearest_time_rows(left, right, entity=entity, left_id=left_id, left_time=left_time, right_time=right_time, right_row=right_row, right_tolerance_us=right_tolerance_us, horizon_minutes=horizon_minutes, slice_hours=slice_hours, buckets=buckets, hot=hot)
+    return matched_stream(rows, horizon_minutes, lateness).unionByName(without_partner(left, entity, left_id, left_time))
+
+
+def nearest_time_at_rest(left: DataFrame, right: DataFrame, *, entity: list[str], left_id: str, left_time: str, right_time: str, right_row: str, right_tolerance_us: str, horizon_minutes: int, slice_hours: int = 672, rows_per_task: int = 50_000, waves: int = 6) -> tuple[DataFrame, list]:
+    """As `nearest_time_stream` for bounded frames, whose rows are in no useful
+    order: they are written once by `waves` ranges of time (equal in left rows)
+    and stream in one after the other, so nothing is late, and the watermark
+    moves as it would live. Returns the result and the progress of the batches."""
+    spark = left.sparkSession
+    us = F.unix_micros(left_time)
+    cuts = [i / waves for i in range(1, waves)] or [1.0]
+    bounds, n = left.filter(complete(entity, left_time)).agg(F.percentile_approx(us, cuts), F.count(F.lit(1))).first()
+    # one call of the state machine costs as much as some thousand rows in it
+    buckets = max(1, min(2**20, n // 2_000))
+    hot = hot_slices(left, entity, left_time, slice_hours, buckets, rows_per_task)
+    rows = nearest_time_rows(left, right, entity=entity, left_id=left_id, left_time=left_time, right_time=right_time, right_row=right_row, right_tolerance_us=right_tolerance_us, horizon_minutes=horizon_minutes, slice_hours=slice_hours, buckets=buckets, hot=hot)
+    wave = F.lit(0)
+    for b in sorted(set(bounds or [])):
+        wave = wave + (F.col("us") > b).cast("int")
+    staged = staging_path(spark, "waves")
+    rows.withColumn("wave", wave).write.partitionBy("wave").parquet(staged)
+    there = spark.read.schema(ROWS + ", wave int").parquet(staged)
+    size, latest = there.agg(F.count(F.lit(1)), F.max("at")).first()
+    met, progress = _run_waves(there, staged, size, latest, horizon_minutes, rows_per_task, waves)
+    return met.union(without_partner(left, entity, left_id, left_time)), progress
+
+
+def _run_waves(there: DataFrame, staged: str, size: int, latest: dt.datetime | None, horizon_minutes: int, rows_per_task: int, waves: int) -> tuple[DataFrame, list]:
+    """Stream the staged waves in ascending order, and then a marker beyond
+    every horizon, that drains the buffers."""
+    spark = there.sparkSession
+    out, log, source = (staging_path(spark, x) for x in ("nearest", "nearest-log", "nearest-in"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(conf)
+    files.mkdirs(path(source))
+    end = (latest or dt.datetime(1970, 1, 2)) + dt.timedelta(minutes=2 * horizon_minutes + 1)
+    marker = spark.createDataFrame([(-1, 0, 0, end, MARKER, "", 0, "", 0)], ROWS).withColumn("us", F.unix_micros("at"))
+    marker.coalesce(1).write.parquet(f"{staged}/wave={waves}")
+    # a session of its own, whose stateful tasks are as many as the rows need
+    own = spark.newSession()
+    tasks = max(-(-size // rows_per_task), min(-(-size // 10_000), spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.shuffle.partitions", max(1, min(tasks, 20_000)))
+    rows = own.readStream.schema(ROWS).option("recursiveFileLookup", True).parquet(source)
+    query = matched_stream(rows, horizon_minutes, "0 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", log).start()
+    try:
+        for k in range(waves + 1):
+            if files.exists(path(f"{staged}/wave={k}")):
+                files.rename(path(f"{staged}/wave={k}"), path(f"{source}/wave-{k}"))
+                query.processAllAvailable()
+        progress = query.recentProgress
+    finally:
+        query.stop()
+    return spark.read.schema(OUT).parquet(out), progress

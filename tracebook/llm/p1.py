@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracebook.llm.nearest_time import hot_slices, marker_at, nearest_time_stream, run_to_end
+from tracebook.llm.nearest_time import nearest_time_at_rest
 from tracebook.operators.timetable import clock, expand_sessions
-from tracebook.sources.tables import table, table_stream
-
-#: Left rows of one timetable and slice that one task may hold before it is salted.
-ROWS_PER_TASK = 50_000
-SLICE_HOURS = 28 * 24
+from tracebook.sources.tables import table
 
 
 def session_ends(timetables: DataFrame) -> DataFrame:
@@ -26,25 +20,17 @@ def session_ends(timetables: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, session_date, session_start: one row per recording with a session.
 
-    Recordings and timetables stream from their files. All of both sides that
-    is there counts, in whatever order it lies, hence the tables go through as
-    one micro-batch, under a watermark that only the marker after them moves.
-    A recording without course, stamp or known kind has no session; repeated
-    recordings count once.
+    Recordings and sessions lie in no useful order; they stream in waves of
+    ascending time through the stateful join. A recording without course,
+    stamp or known kind has no session; repeated recordings count once.
     """
     recordings, timetables = (table(spark, sf_dir, t) for t in ("recordings", "timetable"))
-    group = ["timetable_id"]
-    latest = recordings.agg(F.max("stamp_at").alias("latest")).first()["latest"]
     horizon = int(timetables.agg(F.coalesce(F.max("tolerance_minutes"), F.lit(0)).alias("m")).first()["m"])
-    hot = hot_slices(recordings, group, "stamp_at", SLICE_HOURS, ROWS_PER_TASK)
-    stream = nearest_time_stream(
-        table_stream(spark, sf_dir, "recordings"),
-        session_ends(table_stream(spark, sf_dir, "timetable")),
-        entity=["timetable_id", "course_id", "stamp_kind"], group=group, left_id="rec_id", left_time="stamp_at", right_time="at", right_row="row", right_tolerance_us="tol_us",
-        horizon_minutes=horizon, slice_hours=SLICE_HOURS, hot=hot, marker=marker_at(spark, latest, horizon, dt.timedelta(0)),
+    met, _ = nearest_time_at_rest(
+        recordings, session_ends(timetables), entity=["timetable_id", "course_id", "stamp_kind"], left_id="rec_id", left_time="stamp_at", right_time="at", right_row="row", right_tolerance_us="tol_us", horizon_minutes=horizon,
     )
-    met = run_to_end(stream, "nearest").filter(F.col("row").isNotNull())
-    return met.select(F.col("id").cast("long").alias("rec_id"), F.split("row", " ")[0].alias("session_date"), F.split("row", " ")[1].alias("session_start")).distinct()
+    there = met.filter(F.col("row").isNotNull())
+    return there.select(F.col("id").cast("long").alias("rec_id"), F.split("row", " ")[0].alias("session_date"), F.split("row", " ")[1].alias("session_start")).distinct()
 
 
 P1_FOUND_SQL = """
