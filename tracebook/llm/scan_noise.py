@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracebook.sources.tables import broadcast_if_small, stage, without_broadcast
+from tracebook.sources.tables import stage, without_broadcast
 
 # Characters that recognition confuses, as right and wrong.
 CONFUSED = ["ec", "tf", "ao", "i1", "l1", "s5", "o0", "g9", "hb", "vy", "il", "li", "b8", "z2", "ce", "ft", "oa", "bh", "yv", "q9", "nh", "hn", "uv", "vu", "nu", "un"]
@@ -104,6 +104,15 @@ def edges(lines: list[str]) -> tuple[list[int], list[int]]:
     return held[:2], held[-2:][::-1]
 
 
+def count_words(texts: list[str], words: Counter, chunk: int = 2_000) -> None:
+    """Add the words of two characters or more, and the compounds, of the texts
+    in lower case to the count."""
+    for i in range(0, len(texts), chunk):
+        joined = "\n".join(texts[i : i + chunk])
+        words.update({w: n for w, n in Counter(WORD.findall(joined)).items() if len(w) > 1})
+        words.update(COMPOUND.findall(joined))
+
+
 def count_ideographs(texts: list[str], chars: Counter, pairs: Counter, chunk: int = 2_000) -> None:
     """Add the ideographs of the texts and the pairs of neighbours to the counts."""
     for i in range(0, len(texts), chunk):
@@ -121,6 +130,7 @@ def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         counts = {"word": (Counter(), Counter()), "han": (Counter(), Counter()), "char": (Counter(), Counter())}
         chinese: tuple[list[str], list[str]] = [], []
+        plain: tuple[list[str], list[str]] = [], []
         for file_id, page_no, text, ocr in zip(f["file_id"], f["page_no"], f["text"], f["ocr"]):
             lines = text.split("\n")
             seen = set()
@@ -142,13 +152,11 @@ def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if m[2][0].islower():
                         out.append(("cut", file_id, page_no, text.count("\n", 0, m.start()) + 1, (m[1] + m[2]).lower(), f"{m[1]}-{m[2]}".lower(), len(m[1]), int(ocr)))
                 text = CUT.sub(" ", text)
-            lower = text.lower()
-            counts["word"][ocr].update(w for w in WORD.findall(lower) if len(w) > 1)
-            if "-" in lower:
-                counts["word"][ocr].update(COMPOUND.findall(lower))
+            plain[ocr].append(text.lower())
             if HAN.search(text):
                 chinese[ocr].append(text.replace("\n", ""))
         for ocr in (False, True):
+            count_words(plain[ocr], counts["word"][ocr])
             count_ideographs(chinese[ocr], counts["char"][ocr], counts["han"][ocr])
         for kind, (clean, read) in counts.items():
             for key in clean.keys() | read.keys():
@@ -156,8 +164,10 @@ def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
 
 
-def _tokens(suspects: set[str]):
-    """The words of recognised pages, and the bigrams that hold a suspect."""
+def _tokens(suspects: set[str], wanted: frozenset[str] | None):
+    """The words of recognised pages (of them only those `wanted`, where that
+    set is small enough to have), and the suspect ideographs alone and with
+    either neighbour."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -165,8 +175,12 @@ def _tokens(suspects: set[str]):
             for file_id, page_no, text in zip(f["file_id"], f["page_no"], f["text"]):
                 found = {(text.count("\n", 0, m.start()) + 1, (m[1] + m[2]).lower(), len(m[1])) for m in CUT.finditer(text)}
                 for i, x in enumerate(CUT.sub("  \n  ", text).lower().split("\n"), 1):
-                    found.update((i, w, 0) for w in WORD.findall(x) if len(w) > 2 and not w.isdigit())
-                if suspects:
+                    words = WORD.findall(x)
+                    if wanted is None:
+                        found.update((i, w, 0) for w in words if len(w) > 2 and not w.isdigit())
+                    elif not wanted.isdisjoint(words):
+                        found.update((i, w, 0) for w in wanted.intersection(words))
+                if suspects and not suspects.isdisjoint(text):
                     kept = [(c, i) for i, x in enumerate(text.split("\n"), 1) for c in x]
                     for (a, i), (b, j) in pairwise(kept):
                         if a in suspects:
@@ -289,6 +303,7 @@ def running_titles(edge: DataFrame, skeleton: DataFrame) -> DataFrame:
     files = edge.select("file_id", "source_file").distinct()
     of_chapters = skeleton.select("source_file", named.alias("a")).filter("length(a) > 2").join(files, "source_file").select("file_id", "a")
     titles = often.union(of_chapters).distinct()
+    edge = without_broadcast(edge)
     exact = edge.join(titles, ["file_id", "a"], "left_semi").select("file_id", "page_no", "line_no")
     left = edge.join(titles, ["file_id", "a"], "left_anti").filter(f"length(a) >= 4 and not a like '{HASHED}%'")
 
@@ -298,7 +313,7 @@ def running_titles(edge: DataFrame, skeleton: DataFrame) -> DataFrame:
         parts = F.array(F.struct(F.lit(0).alias("p"), F.expr("left(a, int(length(a) / 3))").alias("t")), F.struct(F.lit(1).alias("p"), F.substring(F.col("a"), cut + 1, cut).alias("t")), F.struct(F.lit(2).alias("p"), F.substring(F.col("a"), 2 * cut + 1, n).alias("t")))
         return df.withColumn("size", n).withColumn("_p", F.explode(parts)).select("*", "_p.p", "_p.t").drop("_p").withColumnRenamed("a", name)
 
-    near = thirds(left, "a1").join(thirds(titles, "a2"), ["file_id", "size", "p", "t"]).filter(F.levenshtein("a1", "a2") <= F.when(F.col("size") < 8, 1).otherwise(2))
+    near = without_broadcast(thirds(left, "a1")).join(thirds(titles, "a2"), ["file_id", "size", "p", "t"]).filter(F.levenshtein("a1", "a2") <= F.when(F.col("size") < 8, 1).otherwise(2))
     return exact.union(near.select("file_id", "page_no", "line_no")).distinct()
 
 
@@ -309,7 +324,7 @@ def page_numbers(num: DataFrame, labels: DataFrame) -> DataFrame:
     `labels`: file_id, page_no, number."""
     offset = labels.filter("number rlike '^[0-9]{1,6}$'").select("file_id", (F.col("number").cast("int") - F.col("page_no")).alias("off")).groupBy("file_id", "off").count()
     offset = offset.groupBy("file_id").agg(F.max_by("off", F.struct("count", "off")).alias("off"))
-    known = num.join(labels, ["file_id", "page_no"], "left").join(offset, "file_id", "left")
+    known = without_broadcast(without_broadcast(num).join(labels, ["file_id", "page_no"], "left")).join(offset, "file_id", "left")
     likely = F.coalesce("number", (F.col("page_no") + F.coalesce("off", F.lit(0))).cast("string"))
     return known.filter((F.col("a") == likely) | (F.col("number").isNull() & (F.col("b") == "dressed"))).select("file_id", "page_no", "line_no").distinct()
 
@@ -324,6 +339,10 @@ def label_misread(label: pd.Series) -> pd.Series:
     return pd.Series(["y" if label_number(x)[1] else "n" for x in label], dtype=object)
 
 
+#: Corrections up to this number go to the workers, which then send on only what is misread.
+FEW = 200_000
+
+
 def page_faults(pages: DataFrame, skeleton: DataFrame) -> DataFrame:
     """file_id, page_no, line_no, issue, wrong, fixed: one row per fault.
 
@@ -342,7 +361,8 @@ def page_faults(pages: DataFrame, skeleton: DataFrame) -> DataFrame:
     counts = {k: stage(found.filter(F.col("kind") == k).groupBy("a").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), f"count-{k}") for k in ("word", "han", "char")}
 
     files = rows.select("file_id", "source_file").distinct()
-    edge = found.filter("kind = 'edge'").select("file_id", "page_no", "line_no", "a").distinct().join(files, "file_id")
+    edge = found.filter("kind = 'edge'").select("file_id", "page_no", "line_no", "a").distinct()
+    edge = without_broadcast(edge).join(files, "file_id")
     titles = running_titles(edge, skeleton)
     labels = rows.select("file_id", "page_no", "page_label").filter("page_label is not null").distinct()
     numbers = page_numbers(found.filter("kind = 'num'").select("file_id", "page_no", "line_no", "a", "b").distinct(), labels.select("file_id", "page_no", printed_number("page_label").alias("number")).groupBy("file_id", "page_no").agg(F.min("number").alias("number")))
@@ -356,8 +376,10 @@ def page_faults(pages: DataFrame, skeleton: DataFrame) -> DataFrame:
     wrong_of = F.when(F.length("word") == 1, F.col("word")).when(F.left("word", F.lit(1)) != F.left("fixed", F.lit(1)), F.left("word", F.lit(1))).otherwise(F.right("word", F.lit(1)))
     fixes = words.union(han.select("word", "fixed", F.lit(0).alias("place")))
     suspects = {r["x"] for r in fixes.filter("place = 0").select(wrong_of.alias("x")).distinct().collect()}
-    tokens = texts.filter("ocr").mapInPandas(_tokens(suspects), "file_id string, page_no int, line_no int, word string, cut int")
-    misread = tokens.join(broadcast_if_small(fixes, 200_000), "word").withColumn("line_no", F.when((F.col("cut") > 0) & (F.col("place") > F.col("cut")), F.col("line_no") + 1).otherwise(F.col("line_no")))
+    few = fixes.select("word").limit(FEW + 1).collect()
+    wanted = frozenset(r["word"] for r in few) if len(few) <= FEW else None
+    tokens = texts.filter("ocr").mapInPandas(_tokens(suspects, wanted), "file_id string, page_no int, line_no int, word string, cut int")
+    misread = without_broadcast(tokens).join(fixes, "word").withColumn("line_no", F.when((F.col("cut") > 0) & (F.col("place") > F.col("cut")), F.col("line_no") + 1).otherwise(F.col("line_no")))
     misread = misread.select("file_id", "page_no", "line_no", F.lit("misread").alias("issue"), F.col("word").alias("wrong"), "fixed")
 
     cut = found.filter("kind = 'cut'").select("file_id", "page_no", "line_no", F.col("a").alias("joined"), F.col("b").alias("cut"), F.col("n").alias("at"))
@@ -367,8 +389,8 @@ def page_faults(pages: DataFrame, skeleton: DataFrame) -> DataFrame:
     forms = without_broadcast(each).join(known, "w", "left").groupBy("joined", "cut").agg(*(F.coalesce(F.max(F.when(F.col("of") == k, F.col("f"))), F.lit(0)).alias(f"f_{k}") for k in pieces))
     read = forms.join(words.select(F.col("word").alias("joined"), F.col("fixed").alias("_fixed")), "joined", "left")
     whole = F.when(F.col("f_cut") > F.col("f_joined"), False).when((F.col("f_joined") > 0) | F.col("_fixed").isNotNull(), True).otherwise(~((F.col("f_left") > 2) & (F.col("f_right") > 2)))
-    hyphen = cut.join(read.filter(whole).select("joined", "cut"), ["joined", "cut"], "left_semi").select("file_id", "page_no", "line_no", F.lit("hyphen").alias("issue"), F.col("cut").alias("wrong"), F.col("joined").alias("fixed"))
+    hyphen = without_broadcast(cut).join(read.filter(whole).select("joined", "cut"), ["joined", "cut"], "left_semi").select("file_id", "page_no", "line_no", F.lit("hyphen").alias("issue"), F.col("cut").alias("wrong"), F.col("joined").alias("fixed"))
 
-    body = misread.union(hyphen).join(edge_lines.select("file_id", "page_no", "line_no"), ["file_id", "page_no", "line_no"], "left_anti")
+    body = without_broadcast(misread.union(hyphen)).join(edge_lines.select("file_id", "page_no", "line_no"), ["file_id", "page_no", "line_no"], "left_anti")
     wrong_labels = labels.filter(label_misread("page_label") == "y").select("file_id", "page_no", F.lit(0).alias("line_no"), F.lit("label").alias("issue"), F.col("page_label").alias("wrong"), printed_number("page_label").alias("fixed"))
     return edge_lines.unionByName(body).unionByName(wrong_labels).distinct()
