@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,8 +25,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracebook.sources.tables import broadcast_if_small, staging_path
 
 LEFT, RIGHT, MARKER = 0, 1, 2
-STATE = "side array<int>, of array<string>, us array<bigint>, id array<string>, tol_us array<bigint>"
+#: The buffered rows as one Arrow record batch, of columns HELD.
+STATE = "rows binary"
 HELD = ["side", "of", "us", "id", "tol_us"]
+BATCH = pa.schema([("side", pa.int32()), ("of", pa.string()), ("us", pa.int64()), ("id", pa.string()), ("tol_us", pa.int64())])
 #: Rows of both sides in one stream. id: the left id, or what stands for the right row.
 ROWS = "bucket int, slice bigint, salt int, at timestamp, side int, of string, us bigint, id string, tol_us bigint"
 OUT = "id string, row string, distance_us bigint"
@@ -55,7 +58,7 @@ def _step(horizon_us: int):
     """The state machine of one salted slice."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [pd.DataFrame(dict(zip(HELD, state.get)))] if state.exists else []
+        parts = [pa.ipc.read_record_batch(bytes(state.get[0]), BATCH).to_pandas()] if state.exists else []
         if not state.hasTimedOut:
             parts += [f[HELD] for f in frames if len(f)]
         held = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0] if parts else pd.DataFrame(columns=HELD)
@@ -65,9 +68,9 @@ def _step(horizon_us: int):
         is_left = held.side.to_numpy() == LEFT
         if (past & is_left).any():
             yield _matched(held[past & is_left], held[~is_left])
-        kept = held[~past].drop_duplicates()  # rows repeated in full wait once
+        kept = held[~past]
         if len(kept):
-            state.update(tuple(kept[c].tolist() for c in HELD))
+            state.update((pa.RecordBatch.from_pandas(kept[HELD], BATCH, preserve_index=False).serialize().to_pybytes(),))
             due = (int(kept.us.min()) + horizon_us) // 1000 + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
@@ -80,7 +83,9 @@ def _matched(ripe: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
     """OUT for the ripe left rows. Of right rows at one instant the smallest counts."""
     ripe = ripe.drop_duplicates(["of", "us", "id"])
     codes = pd.Index(np.unique(np.concatenate([ripe.of.to_numpy(object), rights.of.to_numpy(object)])))
-    rights = rights.assign(of=codes.get_indexer(rights.of)).sort_values(["of", "us", "id", "tol_us"]).drop_duplicates(["of", "us"])
+    rights = rights.assign(of=codes.get_indexer(rights.of)).sort_values(["of", "us"])
+    if rights.duplicated(["of", "us"]).any():
+        rights = rights.sort_values(["of", "us", "id", "tol_us"]).drop_duplicates(["of", "us"])
     r_us, tol, names = rights.us.to_numpy("int64"), rights.tol_us.to_numpy("int64"), rights.id.to_numpy(object)
     l_us = ripe.us.to_numpy("int64")
     found = nearest(codes.get_indexer(ripe.of), l_us, rights.of.to_numpy("int64"), r_us)
@@ -190,7 +195,7 @@ def nearest_time_at_rest(left: DataFrame, right: DataFrame, *, entity: list[str]
     cuts = [i / waves for i in range(1, waves)] or [1.0]
     bounds, n = left.filter(complete(entity, left_time)).agg(F.percentile_approx(us, cuts), F.count(F.lit(1))).first()
     # one call of the state machine costs as much as some thousand rows in it
-    buckets = max(1, min(2**20, n // 2_000))
+    buckets = max(1, min(2**20, n // 10_000))
     hot = hot_slices(left, entity, left_time, slice_hours, buckets, rows_per_task)
     rows = nearest_time_rows(left, right, entity=entity, left_id=left_id, left_time=left_time, right_time=right_time, right_row=right_row, right_tolerance_us=right_tolerance_us, horizon_minutes=horizon_minutes, slice_hours=slice_hours, buckets=buckets, hot=hot)
     wave = F.lit(0)
