@@ -21,7 +21,8 @@ from pyspark.sql.types import BooleanType
 from tracebook.sources.tables import stage
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BLOCK = 4096
+#: Characters hashed at once, and shingles permuted at once.
+CHARS, BLOCK = 1_000_000, 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,89 +32,164 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def char_shingles(text: str, size: int) -> np.ndarray:
-    """Hashes of the distinct substrings of `size` code points, ascending."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
-    n = len(codes) - size + 1
-    if n < 1:
-        return np.empty(0, "u8")
-    h = np.zeros(n, "u8")
+def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each owner, ascending, and where each owner begins."""
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def _windows(units: np.ndarray, sizes: np.ndarray, size: int, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of each run of `size` units within one text; of a text
+    with fewer, all of them as one run, if wanted."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    left = np.repeat(sizes, sizes) - (np.arange(len(units)) - np.repeat(first, sizes))  # units from here to the text's end
+    padded = np.concatenate([units, np.zeros(size, "u8")])
+    h = np.zeros(len(units), "u8")
     for i in range(size):
-        h = mix(h ^ codes[i : i + n] + np.uint64(i + 1))
-    return np.unique(h)
+        h = np.where(left > i, mix(h ^ padded[i : i + len(units)] + np.uint64(i + 1)), h)
+    begins = left >= size
+    if whole_if_short:
+        begins |= (np.repeat(sizes, sizes) < size) & (left == np.repeat(sizes, sizes))
+    return owner[begins], h[begins]
+
 
+def char_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct substrings of `size` code points of each text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    owner, h = _windows(codes, np.fromiter(map(len, texts), "i8", len(texts)), size, False)
+    return _distinct(owner, h, len(texts))
 
-def word_shingles(text: str, size: int) -> np.ndarray:
-    """Hashes of the distinct runs of `size` blank-separated words (all words
-    as one, if there are fewer)."""
-    words = text.split()
-    if not words:
-        return np.empty(0, "u8")
-    runs = {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-    return np.unique(np.fromiter((int(char_shingles(r, len(r))[0]) for r in runs), "u8"))
+
+def word_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs of `size` blank-separated words of each text
+    (all words as one, if there are fewer)."""
+    words = [t.split() for t in texts]
+    flat = [w for ws in words for w in ws]
+    hashes = pd.util.hash_array(np.array(flat, dtype=object)) if flat else np.empty(0, "u8")
+    owner, h = _windows(hashes, np.fromiter(map(len, words), "i8", len(texts)), size, True)
+    return _distinct(owner, h, len(texts))
 
 
 SHINGLES = {"char": char_shingles, "word": word_shingles}
 
 
-def signature(shingles: np.ndarray, permutations: int, seed: int = 1) -> np.ndarray:
-    """Minimum and maximum of each permutation: 2 * permutations values."""
+def in_parts(texts: list[str]) -> Iterator[slice]:
+    """Slices of the texts of about CHARS characters; a longer text is one of its own."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t) > CHARS:
+            yield slice(first, i)
+            first, held = i, 0
+        held += len(t)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def signatures(h: np.ndarray, starts: np.ndarray, permutations: int, seed: int = 1) -> np.ndarray:
+    """Minimum and maximum of each permutation, for each owner of the hashes
+    (every owner must have some): 2 * permutations values a row."""
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**63, permutations, "u8") * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, permutations, "u8")
-    low, high = np.full(permutations, ~np.uint64(0)), np.zeros(permutations, "u8")
-    for i in range(0, len(shingles), BLOCK):
-        p = a[:, None] * shingles[None, i : i + BLOCK] + b[:, None]
-        low, high = np.minimum(low, p.min(axis=1)), np.maximum(high, p.max(axis=1))
-    return np.concatenate([low, high])
-
-
-def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    """One key per band of `rows` values; the band's place is part of it."""
-    bands = sig.reshape(-1, rows)
-    h = np.arange(1, len(bands) + 1, dtype="u8")
+    n = len(starts) - 1
+    low, high = np.full((permutations, n), ~np.uint64(0)), np.zeros((permutations, n), "u8")
+    for at in range(0, len(h), BLOCK):
+        part = h[at : at + BLOCK]
+        one = np.searchsorted(starts, at, side="right") - 1
+        last = np.searchsorted(starts, at + len(part), side="left")
+        cuts = np.maximum(starts[one:last], at) - at
+        for k in range(permutations):
+            p = part * a[k] + b[k]
+            low[k, one:last] = np.minimum(low[k, one:last], np.minimum.reduceat(p, cuts))
+            high[k, one:last] = np.maximum(high[k, one:last], np.maximum.reduceat(p, cuts))
+    return np.concatenate([low, high]).T
+
+
+def band_keys(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """One key per band of `rows` values of each signature; the band's place is part of it."""
+    bands = sigs.reshape(len(sigs), -1, rows)
+    h = np.tile(np.arange(1, bands.shape[1] + 1, dtype="u8"), (len(sigs), 1))
     for i in range(rows):
-        h = mix(h * MIX2 ^ bands[:, i])
-    return h.view("i8")
+        h = mix(h * MIX2 ^ bands[:, :, i])
+    return h
 
 
 def _banded(unit: str, size: int, permutations: int, rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids, keys = [], []
-            for rid, block, text in zip(f["rid"], f["block"], f["text"]):
-                s = SHINGLES[unit](text, size)
-                if len(s):
-                    salt = np.uint64(char_shingles(block, len(block))[0]) if block else np.uint64(0)
-                    ids.append(rid)
-                    keys.append(mix(band_keys(signature(s, permutations), rows).view("u8") ^ salt).view("i8"))
-            yield pd.DataFrame({"rid": np.array(ids, "int64"), "keys": pd.Series(keys, dtype=object)})
+            texts, rid = f["text"].tolist(), f["rid"].to_numpy("i8")
+            salt = pd.util.hash_array(f["block"].to_numpy(object))
+            for part in in_parts(texts):
+                h, starts = SHINGLES[unit](texts[part], size)
+                held = np.flatnonzero(np.diff(starts))
+                if len(held):
+                    keys = mix(band_keys(signatures(h, np.append(starts[held], len(h)), permutations), rows) ^ salt[part][held][:, None]).view("i8")
+                    yield pd.DataFrame({"rid": rid[part][held], "keys": pd.Series(list(keys), dtype=object)})
 
     return run
 
 
+def overlaps(first: list[str], second: list[str], unit: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of texts how many shingles both have, and how many either
+    has. Each distinct text is cut once."""
+    codes, distinct = pd.factorize(np.array(first + second, dtype=object))
+    h, starts = SHINGLES[unit](distinct.tolist(), size)
+    many = np.diff(starts)
+    a, b = codes[: len(first)], codes[len(first) :]
+    owner = np.concatenate([np.repeat(np.arange(len(a)), many[a]), np.repeat(np.arange(len(b)), many[b])])
+    each = np.concatenate([a, b])
+    size_of = many[each]
+    at = np.repeat(starts[each] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
+    values = h[at]
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    twice = (owner[1:] == owner[:-1]) & (values[1:] == values[:-1])
+    common = np.bincount(owner[1:][twice], minlength=len(a))
+    return common, many[a] + many[b] - common
+
+
 def similar(unit: str, size: int, threshold: float):
     """A vectorised test of pairs of texts: |common| >= threshold * |all|."""
 
     @F.pandas_udf(BooleanType())
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        cut = SHINGLES[unit]
-        out, last, x = [], None, None
-        for s, t in zip(a, b):
-            if s != last:
-                last, x = s, cut(s, size)
-            y = cut(t, size)
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)) or not len(x):
-                out.append(False)
-                continue
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(common >= threshold * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
+        first, second = a.tolist(), b.tolist()
+        out = np.zeros(len(first), bool)
+        for part in in_parts([x + y for x, y in zip(first, second)]):
+            common, every = overlaps(first[part], second[part], unit, size)
+            out[part] = (common >= threshold * every) & (every > 0)
+        return pd.Series(out)
 
     return test
 
 
-def near_duplicate_pairs(df: DataFrame, *, key: str, text: Column, block: Column | None = None, unit: str = "word", size: int = 5, threshold: float = 0.8, permutations: int = 128, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def met_in_bands(bands: DataFrame, hot: int) -> DataFrame:
+    """rid_a, rid_b, rid_a < rid_b: the rids that share a band, once each.
+    `bands`: rid, band.
+
+    Bands with the very same rids (a family of near copies agrees in most) are
+    joined once, told by two hashes of the set of rids. A band of more than
+    `hot` rids is salted: its rids are spread over salts, and every two salts
+    meet in a task of their own."""
+    h = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *h).filter("n > 1")
+    once = shared.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    met = bands.join(once, "band").withColumn("salt", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("salts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
+    spread = met.select("band", "rid", "salt", other).select("band", "rid", F.least("salt", "other").alias("s"), F.greatest("salt", "other").alias("t"), "salt")
+    a, b = spread.alias("a"), spread.alias("b")
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.t") == F.col("b.t"))
+    # of two salts the first meets the second; within one salt all meet
+    ordered = ((F.col("a.s") == F.col("a.t")) & (F.col("a.rid") < F.col("b.rid"))) | ((F.col("a.s") < F.col("a.t")) & (F.col("a.salt") < F.col("b.salt")))
+    pairs = a.join(b, same & ordered)
+    return pairs.select(F.least("a.rid", "b.rid").alias("rid_a"), F.greatest("a.rid", "b.rid").alias("rid_b")).distinct()
+
+
+def near_duplicate_pairs(df: DataFrame, *, key: str, text: Column, block: Column | None = None, unit: str = "word", size: int = 5, threshold: float = 0.8, permutations: int = 128, rows: int = 4, hot: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """Pairs between distinct texts, and who holds each text.
 
     Returns `pairs`(rid_a, rid_b), rid_a < rid_b, of the texts of one block
@@ -126,7 +202,7 @@ def near_duplicate_pairs(df: DataFrame, *, key: str, text: Column, block: Column
     A pair at similarity s is a candidate with probability
     1 - (1 - s^rows)^(2 * permutations / rows): 0.99986 at 0.6 with the
     defaults, 0.9999999 at 0.75. No bucket is capped; a bucket of one band is
-    joined, not collected.
+    joined, not collected, and split beyond `hot` texts.
     """
     block = F.lit("") if block is None else block
     plain = df.select(F.col(key).alias("key"), block.alias("block"), F.coalesce(text, F.lit("")).alias("text")).filter(F.col("key").isNotNull() & F.col("block").isNotNull())
@@ -135,9 +211,7 @@ def near_duplicate_pairs(df: DataFrame, *, key: str, text: Column, block: Column
     texts = stage(plain.select("block", "text").distinct().withColumn("rid", F.monotonically_increasing_id()), "texts")
     banded = texts.mapInPandas(_banded(unit, size, permutations, rows), "rid long, keys array<long>")
     bands = stage(banded.select("rid", F.explode("keys").alias("band")), "bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    met = bands.join(shared, "band", "left_semi")
-    near = met.alias("a").join(met.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rid") < F.col("b.rid"))).select(F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b")).distinct()
+    near = met_in_bands(bands, hot)
     sides = [texts.select(F.col("rid").alias(f"rid_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"]
     pairs = near.join(sides[0], "rid_a").join(sides[1], "rid_b").filter(similar(unit, size, threshold)("text_a", "text_b")).select("rid_a", "rid_b")
     members = plain.join(texts, ["block", "text"]).select("key", "rid").distinct()
