@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracebook.llm.minmax_hash import band_keys, char_shingles, expand_pairs, near_duplicate_pairs, signature, word_shingles
+from tracebook.llm.minmax_hash import band_keys, char_shingles, expand_pairs, met_in_bands, near_duplicate_pairs, overlaps, signatures, word_shingles
 from tracebook.llm.shared_spans import powers, shared_span_pairs, stripped, winnow
 from tracebook.llm.string_tiling import letters_and_digits, seed_size, tiled_items, tiles
 
@@ -40,7 +40,7 @@ def test_near_duplicates_against_all_pairs(spark):
         for b in seen.values():
             if a[0] < b[0] and a[1] and a[1] == b[1] and a[2] and b[2] and (u := grams(a[2]) | grams(b[2])) and len(grams(a[2]) & grams(b[2])) >= 0.6 * len(u):
                 want.add((a[0], b[0]))
-    assert len(want) > 30 and pairs_of(spark, rows) == want
+    assert len(want) > 30 and pairs_of(spark, rows) == want and pairs_of(spark, rows, hot=3) == want
 
 
 def test_copies_cost_one_text(spark):
@@ -57,11 +57,40 @@ def test_empty_table(spark):
 def test_both_ends_of_a_permutation_estimate_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 300, "u8"), rng.integers(0, 2**63, 100, "u8")
-    x, y = signature(a, 512), signature(np.concatenate([a[:200], b]), 512)
+    x, y = signatures(np.concatenate([a, a[:200], b]), np.array([0, 300, 600]), 512)
     assert abs((x == y).mean() - 0.5) < 0.05 and len(x) == 1024
     assert abs((x == y)[:512].mean() - (x == y)[512:].mean()) < 0.1
-    assert len(set(band_keys(x, 4))) == 256
-    assert len(char_shingles("abcde", 4)) == 2 and len(word_shingles("one two", 5)) == 1 and len(word_shingles(" ", 5)) == 0
+    assert len(set(band_keys(x[None], 4)[0])) == 256
+
+
+def test_shingles_of_a_batch():
+    texts = ["abcde", "", "abc", "aaaaaa", "abcde" * 3]
+    h, starts = char_shingles(texts, 4)
+    assert np.diff(starts).tolist() == [len(grams(t)) for t in texts] and set(h[: starts[1]]) < set(h[starts[4] :])
+    h, starts = word_shingles(["one two", " ", "a b c d e f", "a b c d e", "two one"], 5)
+    assert np.diff(starts).tolist() == [1, 0, 2, 1, 1] and h[starts[3]] in h[starts[2] : starts[3]] and h[0] != h[-1]
+    common, every = overlaps(["abcde", "abc", "xyzw"], ["bcdef", "abc", "xyzw"], "char", 4)
+    assert common.tolist() == [1, 0, 1] and every.tolist() == [3, 0, 1]
+
+
+def test_signatures_in_blocks(monkeypatch):
+    from tracebook.llm import minmax_hash as M
+
+    rng = np.random.default_rng(3)
+    h, starts = rng.integers(0, 2**63, 100, "u8"), np.array([0, 7, 8, 60, 100])
+    whole = signatures(h, starts, 16)
+    monkeypatch.setattr(M, "BLOCK", 9)
+    assert (signatures(h, starts, 16) == whole).all()
+
+
+def test_hot_bands_are_split_and_equal_ones_met_once(spark):
+    rng = random.Random(8)
+    rows = [(r, b) for b in range(4) for r in range(40)] + [(rng.randint(0, 99), 10 + rng.randint(0, 9)) for _ in range(150)]
+    bands = spark.createDataFrame(sorted(set(rows)), "rid long, band long")
+    want = {(a, b) for a, x in set(rows) for b, y in set(rows) if x == y and a < b}
+    for hot in (1000, 7):
+        got = [(r["rid_a"], r["rid_b"]) for r in met_in_bands(bands, hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def brute_spans(rows, length):
@@ -98,8 +127,27 @@ def test_texts_longer_than_a_chunk(monkeypatch):
 
     rng = random.Random(1)
     t = "".join(rng.choice("abcdefgh") for _ in range(1500))
-    whole = {p for f in S._phrases(40, 100)(iter([pd.DataFrame({"grp": [1, 2], "text": [t, "short"]})])) for p in f["phrase"]}
-    assert all(any(t[i + j : i + j + 40] in whole for j in range(61)) for i in range(len(t) - 99))
+    frame = pd.DataFrame({"grp": [1, 2], "rid": [7, 8], "text": [t, "short"]})
+    fps = {h for f in S._phrases(40, 100)(iter([frame])) for h in f["fp"]}
+    given = next(S._phrase_texts(40, 100)(iter([pd.DataFrame({"text": [t], "fps": [sorted(fps)]})])))
+    whole = set(given["phrase"])
+    assert set(given["fp"]) == fps and all(any(t[i + j : i + j + 40] in whole for j in range(61)) for i in range(len(t) - 99))
+
+
+def test_records_go_only_to_shards_they_can_meet(spark, monkeypatch):
+    from tracebook.llm import shared_spans as S
+
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abcdefghijklmnop") for _ in range(220)) for _ in range(40)]
+    rows = [(f"k{i}", f"f{i % 7}", "".join(rng.choice("qrstuv") for _ in range(150)) + passages[i % 40]) for i in range(120)] + [(f"n{i}", "f9", "".join(rng.choice("qrstuvwxyz") for _ in range(400))) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, grp string, text string")
+    sent = []
+    plain = S._occurrences
+    monkeypatch.setattr(S, "_occurrences", lambda path, k, length: sent.append(path) or plain(path, k, length))
+    got = {(r["key_a"], r["key_b"]) for r in S.shared_span_pairs(df, length=100, phrases_per_shard=5).collect()}
+    assert got == brute_spans(rows, 100) and len(sent) == 1
+    shards = spark.read.parquet(sent[0])
+    assert shards.select("shard").distinct().count() >= 20 and shards.count() == shards.select("fp").distinct().count()
 
 
 def test_every_window_keeps_a_phrase():

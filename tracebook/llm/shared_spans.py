@@ -3,10 +3,12 @@
 1. Every record is winnowed: of each window of consecutive phrases of K
    characters the one with the least hash is kept, so any two records that
    share LENGTH characters keep at least one phrase of that span in common.
-2. A phrase kept in two or more groups (files) is confirmed as recurring.
+   Only hashes are staged.
+2. A phrase kept in two or more groups (files) is confirmed as recurring; its
+   text is taken from one record that holds it.
 3. The recurring phrases are compiled to Aho-Corasick automata, in shards of a
-   bounded number of phrases, and all records stream through each automaton,
-   which locates every occurrence.
+   bounded number of phrases. The hashes tell which shards a record can meet:
+   it streams through the automata of those, which locate every occurrence.
 4. Occurrences of one phrase are extended to both sides; the pair counts if
    the equal text around it is LENGTH characters or more.
 """
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from tracebook.llm.minmax_hash import mix
-from tracebook.sources.tables import stage, staging_path
+from tracebook.sources.tables import stage, staging_path, without_broadcast
 
 PRIME = 0x9E3779B97F4A7C15
 PLACE = 20
 CHUNK = 500_000
+#: Tasks that may hold the automaton of one shard.
+SPREAD = 16
 
 #: The automaton a Python worker holds: one shard at a time.
 _HELD: dict = {}
@@ -75,26 +79,47 @@ def winnow(texts: list[str], k: int, length: int, pows: tuple[np.ndarray, np.nda
 
 
 def _phrases(k: int, length: int):
+    """fp, grp, rid of the kept phrases of each record."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pows = powers(CHUNK)
         for f in frames:
-            texts, groups, held = [], [], 0
-            every = [(t, g) for t, g in zip(map(stripped, f["text"]), f["grp"]) if len(t) >= length]
-            for i, (t, g) in enumerate(every):
+            texts, groups, rids, held = [], [], [], 0
+            every = [(t, g, r) for t, g, r in zip(map(stripped, f["text"]), f["grp"], f["rid"]) if len(t) >= length]
+            for i, (t, g, r) in enumerate(every):
                 texts.append(t)
                 groups.append(g)
+                rids.append(r)
                 held += len(t)
                 if i + 1 == len(every) or held + len(every[i + 1][0]) > CHUNK:
                     if held > CHUNK:  # one text longer than that, in overlapping parts
-                        texts = [t[j : j + CHUNK] for j in range(0, len(t) - length + 1, CHUNK - length + 1)]
-                        parts = [([p], [g]) for p in texts]
+                        parts = [([t[j : j + CHUNK]], [g], [r]) for j in range(0, len(t) - length + 1, CHUNK - length + 1)]
                     else:
-                        parts = [(texts, groups)]
-                    for some, of in parts:
-                        h, at, which = winnow(some, k, length, pows)
-                        whole = "".join(some)
-                        yield pd.DataFrame({"fp": h, "grp": np.array(of, "int64")[which], "phrase": pd.Series([whole[p : p + k] for p in at.tolist()], dtype=object)})
-                    texts, groups, held = [], [], 0
+                        parts = [(texts, groups, rids)]
+                    for some, of, ids in parts:
+                        h, _, which = winnow(some, k, length, pows)
+                        yield pd.DataFrame({"fp": h, "grp": np.array(of, "int64")[which], "rid": np.array(ids, "int64")[which]})
+                    texts, groups, rids, held = [], [], [], 0
+
+    return run
+
+
+def _phrase_texts(k: int, length: int):
+    """fp, phrase: the texts of the phrases that each record is to give (`fps`)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            fps, phrases = [], []
+            for text, wanted in zip(f["text"], f["fps"]):
+                t, wanted = stripped(text), set(wanted)
+                pows = powers(min(len(t), CHUNK))
+                for j in range(0, len(t) - length + 1, CHUNK - length + 1):
+                    h, at, _ = winnow([t[j : j + CHUNK]], k, length, pows)
+                    for fp, p in zip(h.tolist(), at.tolist()):
+                        if fp in wanted:
+                            fps.append(fp)
+                            phrases.append(t[j + p : j + p + k])
+            yield pd.DataFrame({"fp": np.array(fps, "int64"), "phrase": pd.Series(phrases, dtype=object)})
 
     return run
 
@@ -104,8 +129,8 @@ def _automaton(path: str, shard: int):
 
     if _HELD.get("is") != (path, shard):
         _HELD.clear()
-        where, base = fs.FileSystem.from_uri(f"{path}/shard={shard}") if "://" in path else (fs.LocalFileSystem(), f"{path.removeprefix('file:')}/shard={shard}")
-        found = ds.dataset(base, filesystem=where, format="parquet").to_table(columns=["fp", "phrase"])
+        where, base = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+        found = ds.dataset(f"{base}/shard={shard}", filesystem=where, format="parquet").to_table(columns=["fp", "phrase"])
         a = ahocorasick.Automaton()
         for fp, phrase in zip(found["fp"].to_pylist(), found["phrase"].to_pylist()):
             a.add_word(phrase, fp)
@@ -115,16 +140,16 @@ def _automaton(path: str, shard: int):
     return _HELD["a"]
 
 
-def _occurrences(path: str, shard: int, k: int, length: int):
+def _occurrences(path: str, k: int, length: int):
     side = length - k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = _automaton(path, shard)
         for f in frames:
             out = []
-            for key, grp, text in zip(f["key"], f["grp"], f["text"]):
+            for shard, key, grp, text in zip(f["shard"], f["key"], f["grp"], f["text"]):
+                a = _automaton(path, shard)
                 t = stripped(text)
-                if len(t) >= length and len(a):
+                if len(a):
                     for end, fp in a.iter(t):
                         s = end - k + 1
                         out.append((fp, key, grp, len(t), s, t[max(0, s - side) : s], t[end + 1 : end + 1 + side]))
@@ -157,39 +182,68 @@ def extends(k: int, length: int):
 
 
 def _windows(k: int, length: int):
-    """Hashes of all texts of `length` characters around an occurrence."""
+    """Of each text of `length` characters around an occurrence two hashes (h, m),
+    where it begins and how far left of the phrase."""
     side = length - k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pows = powers(2 * side + 1)
         for f in frames:
-            out = []
-            places = f["at"] if "at" in f else pd.Series(0, index=f.index)
-            for fp, key, grp, before, after, at in zip(f["fp"], f["key"], f["grp"], f["before"], f["after"], places):
-                for left in range(max(0, side - len(after)), len(before) + 1):
-                    out.append((fp, key, grp, left, before[len(before) - left :] + "|" + after[: side - left], at))
-            yield pd.DataFrame(out, columns=["fp", "key", "grp", "left", "around", "at"])
+            hashes: list[list[np.ndarray]] = [[], []]
+            row, left, size = [], [], []
+            for i, (before, after) in enumerate(zip(f["before"], f["after"])):
+                most, least = len(before), max(0, side - len(after))
+                if most < least:
+                    continue
+                codes = np.frombuffer((before + after).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+                lefts = np.arange(least, most + 1)
+                for j in (0, 1):
+                    total = np.concatenate([np.zeros(1, "u8"), np.cumsum(mix(codes + np.uint64(7 * j + 1)) * pows[0][: len(codes)], dtype="u8")])
+                    begin = most - lefts
+                    hashes[j].append(mix((total[begin + side] - total[begin]) * pows[1][begin] ^ lefts.astype("u8")))
+                row.append(np.full(len(lefts), i))
+                left.append(lefts)
+                size.append(len(lefts))
+            if not row:
+                continue
+            which, lefts = np.concatenate(row), np.concatenate(left)
+            out = {"fp": f["fp"].to_numpy()[which], "key": f["key"].to_numpy()[which], "grp": f["grp"].to_numpy()[which], "left": lefts.astype("int32")}
+            yield pd.DataFrame(out | {"start": (f["at"].to_numpy()[which] - lefts).astype("int32"), "h": np.concatenate(hashes[0]).view("i8"), "m": np.concatenate(hashes[1]).view("i8")})
 
     return run
 
 
-def phrase_occurrences(records: DataFrame, length: int, k: int, phrases_per_shard: int) -> DataFrame | None:
+WINDOW = "fp long, key string, grp long, left int, start int, h long, m long"
+
+
+def phrase_occurrences(records: DataFrame, length: int, k: int, phrases_per_shard: int) -> DataFrame:
     """fp, key, grp, n, at, before, after: every occurrence of every recurring
-    phrase, staged; n is the stripped length of the record and at the place in
-    it. None if nothing recurs. `records` as in `shared_span_pairs`."""
+    phrase in the records that can share it, staged; n is the stripped length
+    of the record and at the place in it. `records` as in
+    `shared_span_pairs`.
+
+    The phrases of one record stay in one shard, so that records that share a
+    passage meet in few. Of one shard, up to SPREAD tasks read the records."""
     spark = records.sparkSession
     rows = records.filter(F.col("key").isNotNull() & F.col("grp").isNotNull() & (F.length("text") >= length)).select("key", F.xxhash64("grp").alias("grp"), "text")
-    kept = stage(rows.select("grp", "text").mapInPandas(_phrases(k, length), "fp long, grp long, phrase string"), "phrases")
-    recurring = kept.groupBy("fp").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("fp")
-    confirmed = stage(kept.join(recurring, "fp", "left_semi").select("fp", "phrase").distinct(), "confirmed")
+    # a clash of rids only sends one record more through an automaton
+    rows = rows.withColumn("rid", F.xxhash64("key", "text"))
+    kept = stage(rows.select("grp", "rid", "text").mapInPandas(_phrases(k, length), "fp long, grp long, rid long").distinct(), "phrases")
+    recurring = kept.groupBy("fp").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("rid").alias("giver")).filter("low <> high").select("fp", "giver")
+    confirmed = stage(recurring, "confirmed")
     shards = max(1, -(-confirmed.count() // phrases_per_shard))
+    shard = F.pmod(F.xxhash64("giver"), F.lit(shards)).cast("int").alias("shard")
+
+    givers = confirmed.groupBy(F.col("giver").alias("rid")).agg(F.collect_list("fp").alias("fps"))
+    texts = without_broadcast(rows.select("rid", "text")).join(givers, "rid").mapInPandas(_phrase_texts(k, length), "fp long, phrase string").distinct()
     path = staging_path(spark, "shards")
-    confirmed.withColumn("shard", F.pmod("fp", F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    there = {r["shard"] for r in spark.read.schema("fp long, phrase string, shard int").parquet(path).select("shard").distinct().toLocalIterator()}
-    found = None
-    for shard in sorted(there):
-        one = rows.mapInPandas(_occurrences(path, shard, k, length), "fp long, key string, grp long, n int, at int, before string, after string")
-        found = one if found is None else found.union(one)
-    return None if found is None else stage(found, "occurrences")
+    without_broadcast(texts).join(confirmed.select("fp", shard), "fp").repartition("shard").write.partitionBy("shard").parquet(path)
+
+    route = without_broadcast(kept.select("fp", "rid")).join(confirmed.select("fp", shard), "fp").select("rid", "shard").distinct()
+    routed = without_broadcast(rows).join(route, "rid").select("shard", "key", "grp", "text")
+    by_shard = routed.repartition("shard", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("shard")
+    found = by_shard.mapInPandas(_occurrences(path, k, length), "fp long, key string, grp long, n int, at int, before string, after string")
+    return stage(found, "occurrences")
 
 
 def _paired(df: DataFrame, on: list[str]) -> DataFrame:
@@ -211,16 +265,13 @@ def shared_span_pairs(records: DataFrame, *, length: int = 100, k: int = 40, phr
     not paired occurrence by occurrence but by its equal surroundings of
     `length` characters, so that only true pairs are ever made of it.
     """
-    met = phrase_occurrences(records, length, k, phrases_per_shard)
-    if met is None:
-        return records.sparkSession.createDataFrame([], "key_a string, key_b string")
-    met = met.drop("n", "at")
+    met = phrase_occurrences(records, length, k, phrases_per_shard).drop("n")
     often = met.groupBy("fp").count().filter(F.col("count") > hot).select("fp")
-    few, many = met.join(often, "fp", "left_anti").distinct(), met.join(often, "fp", "left_semi").distinct()
+    few, many = met.drop("at").join(often, "fp", "left_anti").distinct(), met.join(often, "fp", "left_semi").distinct()
     keys = F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")
     of_few = _paired(few, ["fp"]).filter(extends(k, length)("a.before", "b.before", "a.after", "b.after")).select(*keys)
-    around = many.mapInPandas(_windows(k, length), "fp long, key string, grp long, left int, around string, at int")
-    return of_few.union(_paired(around.drop("at"), ["fp", "left", "around"]).select(*keys)).distinct()
+    around = many.mapInPandas(_windows(k, length), WINDOW).drop("start").distinct()
+    return of_few.union(_paired(around, ["fp", "left", "h", "m"]).select(*keys)).distinct()
 
 
 def shared_portions(records: DataFrame, *, length: int = 100, k: int = 40, phrases_per_shard: int = 50_000) -> DataFrame:
@@ -233,10 +284,7 @@ def shared_portions(records: DataFrame, *, length: int = 100, k: int = 40, phras
     costs rows in proportion, not pairs. Takes records as `shared_span_pairs`.
     """
     met = phrase_occurrences(records, length, k, phrases_per_shard)
-    if met is None:
-        return records.sparkSession.createDataFrame([], "key string, n int, spans long, shared long, share double")
-    around = met.distinct().mapInPandas(_windows(k, length), "fp long, key string, grp long, left int, around string, at int")
-    window = around.select("key", "grp", (F.col("at") - F.col("left")).alias("start"), F.xxhash64("around", "fp", "left").alias("h"), F.md5("around").alias("m")).distinct()
+    window = met.distinct().mapInPandas(_windows(k, length), WINDOW).select("key", "grp", "start", F.xxhash64("fp", "left", "h").alias("h"), F.xxhash64("fp", "left", "m", F.lit(1)).alias("m")).distinct()
     elsewhere = window.groupBy("h", "m").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("h", "m")
     starts = window.join(elsewhere, ["h", "m"], "left_semi").select("key", "start").distinct()
     w = Window.partitionBy("key").orderBy("start")
