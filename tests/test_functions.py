@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tracebook.functions.numbers import appears, canonical_numbers
+from tracebook.functions.numbers import canonical_numbers, number_appears, quantities
 from tracebook.functions.text import chinese_number, citation_form, first_number, flattened, full_match_form, match_form, plain_form, safe_name, search_tokens, tidied, without_whitespace
 
 
@@ -11,9 +11,14 @@ def one(spark, value, make):
     return spark.createDataFrame([(value,)], "x string").select(make(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize("claim,text,ok", [("1.5m", "15m", False), ("35m", "350m", False), ("-5", "5", False), ("1.5", ".15", False), ("1.5m", "1.5s", False), ("1.5", "1.50", True), ("0.5", ".5", True), ("1000", "1,000", True), ("no digits", "", True), ("2e3", "2000", True)])
-def test_numbers_with_units(claim, text, ok):
-    assert appears(claim, text) is ok
+CLAIMS = [("1.5m", "15m", False), ("35m", "350m", False), ("-5", "5", False), ("1.5", ".15", False), ("1.5m", "1.5s", False), ("1.5", "1.50", True), ("0.5", ".5", True), ("1000", "1,000", True), ("1.5–2.5", "1.5 to 2.5", True), ("1.5–2.5", "1.5 to 3.5", False)]
+CLAIMS += [("no digits", "", True), ("2e3", "2000", True), ("5 hours", "5h", True), ("20℃", "２０ °c", True), ("3 m2", "3 m²", True), ("5 mx", "5 m", True), ("5 m", "5 mx", False), ("7", None, False), (None, "7", True), ("1" * 40, "1" * 40, True), ("1" * 40, "1" * 39 + "2", False)]
+
+
+def test_numbers_with_units(spark):
+    rows = spark.createDataFrame([(i, c, t) for i, (c, t, _) in enumerate(CLAIMS)], "i int, c string, t string").select("i", number_appears(F.col("c"), F.col("t")).alias("ok")).collect()
+    assert {r["i"]: r["ok"] for r in rows} == {i: ok for i, (*_, ok) in enumerate(CLAIMS)}
+    assert [tuple(q) for q in one(spark, "1,500 kPa, then -3.0 or 4 km/h", quantities)] == [("1500.000000000000000000", "kpa"), ("-3.000000000000000000", ""), ("4.000000000000000000", "km")]
 
 
 def test_canonical_numbers(spark):

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracebook.functions.links import statements
-from tracebook.functions.numbers import canonical_numbers, number_appears
+from tracebook.functions.numbers import canonical_numbers, quantities, stated_in
 from tracebook.functions.text import first_number, match_form, plain_form
 from tracebook.operators.courses import resolve_course
 from tracebook.operators.merging import differing_numbers, last_by_key, longest_match, next_index, representatives, stratified, upsert
 from tracebook.operators.names import similar_names
 from tracebook.operators.pages import expand_ranges
 from tracebook.operators.quotes import confidence, quote_ledger, transitions
-from tracebook.plans.sqltext import LEDGER
+from tracebook.plans.sqltext import LEDGER, quantities_sql
 from tracebook.sources.tables import table
 
 
@@ -34,21 +34,23 @@ def quote_transition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    """kp_id, number, body: each stated number of a claim with each page that
-    its quotes cite. If none of those exists, the pages from the first to the
-    last label of the claim and its quotes, in its file, count; if there is none
-    either, the body is empty."""
+    """kp_id, number, has: each stated number of a claim with the quantities of
+    each page that its quotes cite. If none of those exists, the pages from the
+    first to the last label of the claim and its quotes, in its file, count; if
+    there is none either, nothing is there. A page's quantities are taken once."""
     points, evidence, pages = (table(spark, d, t) for t in ("kp", "evidence", "pages"))
     kp = points.filter("kp_id is not null").select("kp_id", F.explode("numbers").alias("number")).distinct()
-    bodies = pages.select("source_file", "page_no", F.coalesce("text", F.lit("")).alias("body")).dropDuplicates(["source_file", "page_no"])
-    keys = bodies.select("source_file", "page_no", F.lit(None).cast("string").alias("file_id"), F.length("body").alias("size"))
+    texts = pages.groupBy("source_file", "page_no").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    bodies = texts.select("source_file", "page_no", F.length("text").alias("size"), quantities(F.col("text")).alias("has"))
+    keys = bodies.select("source_file", "page_no", F.lit(None).cast("string").alias("file_id"), "size")
     cited = evidence.select("kp_id", "source_file", "page_no").distinct().join(keys.select("source_file", "page_no"), ["source_file", "page_no"], "left_semi").select("kp_id", "source_file", "page_no")
     rest = points.join(kp, "kp_id", "left_semi").join(cited, "kp_id", "left_anti")
     quoted = evidence.select("kp_id", first_number(F.col("page_label")).alias("n")).groupBy("kp_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     ends = [first_number(F.col("page_label_start")), first_number(F.col("page_label_end"))]
     ranges = rest.join(quoted, "kp_id", "left").select("kp_id", "source_file", F.least(*ends, "low").alias("page_start"), F.greatest(*ends, "high").alias("page_end")).distinct()
     found = cited.union(expand_ranges(ranges, keys).select("kp_id", "source_file", "page_no").distinct())
-    return kp.join(found.join(bodies, ["source_file", "page_no"]), "kp_id", "left").select("kp_id", "number", F.coalesce("body", F.lit("")).alias("body"))
+    nothing = F.array().cast("array<struct<value:string,unit:string>>")
+    return kp.join(found.join(bodies, ["source_file", "page_no"]), "kp_id", "left").select("kp_id", "number", F.coalesce("has", nothing).alias("has"))
 
 
 def number_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +58,7 @@ def number_missing(spark: SparkSession, d: str) -> DataFrame:
     numbers are extracted once per page."""
     kp = table(spark, d, "kp").select("kp_id", F.explode("numbers").alias("number")).distinct()
     cited = table(spark, d, "evidence").select("kp_id", "source_file", "page_no").distinct()
-    there = table(spark, d, "pages").select("source_file", "page_no", canonical_numbers(F.coalesce("text", F.lit(""))).alias("has")).dropDuplicates(["source_file", "page_no"])
+    there = table(spark, d, "pages").select("source_file", "page_no", F.coalesce("text", F.lit("")).alias("text")).groupBy("source_file", "page_no").agg(F.max("text").alias("text")).select("source_file", "page_no", canonical_numbers(F.col("text")).alias("has"))
     claimed = kp.withColumn("wanted", canonical_numbers(F.col("number")))
     met = claimed.join(cited, "kp_id").join(there, ["source_file", "page_no"])
     held = met.groupBy("kp_id", "number").agg(F.bool_or(F.size(F.array_except("wanted", "has")) == 0).alias("ok"))
@@ -64,8 +66,9 @@ def number_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_check_units(spark: SparkSession, d: str) -> DataFrame:
-    """kp_id, number, ok with signs, exponents and units (Arrow batches)."""
-    return _claims(spark, d).withColumn("hit", number_appears("number", "body")).groupBy("kp_id", "number").agg(F.bool_or("hit").alias("ok"))
+    """kp_id, number, ok with signs, exponents and units."""
+    held = stated_in(quantities(F.col("number")), F.col("has"))
+    return _claims(spark, d).groupBy("kp_id", "number").agg(F.bool_or(held).alias("ok"))
 
 
 def claim_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -144,6 +147,7 @@ QUERIES = {f.__name__: f for f in (claim_statements, quote_tier_ledger, quote_ti
 
 _RANK = "CASE {} WHEN 'exact' THEN 3 WHEN 'partial' THEN 2 WHEN 'fabricated' THEN 1 WHEN 'not_found' THEN 0 END"
 _CANON = r"list_transform(regexp_extract_all({}, '[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?'), lambda x: regexp_replace(CASE WHEN contains(x, '.') THEN regexp_replace(regexp_replace(replace(x, ',', ''), '0+$', ''), '\.$', '') ELSE replace(x, ',', '') END, '^0+([0-9])', '\1'))"
+_LABEL = "nullif(try_cast(regexp_extract({}, '([0-9]{{1,9}})', 1) AS INT), 0)"
 _NUMS = "array_to_string(list_sort({}), chr(31))"
 
 ORACLE_SQL = {
@@ -156,9 +160,17 @@ ORACLE_SQL = {
       p AS (SELECT DISTINCT source_file, page_no, {_CANON.format("coalesce(text, '')")} AS has FROM pages)
       SELECT kp_id, number FROM k JOIN c USING (kp_id) JOIN p USING (source_file, page_no) GROUP BY kp_id, number
       HAVING NOT bool_or(len(list_filter({_CANON.format('number')}, lambda x: NOT list_contains(has, x))) = 0)""",
+    "number_check_units": rf"""WITH k AS (SELECT DISTINCT kp_id, unnest(numbers) AS number FROM kp WHERE kp_id IS NOT NULL), t AS (SELECT source_file, page_no, max(coalesce(text, '')) AS text FROM pages GROUP BY ALL),
+      c AS (SELECT DISTINCT kp_id, source_file, page_no FROM evidence SEMI JOIN t USING (source_file, page_no)),
+      n AS (SELECT kp_id, min({_LABEL.format("page_label")}) AS low, max({_LABEL.format("page_label")}) AS high FROM evidence GROUP BY kp_id),
+      r AS (SELECT DISTINCT kp_id, source_file, least({_LABEL.format("page_label_start")}, {_LABEL.format("page_label_end")}, low) AS a, greatest({_LABEL.format("page_label_start")}, {_LABEL.format("page_label_end")}, high) AS b FROM kp LEFT JOIN n USING (kp_id) WHERE kp_id NOT IN (SELECT kp_id FROM c WHERE kp_id IS NOT NULL)),
+      f AS (SELECT * FROM c UNION SELECT kp_id, r.source_file, page_no FROM r JOIN t ON r.source_file = t.source_file AND page_no BETWEEN a AND b),
+      p AS (SELECT source_file, page_no, {quantities_sql("text")} AS has FROM t SEMI JOIN f USING (source_file, page_no)), w AS (SELECT DISTINCT number, {quantities_sql("number")} AS want FROM k)
+      SELECT kp_id, number, bool_or(len(list_filter(want, lambda x: NOT list_contains(list_transform(coalesce(has, []), lambda y: CASE WHEN x.u = '' THEN y.v ELSE y.v || '|' || y.u END), CASE WHEN x.u = '' THEN x.v ELSE x.v || '|' || x.u END))) = 0) AS ok
+      FROM k JOIN w USING (number) LEFT JOIN (SELECT kp_id, has FROM f JOIN p USING (source_file, page_no)) USING (kp_id) GROUP BY kp_id, number""",
     "claim_sources": r"""WITH k AS (SELECT DISTINCT kp_id, source_file, nullif(try_cast(regexp_extract(page_label_start, '([0-9]{1,9})', 1) AS INT), 0) AS a, nullif(try_cast(regexp_extract(page_label_end, '([0-9]{1,9})', 1) AS INT), 0) AS b FROM kp),
       p AS (SELECT DISTINCT source_file, page_no, coalesce(length(text), 0) AS n FROM pages)
-      SELECT kp_id, count(*) AS pages, sum(n)::BIGINT AS chars FROM k JOIN p ON k.source_file = p.source_file AND page_no BETWEEN a AND b WHERE b BETWEEN a AND a + 2000 GROUP BY kp_id""",
+      SELECT kp_id, count(*) AS pages, sum(n)::BIGINT AS chars FROM k JOIN p ON k.source_file = p.source_file AND page_no BETWEEN a AND b WHERE a <= b GROUP BY kp_id""",
     "dedup_representative": rf"""WITH i AS (SELECT DISTINCT ON (kp_id) kp_id, course, lower(trim(name)) AS nm, length(coalesce(definition, '')) AS dl, {_NUMS.format("coalesce(numbers, [])")} AS num,
         coalesce(nullif(try_cast(regexp_extract(page_label_start, '([0-9]{{1,9}})', 1) AS INT), 0), 1000000000) AS pg FROM kp WHERE course IS NOT NULL AND trim(name) <> ''),
       s AS (SELECT kp_id, count(*) AS n FROM (SELECT DISTINCT evidence_id, kp_id FROM evidence WHERE quote_verified) GROUP BY kp_id),

@@ -1,5 +1,9 @@
 """Pieces of SQL that several oracle queries share."""
 
+from __future__ import annotations
+
+from tracebook.functions.numbers import LONGEST_FIRST, NUMBER, WIDE, WIDE_AS
+
 BLANK = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -25,3 +29,15 @@ names AS (SELECT k, min(course_id) AS resolved FROM (SELECT lower(regexp_replace
 """
 
 KEYS = "keys AS (SELECT file_id, page_no, min(source_file) AS source_file, min(course) AS course, max(coalesce(length(text), 0)) AS size FROM pages WHERE file_id IS NOT NULL AND page_no IS NOT NULL GROUP BY ALL)"
+
+
+def quantities_sql(column: str) -> str:
+    """List of structs v, u of the numbers of a text and their units. DuckDB's
+    patterns have no look-ahead: a letter right after the unit is taken along,
+    and then it is no unit."""
+    wide = WIDE.replace("'", "''"), WIDE_AS.replace("'", "''")
+    found = f"regexp_extract_all(coalesce(translate(replace({column}, '℃', '°C'), '{wide[0]}', '{wide[1]}'), ''), '{NUMBER}(?:\\s*(?i:{LONGEST_FIRST})[A-Za-z]?)?')"
+    number = f"replace(regexp_extract(m, '{NUMBER}'), ',', '')"
+    tail = f"CASE WHEN regexp_full_match(m, '{NUMBER}\\s*(?i:{LONGEST_FIRST})') THEN lower(trim(substr(m, length(regexp_extract(m, '{NUMBER}')) + 1))) ELSE '' END"
+    unit = f"CASE WHEN {tail} IN ('hour', 'hours') THEN 'h' ELSE {tail} END"
+    return f"list_transform({found}, lambda m: {{'v': coalesce(try_cast({number} AS DECIMAL(38, 18))::VARCHAR, {number}), 'u': {unit}}})"
