@@ -22,7 +22,7 @@ def test_titles(spark):
     assert values(spark, ["目 录", "Appendix A Data", "附录1", "Contents of the tank", None], T.title_kind) == ["matter", "appendix", "appendix", "body", "body"]
     assert values(spark, ["Smoke layer", "a b", "x" * 47, "one, two, three, four", None, "烟"], T.plausible_title) == [True, False, False, False, False, True]
     assert values(spark, ["第十二章 烟气", "Chapter 3  Layer", "Layer", None], T.chapter_number) == [12, 3, None, None]
-    assert values(spark, ["ii    Chapter 1  Layer", "Layer of hose    12", "Layer"], T.clean_title) == ["Chapter 1  Layer", "Layer of hose", "Layer"]
+    assert values(spark, ["ii    Chapter 1  Layer", "Layer of hose    12", "Layer"], T.clean_title) == ["Chapter 1 Layer", "Layer of hose", "Layer"]
     assert values(spark, ["intro\n1.2 Heat of hose\n第3章 烟气", "1.2 Heat of hose", "plain", ""], T.detected_section) == ["第3章 烟气", "1.2 Heat of hose", None, None]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracebook.functions.text import BLANKS, file_tag_of, first_number
+from tracebook.sources.tables import stage
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -19,15 +20,19 @@ def page_runs(keys: DataFrame) -> DataFrame:
     return keys.select("file_id", "page_no").distinct().withColumn("run", island).groupBy("file_id", "run").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count(F.lit(1)).alias("pages")).drop("run")
 
 
-def page_intervals(keys: DataFrame, prefix: int = 16) -> DataFrame:
+def page_intervals(keys: DataFrame, parts: int = 1_000) -> DataFrame:
     """source_file, pages, first_page, last_page in one numbering of all files
-    in the order of their names. The running sum is taken over the sums of name
-    prefixes first and then within each prefix, so no task sorts all files."""
-    per_file = keys.groupBy("source_file").agg(F.count(F.lit(1)).alias("pages")).withColumn("_p", F.left("source_file", F.lit(prefix)))
-    sums = per_file.groupBy("_p").agg(F.sum("pages").alias("_s"))
+    in the order of their names. The files are cut in at most `parts` ranges of
+    names of about equal size; a running sum over the sums of the ranges, and
+    within each range, gives the numbers, so no task sorts all files."""
+    per_file = keys.groupBy("source_file").agg(F.count(F.lit(1)).alias("pages"))
+    ranged = per_file.repartitionByRange(parts, "source_file").withColumn("_p", F.spark_partition_id())
+    # the partition of a row is fixed by writing it
+    cut = stage(ranged, "intervals")
+    sums = cut.groupBy("_p").agg(F.sum("pages").alias("_s"))
     before = sums.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_before"))
     last = F.col("_before") + F.sum("pages").over(Window.partitionBy("_p").orderBy("source_file"))
-    return per_file.join(before, "_p").withColumn("last_page", last).select("source_file", "pages", (F.col("last_page") - F.col("pages") + 1).alias("first_page"), "last_page")
+    return cut.join(F.broadcast(before), "_p").withColumn("last_page", last).select("source_file", "pages", (F.col("last_page") - F.col("pages") + 1).alias("first_page"), "last_page")
 
 
 def chapters_of(skeleton: DataFrame) -> DataFrame:
@@ -125,9 +130,12 @@ def interpolate(keys: DataFrame, anchors: DataFrame) -> DataFrame:
     half goes to the even number. Files with fewer than two anchors are left out."""
     order = Window.partitionBy("file_id").orderBy("index")
     line = anchors.withColumns({"next": F.lead("index").over(order), "next_printed": F.lead("printed").over(order), "no": F.row_number().over(order), "all": F.count(F.lit(1)).over(Window.partitionBy("file_id"))}).filter("next is not null")
-    low = F.when(F.col("no") == 1, F.lit(-(2**31))).otherwise(F.col("index"))
-    high = F.when(F.col("no") == F.col("all") - 1, F.lit(2**31)).otherwise(F.col("next"))
-    met = keys.select("file_id", "page_no").distinct().join(line.withColumns({"_low": low, "_high": high}), "file_id").filter("page_no >= _low and page_no < _high")
+    pages = keys.select("file_id", "page_no").distinct()
+    span = pages.groupBy("file_id").agg(F.min("page_no").alias("_first"), F.max("page_no").alias("_last"))
+    low = F.when(F.col("no") == 1, F.col("_first")).otherwise(F.greatest("index", "_first"))
+    high = F.when(F.col("no") == F.col("all") - 1, F.col("_last")).otherwise(F.least(F.col("next") - 1, F.col("_last")))
+    ranged = line.join(span, "file_id").withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    met = ranged.withColumn("page_no", F.explode(F.sequence("_low", "_high"))).join(pages, ["file_id", "page_no"])
     value = F.col("printed") + (F.col("page_no") - F.col("index")) * (F.col("next_printed") - F.col("printed")) / (F.col("next") - F.col("index"))
     outside = (F.col("page_no") < F.col("index")) | (F.col("page_no") > F.col("next"))
     return met.select("file_id", "page_no", F.bround(value, 0).cast("int").alias("printed"), outside.alias("extrapolated"))
@@ -170,7 +178,7 @@ def chapter_chunks(skeleton: DataFrame, pages: DataFrame, *, limit: int = 11_000
     keys = page_keys(pages).filter("size > 0")
     owners = page_owners(chapters_of(skeleton), keys)
     label = F.concat(F.lit("【"), F.coalesce("page_label", F.lit("")), F.lit("】\n"))
-    texts = pages.filter("length(text) > 0").select("file_id", "page_no", F.concat(label, "text").alias("body")).dropDuplicates(["file_id", "page_no"])
+    texts = pages.filter("length(text) > 0").select("file_id", "page_no", F.concat(label, "text").alias("body")).groupBy("file_id", "page_no").agg(F.max("body").alias("body"))
     joined = texts.select("file_id", "page_no", F.length("body").alias("n"))
     sized = owners.join(joined, ["file_id", "page_no"]).join(section_owners(skeleton, owners), ["file_id", "page_no", "node_id"], "left")
     chapter = Window.partitionBy("file_id", "node_id")
@@ -189,3 +197,73 @@ def chapter_chunks(skeleton: DataFrame, pages: DataFrame, *, limit: int = 11_000
     base = F.concat(file_tag_of(F.col("file_id")), F.lit("::p"), "page_start", F.lit("-"), "page_end")
     same = F.count(F.lit(1)).over(Window.partitionBy(base))
     return out.withColumn("chunk_id", F.when(same > 1, F.concat(base, F.lit("::h"), F.left(F.md5("text"), F.lit(4)))).otherwise(base))
+
+
+def sequential_chunks(pages: DataFrame, *, limit: int = 12_000, least: int = 250) -> DataFrame:
+    """chunk_id, file_id, chapter, section, page_start, page_end, pages, chars, text:
+    the pages of each file in order, cut where a chapter of another title
+    begins or the next page would exceed the limit. For files without chapters.
+
+    A chapter title carries on until the next one; the section is the last one
+    named in the chunk. Blank pages are left out; chunks whose pages have less
+    than `least` characters are dropped; an oversized page stands alone. What
+    one task folds is the list of a file's page numbers, sizes and titles.
+    """
+    from tracebook.operators.titles import begins_chapter, detected_section
+
+    texts = pages.filter("file_id is not null and page_no is not null").select("file_id", "page_no", "page_label", F.trim("text").alias("body")).filter("length(body) > 0").groupBy("file_id", "page_no").agg(F.max(F.struct("body", "page_label")).alias("x")).select("file_id", "page_no", "x.*")
+    named = texts.select("file_id", "page_no", F.length("body").alias("n"), detected_section(F.col("body")).alias("t"))
+    opens = F.coalesce(begins_chapter(F.col("t")), F.lit(False))
+    listed = named.select("file_id", F.struct("page_no", F.col("n").cast("long").alias("n"), F.when(opens, F.col("t")).alias("chapter"), F.when(~opens, F.col("t")).alias("section")).alias("p")).groupBy("file_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    out = "array<struct<page_no:int,w:int,chapter:string,section:string>>"
+    start = F.struct(F.lit(-1).alias("w"), F.lit(0).cast("long").alias("held"), F.lit(None).cast("string").alias("chapter"), F.lit(None).cast("string").alias("section"), F.array().cast(out).alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        other = p["chapter"].isNotNull() & ~p["chapter"].eqNullSafe(acc["chapter"])
+        new = (acc["w"] < 0) | other | (acc["held"] + p["n"] > limit)
+        w = F.when(new, acc["w"] + 1).otherwise(acc["w"])
+        chapter = F.coalesce(p["chapter"], acc["chapter"])
+        section = F.when(new, p["section"]).otherwise(F.coalesce(p["section"], acc["section"]))
+        row = F.struct(p["page_no"].alias("page_no"), w.alias("w"), chapter.alias("chapter"), section.alias("section"))
+        return F.struct(w.alias("w"), F.when(new, p["n"]).otherwise(acc["held"] + p["n"]).alias("held"), chapter.alias("chapter"), section.alias("section"), F.array_append(acc["out"], row).alias("out"))
+
+    placed = listed.select("file_id", F.explode(F.aggregate("ps", start, step, lambda acc: acc["out"])).alias("z")).select("file_id", "z.*")
+    label = F.concat(F.lit("【"), F.coalesce("page_label", F.lit("")), F.lit("】\n"), "body")
+    whole = placed.join(texts, ["file_id", "page_no"]).groupBy("file_id", "w").agg(F.array_sort(F.collect_list(F.struct("page_no", "chapter", "section", label.alias("text"), F.length("body").alias("n")))).alias("p"))
+    size = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    kept = whole.filter(size >= least)
+    done = kept.select("file_id", F.col("p")[0]["chapter"].alias("chapter"), F.element_at("p", -1)["section"].alias("section"), F.array_min("p.page_no").alias("page_start"), F.array_max("p.page_no").alias("page_end"), F.size("p").alias("pages"), F.array_join("p.text", "\n\n").alias("text")).withColumn("chars", F.length("text"))
+    return done.withColumn("chunk_id", F.concat(file_tag_of(F.col("file_id")), F.lit("::p"), "page_start", F.lit("-"), "page_end"))
+
+
+def files_without_chapters(pages: DataFrame, skeleton: DataFrame, skipped: tuple[str, ...] = ("docx", "chat_network")) -> DataFrame:
+    """The pages of files that no chapter of the skeleton is in, but for kinds
+    that are never cut in chunks."""
+    kept = pages.filter(~F.coalesce("source_kind", F.lit("")).isin(*skipped))
+    return kept.join(skeleton.select("source_file").filter("source_file is not null").distinct(), "source_file", "left_anti")
+
+
+def skeleton_totals(skeleton: DataFrame) -> DataFrame:
+    """course, chapters, sections, matter, appendices."""
+    rows = skeleton.select("course", "node_id", "kind", F.size(F.coalesce("sections", F.array().cast(skeleton.schema["sections"].dataType))).alias("n")).distinct()
+    kind = F.coalesce("kind", F.lit("body"))
+    return rows.groupBy("course").agg(F.count(F.lit(1)).alias("chapters"), F.sum("n").alias("sections"), F.count_if(kind == "matter").alias("matter"), F.count_if(kind == "appendix").alias("appendices"))
+
+
+def skipped_matter(skeleton: DataFrame, keys: DataFrame) -> DataFrame:
+    """course, pages, chars: what front and back matter keeps from being read;
+    pages that a chapter of another kind claims as well are not counted."""
+    claims = lambda rows: expand_ranges(rows.select("source_file", "page_start", "page_end").filter("page_start <= page_end").distinct(), keys).select("file_id", "page_no").distinct()
+    matter = F.coalesce("kind", F.lit("")) == "matter"
+    skipped = claims(skeleton.filter(matter)).join(claims(skeleton.filter(~matter)), ["file_id", "page_no"], "left_anti")
+    return keys.join(skipped, ["file_id", "page_no"], "left_semi").groupBy("course").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("chars"))
+
+
+def digit_density(skeleton: DataFrame, pages: DataFrame, kind: str = "appendix") -> DataFrame:
+    """node_id, pages, chars, digits, density: how much of the chapters of a
+    kind is digits, which tells tables of values from prose."""
+    counted = pages.filter("length(text) > 0").groupBy("file_id", "source_file", "page_no").agg(F.max("text").alias("text"))
+    sizes = counted.select("file_id", "source_file", "page_no", F.length("text").alias("size"), F.regexp_count("text", F.lit("[0-9]")).alias("digits"))
+    ranges = skeleton.filter(F.col("kind") == kind).select("node_id", "source_file", "page_start", "page_end").distinct()
+    held = expand_ranges(ranges, sizes).join(sizes.select("file_id", "page_no", "digits"), ["file_id", "page_no"])
+    return held.groupBy("node_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("chars"), F.sum("digits").alias("digits")).withColumn("density", F.round(F.col("digits") / F.col("chars"), 6))

@@ -19,13 +19,16 @@ def name_time(name: Column) -> Column:
     return F.struct(day.alias("day"), minute.alias("minute"))
 
 
-def page_selection(text: Column, limit: int = 10_000) -> Column:
-    """Ascending page numbers of a selection such as `5,20,1-10`; parts that are
-    neither a number nor a range of up to `limit` pages are left out."""
-    parts = F.filter(F.split(F.regexp_replace(text, r"\s", ""), "[,，、]"), lambda p: p.rlike(r"^\d{1,6}(-\d{1,6})?$"))
+def page_selection(text: Column, last: Column | int = 2**31 - 1) -> Column:
+    """Ascending page numbers of a selection such as `5,20,1-10`, cut to the
+    `last` page there is; parts that are neither a number nor a range are left
+    out. Give `last` where the text is not your own: an open range is as long
+    as it says."""
+    parts = F.filter(F.split(F.regexp_replace(text, r"\s", ""), "[,，、]"), lambda p: p.rlike(r"^\d{1,9}(-\d{1,9})?$"))
+    end = F.lit(last) if isinstance(last, int) else last
 
     def pages(p: Column) -> Column:
-        a, b = F.element_at(F.split(p, "-"), 1).cast("int"), F.element_at(F.split(p, "-"), -1).cast("int")
-        return F.when((a <= b) & (b - a < limit), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        a, b = F.element_at(F.split(p, "-"), 1).cast("int"), F.least(F.element_at(F.split(p, "-"), -1).cast("int"), end)
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, pages))))

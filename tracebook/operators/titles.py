@@ -7,20 +7,59 @@ from pyspark.sql import functions as F
 
 from tracebook.functions.text import BLANKS
 
-# Titles of front and back matter, in full, and of appendices, by their begin.
-MATTER = ["目录", "前言", "序", "序言", "后记", "索引", "参考文献", "符号表", "致谢", "内容提要", "版权页", "封面", "contents", "tableofcontents", "preface", "foreword", "index", "references", "bibliography", "nomenclature", "acknowledgements", "acknowledgments", "copyright"]
-APPENDIX = ["附录", "附件", "appendix", "annex"]
-PUNCTUATION = "，。；：、！？,.;:!?"
+# Titles of front and back matter, in full and without blanks, and of appendices, by their begin.
+MATTER = "index contents tableofcontents listofsymbols listoffigures listoftables notation preface foreword abouttheauthor author authors bibliography references 符号表 目录 前言 序言 致谢 参考文献 索引 作者简介".split()
+MATTER_BEGIN = "acknowledg"
+APPENDIX = "附录 附表 续附表 appendix".split()
+# Further titles of matter in reviewing a skeleton, and what is no title at all.
+REVIEW_MATTER = "content listofabbreviations bibliographies reference glossary abstract 摘要 中华人民共和国国家标准 国家标准 出版社 文库 丛书".split()
+NO_TITLE = [r"doi\s*[:：]", r"https?://", r"www\.", r"^[0-9.\-—\s]{1,12}$", r"^[ivxlcdm]{1,6}$", "续表", r"^表\s*[0-9]", r"^图\s*[0-9]", r"^第\s*[0-9]+\s*页"]
+# Marks of which a title has at most two.
+PUNCTUATION = "，。；：！？,;:!?（）()《》\"'’“”"
+PUNCTUATION_SQL = PUNCTUATION.replace("'", "''")
 
 
 def bare(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), BLANKS, "")
 
 
+def is_matter(title: Column) -> Column:
+    b = bare(title)
+    return F.coalesce(b.isin(MATTER) | b.rlike(rf"^{MATTER_BEGIN}\w*$"), F.lit(False))
+
+
+def is_appendix(title: Column) -> Column:
+    return F.coalesce(bare(title).rlike("^(?:" + "|".join(APPENDIX) + ")"), F.lit(False))
+
+
 def title_kind(title: Column) -> Column:
     """matter, appendix or body; null and empty titles are body."""
-    b = bare(title)
-    return F.when(b.isin(MATTER), "matter").when(F.coalesce(b.rlike("^(" + "|".join(APPENDIX) + ")"), F.lit(False)), "appendix").otherwise("body")
+    return F.when(is_matter(title), "matter").when(is_appendix(title), "appendix").otherwise("body")
+
+
+def begins_chapter(title: Column) -> Column:
+    return title.rlike(r"^\s*第\s*[0-9零一二三四五六七八九十百]{1,4}\s*[章篇部]") | title.rlike(r"(?i)^\s*chapter\s+\d{1,2}\b")
+
+
+def title_verdict(title: Column) -> Column:
+    """What a candidate title is by rule: noise, chapter, matter or section, the
+    first that holds of: empty; with a chapter number; an appendix (kept as a
+    chapter, for its tables of values); matter; an address, page number or rest
+    of a table; shorter than two characters; without an ideograph or two Latin
+    letters; with a number of the second or third level. Null if no rule tells."""
+    t = F.trim(title)
+    reviewed = F.regexp_replace(bare(t), r"[.。:：]+$", "")
+    numbered = t.rlike(r"^\s*[0-9零一二三四五六七八九十百]{1,3}\s*[、.]\s*\S") & ~t.rlike(r"^\s*\d+\.\d") | t.rlike(r"^\s*[（(]\s*[0-9零一二三四五六七八九十百]{1,3}\s*[）)]\s*\S") | t.rlike(r"^\s*\d{1,2}(?:\.\d{1,2}){1,2}\s+\S")
+    return (
+        F.when(F.coalesce(t, F.lit("")) == "", "noise")
+        .when(begins_chapter(t), "chapter")
+        .when(is_appendix(t), "chapter")
+        .when(is_matter(t) | reviewed.isin(MATTER + REVIEW_MATTER) | reviewed.rlike(r"^中华人民共和国.*公告$"), "matter")
+        .when(t.rlike("(?i)" + "|".join(NO_TITLE)), "noise")
+        .when(F.length(t) < 2, "noise")
+        .when(~t.rlike(r"[\x{4E00}-\x{9FFF}]|[A-Za-z]{2}"), "noise")
+        .when(numbered, "section")
+    )
 
 
 def plausible_title(title: Column) -> Column:
@@ -39,8 +78,14 @@ def chapter_number(title: Column) -> Column:
 
 
 def clean_title(line: Column) -> Column:
-    """A header line without the page number before or after it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"^\s*(?:\d{1,4}|[ivxlc]{1,6})\s{2,}", ""), r"\s{2,}(?:\d{1,4}|[ivxlc]{1,6})\s*$", ""))
+    """A header line without the page number before or after it, also where
+    recognition has glued it to a Chinese title or to one with a chapter number,
+    and without leaders; underscores are blanks."""
+    plain = F.regexp_replace(line, r"[_\x{3000}]", " ")
+    tail = F.regexp_replace(plain, r"(?:\s+(?:\d{1,4}|[ivxlc]{1,6})|[\s.·．…\-]+\d{1,4})\s*$", "")
+    head = F.regexp_replace(F.regexp_replace(tail, r"^\s*(?:\d{1,4}|[ivxlc]{1,6})\s{2,}", ""), r"^\s*\d{1,4}\s*(?=[\x{4E00}-\x{9FFF}])", "")
+    glued = F.when(head.rlike(r"^第\s*[0-9零一二三四五六七八九十百]{1,4}\s*[章节]"), F.regexp_replace(head, r"\d{1,4}\s*$", "")).otherwise(head)
+    return F.regexp_replace(F.regexp_replace(glued, r"\s+", " "), r"^[ .·．…\-—]+|[ .·．…\-—]+$", "")
 
 
 def title_key(title: Column) -> Column:
@@ -84,3 +129,8 @@ def _matching(lines: Column, pattern: str) -> Column:
 def renumbered(sections: DataFrame, group: str, order: str) -> DataFrame:
     """Sections with `no` counted anew within their chapter."""
     return sections.withColumn("no", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def head_text(text: Column, width: int = 150) -> Column:
+    """The begin of a page as one line, as shown beside a candidate title."""
+    return F.left(F.trim(F.regexp_replace(F.left(text, F.lit(20 * width)), f"{BLANKS}+", " ")), F.lit(width))

@@ -9,7 +9,7 @@ from tracebook.functions.text import flattened
 from tracebook.operators import pages as P
 from tracebook.operators import titles as T
 from tracebook.operators.merging import segments
-from tracebook.plans.sqltext import BLANK, KEYS
+from tracebook.plans.sqltext import BLANK, KEYS, MATTER_SQL
 from tracebook.sources.tables import table
 
 
@@ -56,7 +56,10 @@ def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return P.chapter_chunks(table(spark, d, "skeleton"), table(spark, d, "pages"))
+    """Chunks by chapter, and of files that no chapter is in by their pages."""
+    skeleton, pages = table(spark, d, "skeleton"), table(spark, d, "pages")
+    by_chapter = P.chapter_chunks(skeleton, pages)
+    return by_chapter.unionByName(P.sequential_chunks(P.files_without_chapters(pages, skeleton)).select("chunk_id", "file_id", "page_start", "page_end", "pages", "chars", "text"), allowMissingColumns=True)
 
 
 def offset_votes(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +124,8 @@ _HEADS = [r"^第\s*[0-9一二三四五六七八九十]{1,3}\s*章", r"(?i)^chapt
 _HEAD_LINES = "list_filter(list_transform(string_split(text[:400], chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:12]"
 _PLAIN = f"regexp_replace(lower(title), '{BLANK}', '', 'g')"
 ORACLE_SQL = {
-    "title_kinds": f"""SELECT DISTINCT title, CASE WHEN {_PLAIN} IN ({", ".join(f"'{m}'" for m in T.MATTER)}) THEN 'matter' WHEN regexp_matches({_PLAIN}, '^({"|".join(T.APPENDIX)})') THEN 'appendix' ELSE 'body' END AS kind,
-      length(title) <= 46 AND length(title) - length(translate(title, '{T.PUNCTUATION}', '')) <= 2 AND regexp_matches(title, '[\\x{{4E00}}-\\x{{9FFF}}]|[A-Za-z]{{3}}') AS plausible,
+    "title_kinds": f"""SELECT DISTINCT title, CASE WHEN {MATTER_SQL.format(_PLAIN)} THEN 'matter' WHEN regexp_matches({_PLAIN}, '^({"|".join(T.APPENDIX)})') THEN 'appendix' ELSE 'body' END AS kind,
+      length(title) <= 46 AND length(title) - length(translate(title, '{T.PUNCTUATION_SQL}', '')) <= 2 AND regexp_matches(title, '[\\x{{4E00}}-\\x{{9FFF}}]|[A-Za-z]{{3}}') AS plausible,
       try_cast(regexp_extract(title, '(?i)^\\s*chapter\\s+([0-9]{{1,3}})\\b', 1) AS INT) AS number FROM skeleton WHERE title IS NOT NULL""",
     "page_sections": "SELECT DISTINCT file_id, page_no, section FROM (SELECT file_id, page_no, coalesce(" + ", ".join(f"list_filter(ls, lambda x: regexp_matches(x, '{h}') AND length(x) <= 60)[1]" for h in _HEADS) + f") AS section FROM (SELECT file_id, page_no, {_HEAD_LINES} AS ls FROM pages WHERE length(text) > 0)) WHERE section IS NOT NULL",
     "page_runs": f"WITH {KEYS}, g AS (SELECT file_id, page_no, page_no - row_number() OVER (PARTITION BY file_id ORDER BY page_no) AS r FROM keys WHERE size > 0) SELECT file_id, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages FROM g GROUP BY file_id, r",

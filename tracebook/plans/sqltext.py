@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracebook.functions.numbers import LONGEST_FIRST, NUMBER, WIDE, WIDE_AS
+from tracebook.operators.titles import MATTER, MATTER_BEGIN
 
 BLANK = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -23,6 +24,17 @@ ledger AS (SELECT evidence_id, kp_id, before, CASE WHEN coalesce(q, '') = '' OR
   WHEN strange THEN CASE WHEN head OR tail THEN 'fabricated' ELSE 'not_found' END WHEN head AND tail THEN 'partial' WHEN head OR tail THEN 'fabricated' ELSE 'not_found' END AS tier FROM k)
 """
 
+MATTER_SQL = "({0} IN ('" + "', '".join(MATTER) + "') OR regexp_matches({0}, '^" + MATTER_BEGIN + r"\w*$'))"
+
+
+def tier_sql(q: str, body: str) -> str:
+    head = f"(length({q}) >= 12 AND contains({body}, {q}[:24]))"
+    tail = f"(length({q}) >= 12 AND contains({body}, {q}[greatest(length({q}) - 23, 1):]))"
+    strange = f"len(list_filter(regexp_extract_all({q}, '[0-9]+(?:\\.[0-9]+)?'), lambda z: NOT contains({body}, z))) > 0"
+    return f"""CASE WHEN coalesce({q}, '') = '' OR coalesce({body}, '') = '' THEN 'not_found' WHEN contains({body}, {q}) THEN 'exact'
+      WHEN {strange} THEN CASE WHEN {head} OR {tail} THEN 'fabricated' ELSE 'not_found' END WHEN {head} AND {tail} THEN 'partial' WHEN {head} OR {tail} THEN 'fabricated' ELSE 'not_found' END"""
+
+
 COURSE_NAMES = r"""
 names AS (SELECT k, min(course_id) AS resolved FROM (SELECT lower(regexp_replace(n, '[ \t\r\n]+', '', 'g')) AS k, course_id
   FROM (SELECT course_id, unnest(list_concat([course_id, name], coalesce(aliases, []))) AS n FROM courses)) WHERE k <> '' GROUP BY k)
