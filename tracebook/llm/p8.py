@@ -12,13 +12,19 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 TILTS = {"textbook_pages": -0.4, "glossaries": -0.6, "exam_preparation": 0.8, "site_reports": 0.3}
 
 
-def mixture_and_shares(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """vocabulary, pattern: a rank file and its splitting pattern; those of the
-    installed public tokenizers unless given."""
-    if vocabulary is None or pattern is None:
-        import public_tokenizers
+def tokenizer(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
+    """A rank file and the pattern that splits text before it. Unless given,
+    those of the installed package `public_tokenizers`, which lists vocabulary
+    files of public tokenizers; it is needed for nothing else."""
+    if vocabulary is not None and pattern is not None:
+        return vocabulary, pattern
+    import public_tokenizers
+
+    return vocabulary or str(public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN
 
-        vocabulary, pattern = vocabulary or str(public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN
+
+def mixture_and_shares(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    vocabulary, pattern = tokenizer(vocabulary, pattern)
     return curriculum_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), key="doc_id", text="text", source="source", vocabulary=vocabulary, pattern=pattern, tilts=TILTS)
 
 
