@@ -100,17 +100,30 @@ def page_header(text: Column) -> Column:
     return F.try_element_at(F.filter(F.slice(lines, 1, 2), lambda x: (F.length(x) <= 90) & plausible_title(x)), F.lit(1))
 
 
+#: A header is the book's title if it stands on one of so many first pages, and how often it must stand, by number and share of the pages.
+FRONT, OFTEN_IN_FRONT, OFTEN = 8, (3, 0.10), (5, 0.15)
+
+
 def header_chapters(pages: DataFrame, least: int = 2) -> DataFrame:
     """source_file, key, title, page_start, page_end, pages, kind: chapters by
     running headers. Pages in order take the key of their header; the pages of
-    one key, in one or more runs, are a chapter if there are `least` or more. A
-    header that stands on most pages of a file (or on 60 % and more) is the
-    file's title and no chapter, unless it carries a chapter number."""
-    rows = pages.filter("source_file is not null and page_no is not null and length(text) > 0").select("source_file", "page_no", page_header(F.col("text")).alias("title")).dropDuplicates(["source_file", "page_no"])
+    one key, in one or more runs, are a chapter if there are `least` or more.
+
+    A header without a chapter number is the book's title and no chapter if it
+    stands in front (from one of the first FRONT pages on) and often, or if it
+    is the commonest of the file and stands very often. The title of a chapter
+    is its commonest spelling, of several the first in order.
+    """
+    rows = pages.filter("source_file is not null and page_no is not null and length(text) > 0").groupBy("source_file", "page_no").agg(F.max("text").alias("text")).select("source_file", "page_no", page_header(F.col("text")).alias("title"))
     keyed = rows.withColumn("key", title_key(F.col("title"))).filter("title is not null and key <> ''")
-    per = keyed.groupBy("source_file", "key").agg(F.count(F.lit(1)).alias("n"), F.mode("title", True).alias("title"), F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"))
+    spelled = keyed.groupBy("source_file", "key", "title").agg(F.count(F.lit(1)).alias("n"), F.min("page_no").alias("a"), F.max("page_no").alias("b"))
+    per = spelled.groupBy("source_file", "key").agg(F.sum("n").alias("n"), F.min_by("title", F.struct(-F.col("n"), "title")).alias("title"), F.min("a").alias("page_start"), F.max("b").alias("page_end"))
     total = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("all"))
-    kept = per.join(total, "source_file").filter((F.col("n") >= least) & (F.col("key").startswith("#ch") | (F.col("n") < 0.6 * F.col("all"))))
+    top = per.filter(~F.col("key").startswith("#ch")).groupBy("source_file").agg(F.min_by("key", F.struct(-F.col("n"), "key")).alias("_top"))
+    of = per.join(total, "source_file").join(top, "source_file", "left")
+    often = lambda x: F.col("n") >= F.greatest(F.lit(float(x[0])), F.lit(x[1]) * F.col("all"))
+    book = ((F.col("page_start") <= FRONT) & often(OFTEN_IN_FRONT)) | (F.col("key").eqNullSafe(F.col("_top")) & often(OFTEN))
+    kept = of.filter((F.col("n") >= least) & (F.col("key").startswith("#ch") | ~book))
     return kept.select("source_file", "key", "title", "page_start", "page_end", F.col("n").alias("pages"), title_kind(F.col("title")).alias("kind"))
 
 

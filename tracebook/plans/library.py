@@ -142,9 +142,9 @@ QUERIES = {f.__name__: f for f in (search_and, search_or, search_snippet, text_l
 
 _FLAT = f"trim(regexp_replace(text, '{BLANK}+', ' ', 'g'))"
 _EDGE = f"^{BLANK}+|{BLANK}+$"
-_TOKENS = r"list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(lower({0}), '[\x{{4E00}}-\x{{9FFF}}]+'), lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: r[i : i + 1])))))"
-_RANKED = f"""docs AS (SELECT DISTINCT ON (kp_id) kp_id, {_TOKENS.format("concat_ws(' ', name, definition, note)")} AS t, {_TOKENS.format("coalesce(name, '')")} AS titled FROM kp),
-  asked AS (SELECT item_id, unnest({_TOKENS.format("text")}) AS token FROM eval_items WHERE item_id % 100 = 0),
+TOKENS = r"list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(lower({0}), '[\x{{4E00}}-\x{{9FFF}}]+'), lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: r[i : i + 1])))))"
+_RANKED = f"""docs AS (SELECT DISTINCT ON (kp_id) kp_id, {TOKENS.format("concat_ws(' ', name, definition, note)")} AS t, {TOKENS.format("coalesce(name, '')")} AS titled FROM kp),
+  asked AS (SELECT item_id, unnest({TOKENS.format("text")}) AS token FROM eval_items WHERE item_id % 100 = 0),
   posted AS (SELECT kp_id, len(t) AS size, titled, unnest(t) AS token FROM docs), df AS (SELECT token, count(*) AS df FROM posted GROUP BY token),
   s AS (SELECT item_id, kp_id, sum(ln(1 + (SELECT count(*) FROM docs) / (1 + df)) * CASE WHEN list_contains(titled, token) THEN 3 ELSE 1 END) / greatest(max(size), 1) ** 0.25 AS raw FROM asked JOIN posted USING (token) JOIN df USING (token) GROUP BY ALL),
   ranked AS (SELECT item_id, kp_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, kp_id)::INT AS place FROM s)"""
@@ -160,7 +160,10 @@ ORACLE_SQL = {
     "text_flatten": f"SELECT DISTINCT file_id, page_no, md5({_FLAT}) AS digest FROM pages WHERE text IS NOT NULL",
     "text_tidy": rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(translate(text, chr(160) || chr(12288), '  '), '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '{_EDGE}', '', 'g')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL""",
     "text_plain_form": f"SELECT doc_id, md5({plain_sql('text')}) AS digest FROM documents WHERE text IS NOT NULL",
-    "token_document_counts": f"SELECT token, count(*) AS n_docs FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token",
+    "token_document_counts": f"SELECT token, count(*) AS n_docs FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token",
+    "search_snippet": f"""WITH t AS (SELECT DISTINCT source_file, page_no, trim(regexp_replace(text, '{BLANK}+', ' ', 'g')) AS f FROM pages), h AS (SELECT *, contains(lower(f), 'evacuation')::INT + contains(lower(f), 'vestibule')::INT AS n_hits, list_min(list_filter([strpos(lower(f), 'evacuation'), strpos(lower(f), 'vestibule')], lambda p: p > 0)) AS p FROM t),
+      b AS (SELECT *, greatest(p - 30, 1) AS b FROM h WHERE n_hits > 0)
+      SELECT DISTINCT source_file, page_no, n_hits, CASE WHEN b > 1 THEN '…' ELSE '' END || regexp_replace(regexp_replace(substr(f, b, 120), '(?i)(evacuation)', '【\\1】', 'g'), '(?i)(vestibule)', '【\\1】', 'g') || CASE WHEN b + 120 <= length(f) THEN '…' ELSE '' END AS snippet FROM b""",
     "retrieve_rank": f"WITH {_RANKED} SELECT * FROM ranked WHERE place <= 8",
     "retrieve_interleaved": f"""WITH {_RANKED}, b AS (SELECT split, kp_id, min({{'place': place, 'q': item_id}}) AS b FROM ranked JOIN eval_items USING (item_id) WHERE place <= 8 GROUP BY ALL),
       o AS (SELECT split, kp_id, row_number() OVER (PARTITION BY split ORDER BY b.place, b.q, kp_id)::INT AS n FROM b) SELECT * FROM o WHERE n <= 12""",

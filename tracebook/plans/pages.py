@@ -128,6 +128,10 @@ ORACLE_SQL = {
       length(title) <= 46 AND length(title) - length(translate(title, '{T.PUNCTUATION_SQL}', '')) <= 2 AND regexp_matches(title, '[\\x{{4E00}}-\\x{{9FFF}}]|[A-Za-z]{{3}}') AS plausible,
       try_cast(regexp_extract(title, '(?i)^\\s*chapter\\s+([0-9]{{1,3}})\\b', 1) AS INT) AS number FROM skeleton WHERE title IS NOT NULL""",
     "page_sections": "SELECT DISTINCT file_id, page_no, section FROM (SELECT file_id, page_no, coalesce(" + ", ".join(f"list_filter(ls, lambda x: regexp_matches(x, '{h}') AND length(x) <= 60)[1]" for h in _HEADS) + f") AS section FROM (SELECT file_id, page_no, {_HEAD_LINES} AS ls FROM pages WHERE length(text) > 0)) WHERE section IS NOT NULL",
+    "greedy_windows": f"""WITH RECURSIVE {_OWNERS}, o AS (SELECT file_id, node_id, page_no, size + 20 AS n, row_number() OVER (PARTITION BY file_id, node_id ORDER BY page_no) AS i FROM owners),
+      w AS (SELECT file_id, node_id, page_no, n, i, 0 AS w, n::BIGINT AS held FROM o WHERE i = 1
+        UNION ALL SELECT o.file_id, o.node_id, o.page_no, o.n, o.i, CASE WHEN held + o.n > 11000 THEN w.w + 1 ELSE w.w END, CASE WHEN held + o.n > 11000 THEN o.n ELSE held + o.n END FROM w JOIN o ON o.file_id = w.file_id AND o.node_id = w.node_id AND o.i = w.i + 1)
+      SELECT file_id, node_id, w AS "window", min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages, sum(n)::BIGINT AS weight FROM w GROUP BY file_id, node_id, w""",
     "page_runs": f"WITH {KEYS}, g AS (SELECT file_id, page_no, page_no - row_number() OVER (PARTITION BY file_id ORDER BY page_no) AS r FROM keys WHERE size > 0) SELECT file_id, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages FROM g GROUP BY file_id, r",
     "page_global_interval": f"WITH {KEYS}, f AS (SELECT source_file, count(*) AS pages FROM keys GROUP BY 1) SELECT source_file, pages, (sum(pages) OVER (ORDER BY source_file) - pages + 1)::BIGINT AS first_page, (sum(pages) OVER (ORDER BY source_file))::BIGINT AS last_page FROM f",
     "chapter_end_lead": f"WITH {KEYS}, {_CHAPTERS}, l AS (SELECT source_file, max(page_no) AS last_page FROM keys GROUP BY 1) SELECT node_id, page_start, greatest(page_start, coalesce(lead(page_start) OVER (PARTITION BY source_file ORDER BY num, page_start, node_id) - 1, last_page)) AS page_end FROM ch JOIN l USING (source_file)",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracebook.plans import evidence, library, pages, provenance, records
+from tracebook.plans import editions, evidence, library, pages, provenance, records
 
-QUERIES = evidence.QUERIES | library.QUERIES | pages.QUERIES | provenance.QUERIES | records.QUERIES
-ORACLE_SQL = evidence.ORACLE_SQL | library.ORACLE_SQL | pages.ORACLE_SQL | provenance.ORACLE_SQL | records.ORACLE_SQL
+QUERIES = editions.QUERIES | evidence.QUERIES | library.QUERIES | pages.QUERIES | provenance.QUERIES | records.QUERIES
+ORACLE_SQL = editions.ORACLE_SQL | evidence.ORACLE_SQL | library.ORACLE_SQL | pages.ORACLE_SQL | provenance.ORACLE_SQL | records.ORACLE_SQL
 FLAGSHIP = "quote_tier_ledger"
