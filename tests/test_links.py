@@ -28,3 +28,13 @@ def test_questions(spark):
     assert values(spark, ["1. a\n2、b\n 3) c", "1. only", "no", None], L.question_numbers) == [[1, 2, 3], [], [], []]
     got = spark.createDataFrame([([1, 3], [1, 2, 3])], "a array<int>, e array<int>").select(L.question_coverage(F.col("a"), F.col("e")).alias("c")).first()["c"]
     assert (got["answered"], got["missing"]) == ([1, 3], [2])
+
+
+def test_choice_questions(spark):
+    block = "1. which\nA. x B. y C. z\n2. why\nno choices\n第3题：how\nA、x\nB、y\nC、z\n4) and A. only"
+    assert values(spark, [block, "1. a A. B. C.", None, "1. Q\nA. a\nB. b\nC. c\n2. Q\nA 一\nB 二\nC 三\n1. Q A. B. C.x"], L.choice_questions) == [[1, 3], [], [], [1, 2]]
+
+
+def test_source_quality(spark):
+    df = spark.createDataFrame([("https://x.gov.cn/a", None), ("https://www.springer.com/a", 0), ("https://b.com", 3), ("https://b.com", None)], "u string, a int")
+    assert [r["y"] for r in df.select(L.source_quality(F.col("u"), F.col("a")).alias("y")).collect()] == [1.0, 1.0, 0.85, 0.6]

@@ -73,3 +73,24 @@ def test_packages(spark, tmp_path):
     write_package({"kp": tables["kp"].union(tables["kp"])}, str(tmp_path / "q.zip"))
     with pytest.raises(ValueError):
         read_package(spark, (tmp_path / "q.zip").read_bytes())
+
+
+def test_package_names():
+    from tracebook.sources.package import unsafe
+
+    assert all(unsafe(n) for n in ("/a", "a/../b", "C:a", "con.jsonl", "a/LPT1", "x.", "a\\..\\b", "q?")) and not any(unsafe(n) for n in ("kp.jsonl", "a/b.txt", "console.txt"))
+
+
+def test_framing_does_not_end_what_calculations_take():
+    from tracebook.operators.answers import judged
+
+    parts = [{"text": "smoke layer", "source_id": "s"}, {"text": "补充说明：\n"}, {"text": "5 + 5 = 10", "basis": "calculation", "support_quote": "layer is"}, {"text": "odd"}, {"text": "6", "basis": "calculation"}]
+    assert [x[3] for x in judged(parts, {"s": "the smoke layer is"}, lambda t: t)] == ["cited", "normal", "cited", "unsupported", "unsupported"]
+
+
+def test_courses_by_containment(spark):
+    from tracebook.operators.courses import match_course
+
+    courses = spark.createDataFrame([("C1", "消防给水", ["WS"]), ("C2", "消防给水工程", None), ("C3", "Fire", [])], "course_id string, name string, aliases array<string>")
+    df = spark.createDataFrame([(1, "消防给水排水工程", None), (2, "消防 给水工程学", None), (3, "ws", None), (4, "none", "Fire Dynamics"), (5, "xy", None), (6, None, None)], "i int, a string, b string")
+    assert {r["i"]: r["matched_course"] for r in match_course(df, courses, ["a", "b"]).collect()} == {1: "C1", 2: "C2", 3: "C1", 4: "C3", 5: None, 6: None}

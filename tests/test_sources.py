@@ -23,7 +23,7 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_bytes(b'\xef\xbb\xbf{"a":"1"}\n\nnot json\n{"a":"2\xe2\x80\xa8x","b":"y"}\n')
     assert sorted(r["a"] for r in read_jsonl(spark, str(tmp_path / "x.jsonl"), SCHEMA).collect()) == ["1", "2 x"]
     good, bad = read_jsonl_strict(spark, str(tmp_path / "x.jsonl"), SCHEMA)
-    assert good.count() == 2 and [r["line"] for r in bad.collect()] == ["not json"]
+    assert good.count() == 2 and [(r["line_no"], r["line"]) for r in bad.collect()] == [(3, "not json")]
     assert read_jsonl(spark, str(tmp_path / "none.jsonl"), SCHEMA).count() == 0
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SEGMENTS = "segment_no int, text string, source_id string, status string"
 SHORTEST = 4
+# What only frames an answer.
+FRAMING = {"根据知识库：\n", "补充说明：\n", "\n", "\n\n"}
 
 
 def recovered(raw: str | None) -> list[dict]:
@@ -39,7 +41,8 @@ def judged(segments: list[dict], sources: dict[str, str], form) -> list[tuple[in
     """(number, text, source, status): cited where the source holds the segment
     or, for knowledge and calculations, the quote that supports it; a
     calculation without a source takes the last cited one; a transition needs
-    none; all else is unsupported, and ends what calculations may take."""
+    none, nor does what only frames the answer; all else is unsupported, and
+    ends what calculations may take."""
     out, last = [], None
     for i, s in enumerate(segments, 1):
         text, source, basis = str(s.get("text") or ""), s.get("source_id") or None, s.get("basis")
@@ -51,7 +54,7 @@ def judged(segments: list[dict], sources: dict[str, str], form) -> list[tuple[in
         backed = basis in ("knowledge", "calculation") and len(quote.strip()) >= SHORTEST and form(quote) in body
         if source and body and (own or backed):
             status, last = "cited", source
-        elif basis == "transition" and not s.get("source_id"):
+        elif text in FRAMING or basis == "transition" and not s.get("source_id"):
             status, source = "normal", None
         else:
             status, last = "unsupported", None

@@ -30,3 +30,21 @@ def resolve_course(df: DataFrame, courses: DataFrame, columns: list[str], out: s
         df = df.withColumn(f"_key{i}", course_key(F.col(c))).join(names.select(F.col("course_key").alias(f"_key{i}"), F.col("resolved").alias(f"_found{i}")), f"_key{i}", "left")
         found.append(f"_found{i}")
     return df.withColumn(out, F.coalesce(*found)).drop(*found, *(f"_key{i}" for i in range(len(columns))))
+
+
+def match_course(df: DataFrame, courses: DataFrame, columns: list[str], out: str = "matched_course", shortest: int = 3) -> DataFrame:
+    """As `resolve_course`, and where nothing resolves the course one of whose
+    names (of `shortest` characters or more) holds a candidate or is held by
+    it: the first candidate that fits any, and of several courses the one with
+    the longest name, then the smallest id. Distinct candidates meet the course
+    dimension, not rows."""
+    exact = resolve_course(df, courses, columns, "_exact")
+    names = course_names(courses).filter(F.length("course_key") >= shortest)
+    loose, found = exact, []
+    for i, c in enumerate(columns):
+        asked = exact.filter(F.col("_exact").isNull()).select(course_key(F.col(c)).alias(f"_k{i}")).filter(F.col(f"_k{i}") != "").distinct()
+        near = asked.join(broadcast_if_small(names, 100_000), F.contains(f"_k{i}", "course_key") | F.contains("course_key", f"_k{i}"))
+        best = near.groupBy(f"_k{i}").agg(F.min_by("resolved", F.struct(-F.length("course_key"), "resolved")).alias(f"_near{i}"))
+        loose = loose.withColumn(f"_k{i}", course_key(F.col(c))).join(best, f"_k{i}", "left")
+        found.append(f"_near{i}")
+    return loose.withColumn(out, F.coalesce("_exact", *found)).drop("_exact", *found, *(f"_k{i}" for i in range(len(columns))))

@@ -50,9 +50,10 @@ def chapter_ends(chapters: DataFrame, last_pages: DataFrame) -> DataFrame:
 
 def expand_ranges(ranges: DataFrame, keys: DataFrame) -> DataFrame:
     """Each range (columns source_file, page_start, page_end and others) with
-    each page of its file in it, by an equality join on file and page."""
+    each page of its file in it, by an equality join on file and page. Ranges
+    without a begin or an end are of no page."""
     span = keys.groupBy("source_file").agg(F.min("page_no").alias("_low"), F.max("page_no").alias("_high"))
-    cut = ranges.join(span, "source_file").withColumns({"_a": F.greatest("page_start", "_low"), "_b": F.least("page_end", "_high")}).filter("_a <= _b")
+    cut = ranges.filter("page_start is not null and page_end is not null").join(span, "source_file").withColumns({"_a": F.greatest("page_start", "_low"), "_b": F.least("page_end", "_high")}).filter("_a <= _b")
     wide = cut.withColumn("page_no", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b", "_low", "_high")
     return wide.join(keys.select("source_file", "page_no", "file_id", "size"), ["source_file", "page_no"])
 
@@ -108,6 +109,14 @@ def offset_votes(pages: DataFrame) -> DataFrame:
     return joined.withColumn("ratio", ratio).withColumn("tier", tier).withColumn("confident", F.col("best_offset").isNotNull() & (F.col("hits") / F.col("pages") >= 0.3) & (F.col("hits") >= 5))
 
 
+def offset_runners_up(pages: DataFrame, most: int = 4) -> DataFrame:
+    """file_id, place, off, hits: the differences with the most votes of each
+    file, at most `most`, the best first, as `offset_votes` ranks them."""
+    votes = number_candidates(pages).groupBy("file_id", (F.col("candidate") - F.col("page_no")).alias("off")).agg(F.count(F.lit(1)).alias("hits"))
+    order = Window.partitionBy("file_id").orderBy(F.col("hits").desc(), F.abs("off"), "off")
+    return votes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("file_id", "place", "off", "hits")
+
+
 def course_offsets(votes: DataFrame, keys: DataFrame) -> DataFrame:
     """course, files, confident_files, offset, mixed, least_ratio: the offset of
     a course if all its confident files agree."""

@@ -65,7 +65,7 @@ def retrieve_rank(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_interleaved(spark: SparkSession, d: str) -> DataFrame:
     """Twelve claims per split of the evaluation items, the rankings merged round robin."""
     asked = table(spark, d, "eval_items").select("item_id", "split")
-    ranked = retrieve_rank(spark, d).join(F.broadcast(asked), "item_id").withColumn("query_no", F.col("item_id"))
+    ranked = retrieve_rank(spark, d).join(asked, "item_id").withColumn("query_no", F.col("item_id"))
     return interleave(ranked, "split", "kp_id", 12)
 
 

@@ -111,7 +111,7 @@ _OWNERS = f"""{KEYS}, {_CHAPTERS}, owners AS (SELECT file_id, source_file, page_
   WHERE coalesce(kind, '') <> 'matter' AND page_start > 0 AND page_end > 0) WHERE o = 1)"""
 _COVER = "SELECT course, count(*) AS text_pages, count(*) FILTER (WHERE hit) AS covered_pages, round(100 * count(*) FILTER (WHERE hit) / count(*), 1) AS share FROM (SELECT course, EXISTS (FROM r WHERE r.source_file = keys.source_file AND keys.page_no BETWEEN r.page_start AND r.page_end) AS hit FROM keys WHERE size > 0) GROUP BY course"
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> '')"
-_VOTES = rf"""pg AS (SELECT DISTINCT file_id, page_no, text FROM pages WHERE length(text) > 0), ln AS (SELECT file_id, page_no, {_LINES} AS ls FROM pg),
+VOTES = rf"""pg AS (SELECT DISTINCT file_id, page_no, text FROM pages WHERE length(text) > 0), ln AS (SELECT file_id, page_no, {_LINES} AS ls FROM pg),
   ed AS (SELECT file_id, page_no, 0 AS e, ls[1] AS x FROM ln WHERE len(ls) > 0 UNION ALL SELECT file_id, page_no, 1, ls[-1] FROM ln WHERE len(ls) > 0),
   cd AS (SELECT file_id, page_no, unnest(regexp_extract_all(x, '[0-9.]+')) AS c FROM ed WHERE length(x) <= 60),
   vt AS (SELECT file_id, c::INT - page_no AS off, count(*) AS hits FROM cd WHERE regexp_matches(c, '^[0-9]{{1,4}}$') AND NOT regexp_matches(c, '(19|20)[0-9]{{2}}') AND c::INT BETWEEN 1 AND 2000 GROUP BY ALL),
@@ -140,8 +140,8 @@ ORACLE_SQL = {
       r AS (SELECT file_id, page_no, node_id, section_id, row_number() OVER (PARTITION BY file_id, page_no ORDER BY so, section_id) AS o FROM owners JOIN s USING (node_id) WHERE page_no BETWEEN greatest(coalesce(a, cs), cs) AND least(coalesce(b, ce), ce)) SELECT file_id, page_no, node_id, section_id FROM r WHERE o = 1""",
     "coverage_chapters": f"WITH {KEYS}, r AS (SELECT source_file, page_start, page_end FROM skeleton) {_COVER}",
     "coverage_sections": f"WITH {KEYS}, r AS (SELECT source_file, x.page_start, x.page_end FROM (SELECT source_file, unnest(sections) AS x FROM skeleton) WHERE x.page_start <= x.page_end) {_COVER}",
-    "offset_votes": f"WITH {_VOTES} SELECT * FROM votes",
-    "offset_by_course": f"WITH {KEYS}, {_VOTES}, c AS (SELECT file_id, min(course) AS course FROM keys GROUP BY 1) SELECT course, count(*) AS files, count(*) FILTER (WHERE confident) AS confident_files, CASE WHEN count(DISTINCT best_offset) FILTER (WHERE confident) = 1 THEN max(best_offset) FILTER (WHERE confident) END AS \"offset\", count(DISTINCT best_offset) FILTER (WHERE confident) > 1 AS mixed, min(ratio) FILTER (WHERE confident) AS least_ratio FROM votes JOIN c USING (file_id) GROUP BY course",
+    "offset_votes": f"WITH {VOTES} SELECT * FROM votes",
+    "offset_by_course": f"WITH {KEYS}, {VOTES}, c AS (SELECT file_id, min(course) AS course FROM keys GROUP BY 1) SELECT course, count(*) AS files, count(*) FILTER (WHERE confident) AS confident_files, CASE WHEN count(DISTINCT best_offset) FILTER (WHERE confident) = 1 THEN max(best_offset) FILTER (WHERE confident) END AS \"offset\", count(DISTINCT best_offset) FILTER (WHERE confident) > 1 AS mixed, min(ratio) FILTER (WHERE confident) AS least_ratio FROM votes JOIN c USING (file_id) GROUP BY course",
     "anchor_interpolate": rf"""WITH {KEYS}, l AS (SELECT DISTINCT file_id, page_no, nullif(try_cast(regexp_extract(page_label, '([0-9]{{1,9}})', 1) AS INT), 0) AS p FROM pages WHERE file_id IS NOT NULL AND page_no IS NOT NULL),
       a AS (SELECT file_id, min({{'i': page_no, 'p': p}}) AS a, max({{'i': page_no, 'p': p}}) AS b FROM l WHERE p IS NOT NULL GROUP BY 1 HAVING min(page_no) < max(page_no)),
       v AS (SELECT DISTINCT keys.file_id, page_no, a.p + (page_no - a.i) * (b.p - a.p) / (b.i - a.i) AS v, page_no < a.i OR page_no > b.i AS extrapolated FROM keys JOIN a USING (file_id))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracebook.functions.text import plain_form
+from tracebook.functions.text import first_number, plain_form
 from tracebook.operators import pages as P
 from tracebook.operators import printed as R
 from tracebook.operators import provenance as V
 from tracebook.operators import titles as T
 from tracebook.operators.courses import resolve_course
+from tracebook.plans.pages import VOTES
 from tracebook.plans.sqltext import COURSE_NAMES, KEYS, MATTER_SQL, tier_sql
 from tracebook.plans.sqltext import plain_form as plain_sql
 from tracebook.sources.tables import table
@@ -77,7 +78,45 @@ def sequential_chunks(spark: SparkSession, d: str) -> DataFrame:
     return P.sequential_chunks(table(spark, d, "pages")).select("chunk_id", "file_id", "chapter", "section", "page_start", "page_end", "pages", "chars")
 
 
-QUERIES = {f.__name__: f for f in (quote_recheck, quote_recheck_summary, chunk_keys, file_offsets, page_references, skeleton_totals, matter_pages, appendix_density, title_verdicts, sequential_chunks)}
+def offset_runners_up(spark: SparkSession, d: str) -> DataFrame:
+    return P.offset_runners_up(table(spark, d, "pages"))
+
+
+def claim_texts(spark: SparkSession, d: str) -> DataFrame:
+    """kp_id, chars, digest: the text that each claim comes from, its pages from
+    the first to the last label in order, joined by an empty line."""
+    kp = table(spark, d, "kp").select("kp_id", "source_file", first_number(F.col("page_label_start")).alias("a"), first_number(F.col("page_label_end")).alias("b")).distinct()
+    ranges = kp.select("kp_id", "source_file", F.least("a", "b").alias("page_start"), F.greatest("a", "b").alias("page_end"))
+    texts = table(spark, d, "pages").filter("length(text) > 0").groupBy("source_file", "page_no").agg(F.max("text").alias("text"))
+    keys = texts.select("source_file", "page_no", F.lit(None).cast("string").alias("file_id"), F.length("text").alias("size"))
+    held = P.expand_ranges(ranges, keys).select("kp_id", "source_file", "page_no").distinct().join(texts, ["source_file", "page_no"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n")
+    return held.groupBy("kp_id").agg(whole.alias("t")).select("kp_id", F.length("t").alias("chars"), F.md5("t").alias("digest"))
+
+
+def reference_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """source_file, page_rows, live_pages, chars, kp, evidence of every file
+    that any table names; live pages have text."""
+    pages = table(spark, d, "pages").groupBy("source_file").agg(F.count(F.lit(1)).alias("page_rows"), F.count_distinct(F.when(F.length("text") > 0, F.col("page_no"))).alias("live_pages"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    of = lambda t, k, n: table(spark, d, t).groupBy("source_file").agg(F.count_distinct(k).alias(n))
+    out = pages.join(of("kp", "kp_id", "kp"), "source_file", "full").join(of("evidence", "evidence_id", "evidence"), "source_file", "full")
+    return out.filter("source_file is not null").fillna(0)
+
+
+def consistency_findings(spark: SparkSession, d: str) -> DataFrame:
+    """level, code, subject, n: FAIL for files that quotes or claims name and no
+    page is of, WARN for files with text that no chapter and no claim is of,
+    INFO for files with chapters of front or back matter."""
+    ledger = reference_ledger(spark, d)
+    s = table(spark, d, "skeleton")
+    chapters = s.groupBy("source_file").agg(F.count_distinct("node_id").alias("chapters"), F.count_distinct(F.when(F.col("kind") == "matter", F.col("node_id"))).alias("matter"))
+    met = ledger.join(chapters, "source_file", "left").fillna(0)
+    rows = [("FAIL", "no_pages", "page_rows = 0 and kp + evidence > 0", F.col("kp") + F.col("evidence")), ("WARN", "no_chapters", "live_pages > 0 and chapters = 0", F.col("live_pages")), ("WARN", "no_claims", "live_pages > 0 and kp = 0", F.col("live_pages")), ("INFO", "matter", "matter > 0", F.col("matter"))]
+    each = F.array(*(F.when(F.expr(when), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), n.cast("long").alias("n"))) for level, code, when, n in rows))
+    return met.select(F.col("source_file").alias("subject"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.level", "f.code", "subject", "f.n")
+
+
+QUERIES = {f.__name__: f for f in (quote_recheck, quote_recheck_summary, chunk_keys, file_offsets, page_references, skeleton_totals, matter_pages, appendix_density, title_verdicts, sequential_chunks, offset_runners_up, claim_texts, reference_ledger, consistency_findings)}
 
 _RECHECK = rf"""{COURSE_NAMES},
 c AS (SELECT DISTINCT resolved AS course, split_part(file_id, '__', -1) AS tag, page_no AS ps, {plain_sql("text")} AS body FROM pages LEFT JOIN names ON names.k = lower(regexp_replace(course, '[ \t\r\n]+', '', 'g')) WHERE length(text) > 0),
@@ -91,7 +130,22 @@ r AS (SELECT evidence_id, before, coalesce(tier, before) AS tier, coalesce(found
 _CN = "[0-9零一二三四五六七八九十百]"
 _T = "regexp_replace(lower(title), '\\s', '', 'g')"
 
+_LABEL = "nullif(try_cast(regexp_extract({}, '([0-9]{{1,9}})', 1) AS INT), 0)"
+_LEDGER = """p AS (SELECT source_file, count(*) AS page_rows, count(DISTINCT page_no) FILTER (WHERE length(text) > 0) AS live_pages, sum(coalesce(length(text), 0))::BIGINT AS chars FROM pages GROUP BY 1),
+  k AS (SELECT source_file, count(DISTINCT kp_id) AS kp FROM kp GROUP BY 1), e AS (SELECT source_file, count(DISTINCT evidence_id) AS evidence FROM evidence GROUP BY 1),
+  ledger AS (SELECT source_file, coalesce(page_rows, 0) AS page_rows, coalesce(live_pages, 0) AS live_pages, coalesce(chars, 0) AS chars, coalesce(kp, 0) AS kp, coalesce(evidence, 0) AS evidence FROM p FULL JOIN k USING (source_file) FULL JOIN e USING (source_file) WHERE source_file IS NOT NULL)"""
+
 ORACLE_SQL = {
+    "reference_ledger": f"WITH {_LEDGER} SELECT * FROM ledger",
+    "consistency_findings": f"""WITH {_LEDGER}, c AS (SELECT source_file, count(DISTINCT node_id) AS chapters, count(DISTINCT node_id) FILTER (WHERE kind = 'matter') AS matter FROM skeleton GROUP BY 1), m AS (SELECT * FROM ledger LEFT JOIN c USING (source_file))
+      SELECT 'FAIL' AS level, 'no_pages' AS code, source_file AS subject, kp + evidence AS n FROM m WHERE page_rows = 0 AND kp + evidence > 0 UNION ALL SELECT 'WARN', 'no_chapters', source_file, live_pages FROM m WHERE live_pages > 0 AND coalesce(chapters, 0) = 0
+      UNION ALL SELECT 'WARN', 'no_claims', source_file, live_pages FROM m WHERE live_pages > 0 AND kp = 0 UNION ALL SELECT 'INFO', 'matter', source_file, matter FROM m WHERE matter > 0""",
+    "claim_texts": f"""WITH k AS (SELECT DISTINCT kp_id, source_file, {_LABEL.format("page_label_start")} AS a, {_LABEL.format("page_label_end")} AS b FROM kp), t AS (SELECT source_file, page_no, max(text) AS t FROM pages WHERE length(text) > 0 GROUP BY ALL),
+      h AS (SELECT DISTINCT kp_id, page_no, t FROM k JOIN t ON k.source_file = t.source_file AND page_no BETWEEN least(a, b) AND greatest(a, b)), w AS (SELECT kp_id, string_agg(t, chr(10) || chr(10) ORDER BY page_no, t) AS t FROM h GROUP BY kp_id)
+      SELECT kp_id, length(t)::INT AS chars, md5(t) AS digest FROM w""",
+    "offset_runners_up": f"WITH {VOTES}, r AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY hits DESC, abs(off), off)::INT AS place, off, hits FROM vt) SELECT * FROM r WHERE place <= 4",
+    "file_offsets": f"""WITH {KEYS}, {VOTES}, f AS (SELECT file_id, min(course) AS course FROM keys GROUP BY 1), o AS (SELECT course, CASE WHEN count(DISTINCT best_offset) FILTER (WHERE confident) = 1 THEN max(best_offset) FILTER (WHERE confident) END AS off FROM votes JOIN f USING (file_id) GROUP BY course)
+      SELECT file_id, CASE WHEN confident THEN best_offset ELSE off END AS "offset", CASE WHEN confident THEN 'file' ELSE 'course' END AS scope, 'auto' AS source FROM votes JOIN f USING (file_id) LEFT JOIN o USING (course) WHERE confident OR off IS NOT NULL""",
     "quote_recheck": f"WITH {_RECHECK} SELECT * FROM r",
     "quote_recheck_summary": f"WITH {_RECHECK} SELECT before, tier, count(*) AS n, count(*) FILTER (WHERE found_by = 'unmatched') AS unmatched, count(*) FILTER (WHERE n_bodies > 1) AS ambiguous FROM r GROUP BY before, tier",
     "chunk_keys": r"SELECT DISTINCT chunk_id, regexp_extract(chunk_id, '^(.+)::([^:]+)::p([0-9]+)$', 1) AS course, regexp_extract(chunk_id, '^(.+)::([^:]+)::p([0-9]+)$', 2) AS tag, regexp_extract(chunk_id, '::p([0-9]+)$', 1)::INT AS page_start, regexp_extract(chunk_id, '::p([0-9]+)$', 1)::INT AS page_end, chunk_id AS again FROM evidence",

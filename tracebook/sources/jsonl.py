@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tracebook.sources.runs import numbered_lines
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All readable records; blank and malformed lines are skipped, a byte-order
@@ -20,13 +22,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """The readable records, and the malformed lines (file, line). Records end
-    at LF only, so other line separators may stand within them."""
+    """The readable records, and the malformed lines (file, line_no, line).
+    Records end at LF only, so other line separators may stand within them."""
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    parsed = F.from_json(F.regexp_replace("value", "^\\x{FEFF}", ""), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), parsed.alias("r")).filter("trim(line) <> ''")
+    parsed = F.from_json(F.regexp_replace("line", "^\\x{FEFF}", ""), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = numbered_lines(spark, path).withColumn("r", parsed).filter("trim(line) <> ''")
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    return lines.filter(~bad).select(*(F.col(f"r.{f.name}") for f in schema.fields)), lines.filter(bad).select("file", "line")
+    return lines.filter(~bad).select(*(F.col(f"r.{f.name}") for f in schema.fields)), lines.filter(bad).select("file", "line_no", "line")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

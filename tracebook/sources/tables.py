@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder; `sweep` removes it."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _STAGED:
+        atexit.register(_swept_at_exit, spark)
+    _STAGED.setdefault(app, []).append(path)
     return path
 
 
@@ -68,6 +73,13 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _swept_at_exit(spark: SparkSession) -> None:
+    """What is staged goes with the process at the latest; a session that is
+    stopped before leaves it to `sweep` or to whoever owns the folder."""
+    with suppress(Exception):
+        sweep(spark)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove what this session has staged. Frames that read it end with it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
