@@ -9,6 +9,7 @@ from tracebook.functions.text import first_number, plain_form
 from tracebook.operators import pages as P
 from tracebook.operators import printed as R
 from tracebook.operators import provenance as V
+from tracebook.operators import skeleton as S
 from tracebook.operators import titles as T
 from tracebook.operators.courses import resolve_course
 from tracebook.plans.pages import VOTES
@@ -116,7 +117,20 @@ def consistency_findings(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.col("source_file").alias("subject"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.level", "f.code", "subject", "f.n")
 
 
-QUERIES = {f.__name__: f for f in (quote_recheck, quote_recheck_summary, chunk_keys, file_offsets, page_references, skeleton_totals, matter_pages, appendix_density, title_verdicts, sequential_chunks, offset_runners_up, claim_texts, reference_ledger, consistency_findings)}
+def built_skeleton(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters of all files as their pages show them."""
+    return S.built_skeleton(table(spark, d, "pages"))
+
+
+def skeleton_review(spark: SparkSession, d: str) -> DataFrame:
+    """All chapters of the skeleton after the review by rule, no verdicts recorded."""
+    chapters = table(spark, d, "skeleton").select("source_file", "num", "title", "page_start", "page_end").distinct()
+    heads = table(spark, d, "pages").select("source_file", "page_no", T.head_text(F.col("text")).alias("text"))
+    none = spark.createDataFrame([], "source_file string, title string, verdict string, quote string")
+    return S.reviewed_skeleton(chapters, none, heads)
+
+
+QUERIES = {f.__name__: f for f in (quote_recheck, quote_recheck_summary, chunk_keys, file_offsets, page_references, skeleton_totals, matter_pages, appendix_density, title_verdicts, sequential_chunks, offset_runners_up, claim_texts, reference_ledger, consistency_findings, built_skeleton, skeleton_review)}
 
 _RECHECK = rf"""{COURSE_NAMES},
 c AS (SELECT DISTINCT resolved AS course, split_part(file_id, '__', -1) AS tag, page_no AS ps, {plain_sql("text")} AS body FROM pages LEFT JOIN names ON names.k = lower(regexp_replace(course, '[ \t\r\n]+', '', 'g')) WHERE length(text) > 0),
