@@ -36,7 +36,8 @@ def headings(pages: DataFrame, head: int = 12) -> DataFrame:
     text = pages.filter("source_file is not null and length(text) > 0").groupBy("source_file", "page_no").agg(F.max("text").alias("text"))
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, head)
     each = text.select("source_file", "page_no", F.explode(lines).alias("x")).filter(~F.col("x").rlike(LINE_ZH) & ~F.col("x").rlike(LINE_EN))
-    titled = each.select("source_file", "page_no", T.clean_title(F.col("x")).alias("title")).withColumn("num", T.chapter_number(F.col("title")))
+    # made once a row: a projection would be merged with what uses it
+    titled = each.select("source_file", "page_no", F.explode(F.array(T.clean_title(F.col("x")))).alias("title")).withColumn("num", T.chapter_number(F.col("title")))
     return titled.filter(F.col("num").isNotNull() & (F.length("title") <= 46)).groupBy("source_file", "num", "page_no").agg(F.min("title").alias("title"))
 
 

@@ -114,8 +114,8 @@ def header_chapters(pages: DataFrame, least: int = 2) -> DataFrame:
     is the commonest of the file and stands very often. The title of a chapter
     is its commonest spelling, of several the first in order.
     """
-    rows = pages.filter("source_file is not null and page_no is not null and length(text) > 0").groupBy("source_file", "page_no").agg(F.max("text").alias("text")).select("source_file", "page_no", page_header(F.col("text")).alias("title"))
-    keyed = rows.withColumn("key", title_key(F.col("title"))).filter("title is not null and key <> ''")
+    rows = pages.filter("source_file is not null and page_no is not null and length(text) > 0").groupBy("source_file", "page_no").agg(F.max("text").alias("text")).select("source_file", "page_no", F.explode(F.array(page_header(F.col("text")))).alias("title"))
+    keyed = rows.filter("title is not null").select("*", F.explode(F.array(title_key(F.col("title")))).alias("key")).filter("key <> ''")
     spelled = keyed.groupBy("source_file", "key", "title").agg(F.count(F.lit(1)).alias("n"), F.min("page_no").alias("a"), F.max("page_no").alias("b"))
     per = spelled.groupBy("source_file", "key").agg(F.sum("n").alias("n"), F.min_by("title", F.struct(-F.col("n"), "title")).alias("title"), F.min("a").alias("page_start"), F.max("b").alias("page_end"))
     total = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("all"))

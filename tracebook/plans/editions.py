@@ -11,6 +11,7 @@ from tracebook.operators import editions as E
 from tracebook.operators import worklist as W
 from tracebook.operators.recordings import recording_time
 from tracebook.operators.retrieval import quotes_shown, retrieved
+from tracebook.plans.evidence import ORACLE_SQL as EVIDENCE_SQL
 from tracebook.plans.evidence import dedup_representative
 from tracebook.plans.library import TOKENS
 from tracebook.plans.sqltext import plain_form as plain_sql
@@ -131,3 +132,18 @@ ORACLE_SQL = {
     "source_labels": """SELECT DISTINCT source_file, page_label, left(trim(split_part(split_part(source_file, '/', -1), '(', 1)), 34) AS name, CASE WHEN starts_with(source_file, 'textbooks/') THEN 'textbook' WHEN starts_with(source_file, 'slides/') THEN 'courseware' WHEN starts_with(source_file, 'readers/') THEN 'reader' WHEN starts_with(source_file, 'handouts/') THEN 'handout' ELSE 'other' END AS kind,
       CASE WHEN len(string_split(source_file, '/')) >= 3 THEN split_part(source_file, '/', -2) ELSE '未分类' END AS folder, CASE WHEN lower(source_file) LIKE '%.pptx' AND regexp_matches(page_label, '[0-9]') THEN '幻灯片 ' || regexp_extract(page_label, '[0-9]+') ELSE page_label END AS place FROM pages WHERE page_label IS NOT NULL""",
 }
+
+ORACLE_SQL["claim_alternates"] = f"""WITH d AS ({EVIDENCE_SQL["dedup_representative"]}), k AS (SELECT DISTINCT ON (kp_id) * FROM kp)
+  SELECT keep, string_agg(coalesce(source_file, '') || ' ' || coalesce(page_label_start, '') || ' · ' || kp_id || CASE WHEN len(coalesce(numbers, [])) > 0 THEN '（' || array_to_string(numbers[1:4], '、') || '）' ELSE '' END, '；' ORDER BY kp_id) AS note FROM d JOIN k USING (kp_id) WHERE kp_id <> keep GROUP BY keep"""
+_AT = "epoch_us(timezone(timezone, {}))"
+_FULL, _SHORT, _CLOCK, _RUN, _OWN = r"(20[0-9]{2})[年._/-]?([0-9]{1,2})[月._/-]?([0-9]{1,2})日?", r"([0-9]{1,2})月([0-9]{1,2})日", r"([0-9]{1,2})[点:：._时]([0-9]{2})", r"^[T_\s-]+([0-9]{2})([0-9]{2})", r"([0-9]{1,2})[点:：时]([0-9]{2})"
+ORACLE_SQL["recording_times"] = f"""WITH t AS (SELECT timetable_id, max(semester_start) AS s, max(total_weeks) AS w, max(timezone) AS timezone FROM timetable GROUP BY 1), r AS (SELECT DISTINCT rec_id, name, stamp_at, s, w, timezone FROM recordings JOIN t USING (timetable_id)),
+  f AS (SELECT *, regexp_extract(name, '(?:^|[^0-9]){_FULL}', 1) AS y, regexp_extract(name, '(?:^|[^0-9]){_FULL}', 2) AS m, regexp_extract(name, '(?:^|[^0-9]){_FULL}', 3) AS dd, regexp_extract(name, '{_SHORT}', 1) AS sm, regexp_extract(name, '{_SHORT}', 2) AS sd FROM r),
+  g AS (SELECT *, y <> '' AS is_full, y <> '' OR sm <> '' AS dated, list_filter(list_distinct([year(s), year(s + (w * 7)::INT)]), lambda v: try_cast(v || '-' || lpad(sm, 2, '0') || '-' || lpad(sd, 2, '0') AS DATE) >= s AND try_cast(v || '-' || lpad(sm, 2, '0') || '-' || lpad(sd, 2, '0') AS DATE) < s + (w * 7)::INT) AS ys FROM f),
+  h AS (SELECT *, CASE WHEN is_full THEN try_cast(y || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) WHEN dated AND len(ys) = 1 THEN try_cast(ys[1] || '-' || lpad(sm, 2, '0') || '-' || lpad(sd, 2, '0') AS DATE) END AS day,
+    CASE WHEN is_full THEN regexp_replace(name, '^.*?{_FULL}', '') WHEN dated THEN regexp_replace(name, '^.*?{_SHORT}', '') ELSE name END AS tail FROM g),
+  c AS (SELECT *, coalesce(try_cast(regexp_extract(tail, '{_CLOCK}', 1) AS INT), try_cast(regexp_extract(tail, '{_RUN}', 1) AS INT)) AS hh, coalesce(try_cast(regexp_extract(tail, '{_CLOCK}', 2) AS INT), try_cast(regexp_extract(tail, '{_RUN}', 2) AS INT)) AS mi, try_cast(regexp_extract(name, '{_OWN}', 1) AS INT) AS oh, try_cast(regexp_extract(name, '{_OWN}', 2) AS INT) AS om FROM h),
+  e AS (SELECT *, CASE WHEN hh IS NULL THEN 12 WHEN regexp_matches(tail, '(?i)下午|晚上|午后|\bPM\b') AND hh < 12 THEN hh + 12 WHEN regexp_matches(tail, '(?i)上午|凌晨|\bAM\b') AND hh = 12 THEN 0 ELSE hh END AS h2 FROM c),
+  n AS (SELECT *, CASE WHEN h2 < 24 AND coalesce(mi, 0) < 60 THEN {_AT.format("day::TIMESTAMP + to_minutes(h2 * 60 + coalesce(mi, 0))")} END AS named, CASE WHEN oh IS NULL THEN epoch_us(stamp_at) WHEN oh < 24 AND om < 60 THEN {_AT.format("date_trunc('day', timezone(timezone, timezone('UTC', stamp_at::TIMESTAMP))) + to_minutes(oh * 60 + om)")} END AS filed FROM e)
+  SELECT DISTINCT rec_id, CASE WHEN dated THEN named WHEN stamp_at IS NOT NULL THEN filed END AS at_us, CASE WHEN dated THEN hh IS NOT NULL AND named IS NOT NULL ELSE filed IS NOT NULL AND stamp_at IS NOT NULL END AS timed,
+    CASE WHEN dated AND NOT is_full AND len(ys) <> 1 THEN 'ambiguous' WHEN dated AND named IS NULL THEN 'invalid' WHEN dated AND hh IS NOT NULL THEN 'name' WHEN dated THEN 'name_date' WHEN stamp_at IS NULL THEN 'none' WHEN oh IS NOT NULL AND filed IS NULL THEN 'invalid' WHEN oh IS NOT NULL THEN 'name_time' ELSE 'modified' END AS basis FROM n"""

@@ -12,6 +12,7 @@ from tracebook.operators import provenance as V
 from tracebook.operators import skeleton as S
 from tracebook.operators import titles as T
 from tracebook.operators.courses import resolve_course
+from tracebook.plans.pages import ORACLE_SQL as PAGES_SQL
 from tracebook.plans.pages import VOTES
 from tracebook.plans.sqltext import COURSE_NAMES, KEYS, MATTER_SQL, tier_sql
 from tracebook.plans.sqltext import plain_form as plain_sql
@@ -174,3 +175,7 @@ ORACLE_SQL = {
         WHEN regexp_matches(tt, '(?i)doi\s*[:：]|https?://|www\.|^[0-9.\-—\s]{{1,12}}$|^[ivxlcdm]{{1,6}}$|续表|^表\s*[0-9]|^图\s*[0-9]|^第\s*[0-9]+\s*页') THEN 'noise' WHEN length(tt) < 2 THEN 'noise' WHEN NOT regexp_matches(tt, '[\x{{4E00}}-\x{{9FFF}}]|[A-Za-z]{{2}}') THEN 'noise'
         WHEN (regexp_matches(tt, '^\s*{_CN}{{1,3}}\s*[、.]\s*\S') AND NOT regexp_matches(tt, '^\s*[0-9]+\.[0-9]')) OR regexp_matches(tt, '^\s*[（(]\s*{_CN}{{1,3}}\s*[）)]\s*\S') OR regexp_matches(tt, '^\s*[0-9]{{1,2}}(\.[0-9]{{1,2}}){{1,2}}\s+\S') THEN 'section' END AS verdict FROM k""",
 }
+
+ORACLE_SQL["page_references"] = f"""WITH i AS ({PAGES_SQL["anchor_interpolate"]}), o AS ({ORACLE_SQL["file_offsets"]}), p AS (SELECT file_id, page_no, min(page_label) AS label FROM pages WHERE file_id IS NOT NULL AND page_no IS NOT NULL GROUP BY ALL),
+  j AS (SELECT p.file_id, p.page_no, coalesce(nullif(label, ''), 'p' || p.page_no) AS place, coalesce(i.printed, CASE WHEN i.page_no IS NULL THEN p.page_no + o."offset" END) AS n, coalesce(i.extrapolated, false) AS x FROM p LEFT JOIN i USING (file_id, page_no) LEFT JOIN o ON o.file_id = p.file_id)
+  SELECT file_id, page_no, CASE WHEN n IS NULL THEN 'PDF ' || place WHEN x THEN '书p≈' || n || '（PDF ' || place || '，推算）' ELSE '书p' || n || '（PDF ' || place || '）' END AS reference FROM j"""
