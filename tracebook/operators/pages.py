@@ -20,12 +20,13 @@ def page_runs(keys: DataFrame) -> DataFrame:
     return keys.select("file_id", "page_no").distinct().withColumn("run", island).groupBy("file_id", "run").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count(F.lit(1)).alias("pages")).drop("run")
 
 
-def page_intervals(keys: DataFrame, parts: int = 1_000) -> DataFrame:
+def page_intervals(keys: DataFrame, parts: int | None = None) -> DataFrame:
     """source_file, pages, first_page, last_page in one numbering of all files
     in the order of their names. The files are cut in at most `parts` ranges of
-    names of about equal size; a running sum over the sums of the ranges, and
+    names of about equal size (as many as the session shuffles to); a running sum over the sums of the ranges, and
     within each range, gives the numbers, so no task sorts all files."""
     per_file = keys.groupBy("source_file").agg(F.count(F.lit(1)).alias("pages"))
+    parts = parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = per_file.repartitionByRange(parts, "source_file").withColumn("_p", F.spark_partition_id())
     # the partition of a row is fixed by writing it
     cut = stage(ranged, "intervals")
