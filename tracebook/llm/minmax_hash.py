@@ -140,15 +140,16 @@ def overlaps(first: list[str], second: list[str], unit: str, size: int) -> tuple
     h, starts = SHINGLES[unit](distinct.tolist(), size)
     many = np.diff(starts)
     a, b = codes[: len(first)], codes[len(first) :]
-    owner = np.concatenate([np.repeat(np.arange(len(a)), many[a]), np.repeat(np.arange(len(b)), many[b])])
-    each = np.concatenate([a, b])
-    size_of = many[each]
-    at = np.repeat(starts[each] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
-    values = h[at]
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    twice = (owner[1:] == owner[:-1]) & (values[1:] == values[:-1])
-    common = np.bincount(owner[1:][twice], minlength=len(a))
+    # the shingles of all texts as ascending keys; those of one side are looked up among the other's
+    names, place = np.unique(h, return_inverse=True)
+    keys = np.repeat(np.arange(len(distinct)), many) * max(1, len(names)) + place
+    few, other = np.where(many[a] <= many[b], a, b), np.where(many[a] <= many[b], b, a)
+    sizes = many[few]
+    pair = np.repeat(np.arange(len(a)), sizes)
+    at = starts[few][pair] - (np.cumsum(sizes) - sizes)[pair] + np.arange(len(pair))
+    wanted = other[pair] * max(1, len(names)) + place[at]
+    held = keys[np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))] == wanted if len(keys) else np.zeros(0, bool)
+    common = np.bincount(pair[held], minlength=len(a))
     return common, many[a] + many[b] - common
 
 
