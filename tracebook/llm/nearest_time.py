@@ -185,7 +185,7 @@ def nearest_time_stream(left: DataFrame, right: DataFrame, *, entity: list[str],
     return matched_stream(rows, horizon_minutes, lateness).unionByName(without_partner(left, entity, left_id, left_time))
 
 
-def nearest_time_at_rest(left: DataFrame, right: DataFrame, *, entity: list[str], left_id: str, left_time: str, right_time: str, right_row: str, right_tolerance_us: str, horizon_minutes: int, slice_hours: int = 672, rows_per_task: int = 50_000, waves: int = 6) -> tuple[DataFrame, list]:
+def nearest_time_at_rest(left: DataFrame, right: DataFrame, *, entity: list[str], left_id: str, left_time: str, right_time: str, right_row: str, right_tolerance_us: str, horizon_minutes: int, slice_hours: int = 672, rows_per_task: int = 100_000, waves: int = 4) -> tuple[DataFrame, list]:
     """As `nearest_time_stream` for bounded frames, whose rows are in no useful
     order: they are written once by `waves` ranges of time (equal in left rows)
     and stream in one after the other, so nothing is late, and the watermark
@@ -223,7 +223,7 @@ def _run_waves(there: DataFrame, staged: str, size: int, latest: dt.datetime | N
     marker.coalesce(1).write.parquet(f"{staged}/wave={waves}")
     # a session of its own, whose stateful tasks are as many as the rows need
     own = spark.newSession()
-    tasks = max(-(-size // rows_per_task), min(-(-size // 10_000), spark.sparkContext.defaultParallelism))
+    tasks = max(-(-size // rows_per_task), min(-(-size // 20_000), spark.sparkContext.defaultParallelism))
     own.conf.set("spark.sql.shuffle.partitions", max(1, min(tasks, 20_000)))
     rows = own.readStream.schema(ROWS).option("recursiveFileLookup", True).parquet(source)
     query = matched_stream(rows, horizon_minutes, "0 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", log).start()
