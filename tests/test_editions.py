@@ -170,3 +170,26 @@ def test_numbered_lines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(n for f, n, _ in rows if f == "a.txt") == list(range(1, 2001)) and all(line == f"line {n}" for f, n, line in rows if f == "a.txt")
     assert sorted((n, line) for f, n, line in rows if f == "b.txt") == [(1, "one two\r"), (2, ""), (3, "last")]
+
+
+def test_edits_under_a_token(spark):
+    claims = spark.createDataFrame([("k1", "n1", "d1", ["1"], 3, "verified"), ("k2", "n2", "d2", None, 3, "verified"), ("k3", "n3", "d3", None, 3, "verified"), ("k4", "n4", None, None, 3, "verified")], "kp_id string, name string, definition string, numbers array<string>, importance int, status string")
+    token = {r["kp_id"]: r["t"] for r in claims.select("kp_id", W.row_token(claims).alias("t")).collect()}
+    assert len(set(token.values())) == 4
+    edits = spark.createDataFrame([("k1", token["k1"], "new", None), ("k2", token["k2"], None, 5), ("k3", "stale", "x", None), ("k4", token["k4"], "a", None), ("k4", token["k4"], "b", None), ("k9", "t", "x", None)], "kp_id string, token string, name string, importance int")
+    findings = spark.createDataFrame([("a1", "k1", "quote", "P1", "pending", False), ("a2", "k2", "quote", "P1", "pending", False)], "audit_id string, kp_id string, type string, priority string, status string, superseded boolean")
+    after, audits, refused = W.edited_claims(claims, edits, findings)
+    assert {r["kp_id"]: (r["name"], r["importance"], r["status"]) for r in after.collect()} == {"k1": ("new", 3, "pending"), "k2": ("n2", 5, "verified"), "k3": ("n3", 3, "verified"), "k4": ("n4", 3, "verified")}
+    assert {(r["kp_id"], r["type"], r["status"], r["superseded"]) for r in audits.collect()} == {("k1", "quote", "ignored", True), ("k2", "quote", "pending", False), ("k1", "edited_content", "pending", False)}
+    assert sorted((r["kp_id"], r["reason"]) for r in refused.collect()) == [("k3", "stale"), ("k4", "repeated"), ("k4", "repeated"), ("k9", "unknown")] and after.columns == claims.columns
+
+
+def test_declared_duplicates_go_only_if_unused(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 1)], "source_file string, page_no int")
+    declared = spark.createDataFrame([("b", "a")], "drop string, keep string")
+    used = spark.createDataFrame([("a",), ("c",)], "source_file string")
+    assert sorted(r["source_file"] for r in W.without_duplicates(rows, declared, used).collect()) == ["a", "c"]
+    with pytest.raises(ValueError, match="still used"):
+        W.without_duplicates(rows, declared, spark.createDataFrame([("b",)], "source_file string"))
+    with pytest.raises(ValueError, match="not there"):
+        W.without_duplicates(rows, spark.createDataFrame([("b", "z")], "drop string, keep string"), used)

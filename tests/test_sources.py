@@ -195,3 +195,14 @@ def test_a_job_that_died_in_restore_leaves_the_store_readable(spark, tmp_path):
     assert store.restore(one) != two and store.table("a").count() == 3
     with pytest.raises(KeyError):
         store.restore("none")
+
+
+def test_a_damaged_snapshot_is_not_restored(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    one = store.commit({"a": spark.range(3), "b": spark.createDataFrame([(1, None), (1, None)], "x int, y string")})
+    two = store.commit({"a": spark.range(4)})
+    assert store.damaged(one) == store.damaged(two) == []
+    spark.createDataFrame([(2, "z")], "x int, y string").write.mode("overwrite").parquet(store.current()["tables"]["b"])
+    assert store.damaged(two) == ["b"]
+    with pytest.raises(ValueError, match="damaged: b"):
+        store.restore(one)

@@ -112,3 +112,59 @@ def new_files(offered: DataFrame, archive: DataFrame) -> DataFrame:
     known = F.col("_have").isNotNull() | (F.col("_i") > 1)
     other = F.coalesce("_taken", F.lit(False)) | (F.col("_same") > 1)
     return met.withColumn("_same", again).select("name", "size", "sha256", F.when(known, "known").otherwise("add").alias("outcome"), F.when(~known, F.when(other, F.concat(stem, F.lit("-"), F.left("sha256", F.lit(8)), suffix)).otherwise(F.col("name"))).alias("stored_as"))
+
+
+def row_token(df: DataFrame) -> Column:
+    """A hash of a whole row, its columns in the order of their names; it
+    changes with any of them."""
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+
+
+#: What makes a claim another one if it is edited.
+MEANING = ["name", "definition", "note", "numbers"]
+
+
+def edited_claims(claims: DataFrame, edits: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims and findings after edits, and the edits that are refused.
+
+    edits: kp_id, token, and any columns of claims; a null leaves the field. An
+    edit is taken if its token is that of the row as it is (see `row_token`) and
+    it is the only one of its claim; others are refused with a reason: stale,
+    repeated or unknown. One that changes the meaning makes the claim `pending`,
+    supersedes its findings (kp_id, status, superseded) and adds one of type
+    `edited_content`; other edits leave status and findings. What changes
+    nothing is taken without effect.
+    """
+    fields = [c for c in edits.columns if c not in ("kp_id", "token")]
+    one = edits.groupBy("kp_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("token", *fields)).alias("_e"))
+    met = claims.withColumn("_token", row_token(claims)).join(one, "kp_id", "left")
+    taken = F.coalesce((F.col("_n") == 1) & (F.col("_e.token") == F.col("_token")), F.lit(False))
+    changes = [taken & F.col(f"_e.{c}").isNotNull() & ~F.col(f"_e.{c}").eqNullSafe(F.col(c)) for c in fields if c in MEANING]
+    other = F.array_contains(F.array(*changes), True) if changes else F.lit(False)
+    made = {c: F.when(taken, F.coalesce(F.col(f"_e.{c}"), F.col(c))).otherwise(F.col(c)) for c in fields}
+    marked = met.withColumns({"_other": other, **{f"_new_{c}": v for c, v in made.items()}})
+    status = F.when(F.col("_other"), F.lit("pending")).otherwise(F.col("status"))
+    out = marked.select(*((status if c == "status" else F.col(f"_new_{c}") if c in fields else F.col(c)).alias(c) for c in claims.columns))
+    touched = marked.filter("_other").select("kp_id").distinct()
+    after = out.join(touched, "kp_id", "left_semi")
+    kept = findings.join(touched.withColumn("_gone", F.lit(True)), "kp_id", "left")
+    old = kept.select(*(F.when(F.col("_gone"), {"status": F.lit("ignored"), "superseded": F.lit(True)}[c]).otherwise(F.col(c)).alias(c) if c in ("status", "superseded") else F.col(c) for c in findings.columns))
+    new = after.select(F.concat(F.lit("edit-"), "kp_id", F.lit("-"), F.left(row_token(after), F.lit(16))).alias("audit_id"), "kp_id", F.lit("edited_content").alias("type"), F.lit("P0").alias("priority"), F.lit("pending").alias("status"), F.lit(False).alias("superseded"))
+    now = claims.select("kp_id", row_token(claims).alias("_token")).distinct()
+    several = edits.groupBy("kp_id").agg(F.count(F.lit(1)).alias("_n"))
+    judged = edits.join(now, "kp_id", "left").join(several, "kp_id")
+    reason = F.when(F.col("_token").isNull(), "unknown").when(F.col("_n") > 1, "repeated").when(F.col("token") != F.col("_token"), "stale")
+    return out, old.unionByName(new, allowMissingColumns=True), judged.withColumn("reason", reason).filter("reason is not null").select("kp_id", "token", "reason")
+
+
+def without_duplicates(rows: DataFrame, declared: DataFrame, used: DataFrame, column: str = "source_file") -> DataFrame:
+    """The rows without the files that are declared (drop, keep) as copies of
+    others. ValueError if one that stays is not there, or one that goes is still
+    used (`used`: the same column)."""
+    there = rows.select(column).distinct()
+    missing = declared.select(F.col("keep").alias(column)).distinct().join(there, column, "left_anti")
+    still = declared.select(F.col("drop").alias(column)).distinct().join(used.select(column).distinct(), column, "left_semi")
+    for what, df in (("is not there to stay", missing), ("is still used", still)):
+        if found := df.limit(1).collect():
+            raise ValueError(f"{found[0][column]} {what}")
+    return rows.join(declared.select(F.col("drop").alias(column)).distinct(), column, "left_anti")
