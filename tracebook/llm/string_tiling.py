@@ -98,17 +98,18 @@ def longest_matches(i_at: np.ndarray, i_hash: np.ndarray, d_at: np.ndarray, d_ha
     return int(runs.max()) + size - 1, sorted(zip(i[first].tolist(), j[first].tolist()))
 
 
-def tiles(doc: str, item: str, least: int) -> list[tuple[int, int, int]]:
+def tiles(doc: str, item: str, least: int, pows: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiling: (start in item, start in doc, length), longest first, of
     matches of `least` or more characters that share no character.
 
     Running Karp-Rabin: the hashes of all unmarked substrings of the search
     length are compared, equal ones put together to the longest matches, and
     these marked; when no more are found the search length falls by half.
+    pows: powers as long as either text, where they are at hand.
     """
     if min(len(doc), len(item)) < least:
         return []
-    pows = powers(max(len(doc), len(item)))
+    pows = pows if pows is not None and len(pows[0]) > max(len(doc), len(item)) else powers(max(len(doc), len(item)))
     total_d, total_i = prefix_hashes(codes_of(doc), pows[0]), prefix_hashes(codes_of(item), pows[0])
     marked_d, marked_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out: list[tuple[int, int, int]] = []
@@ -227,7 +228,7 @@ def _tiled(shared, least: int, fold: bool):
                 some = pows if held <= CHUNK else powers(held)
                 for t, n in sorted(meetings(texts[first:last], seeds, tables, some)):
                     key, item, run_length = seeds.items[n]
-                    laid = tiles(texts[first + t], item, shortest_tile(run_length, least))
+                    laid = tiles(texts[first + t], item, shortest_tile(run_length, least), some)
                     longest, covered = max((x[2] for x in laid), default=0), sum(x[2] for x in laid)
                     if covered >= run_length or 2 * longest >= run_length:
                         out.append((keys[first + t], key, len(item), longest, covered, len(laid)))
