@@ -120,6 +120,29 @@ VOTES = rf"""pg AS (SELECT DISTINCT file_id, page_no, text FROM pages WHERE leng
   votes AS (SELECT n.file_id, pages, off AS best_offset, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / pages, 3) AS ratio, CASE WHEN round(coalesce(hits, 0) / pages, 3) >= 0.75 THEN 'high' WHEN round(coalesce(hits, 0) / pages, 3) >= 0.5 THEN 'medium' ELSE 'low' END AS tier,
     off IS NOT NULL AND coalesce(hits, 0) / pages >= 0.3 AND coalesce(hits, 0) >= 5 AS confident FROM n LEFT JOIN bs USING (file_id))"""
 
+_CN = "[0-9零一二三四五六七八九十百]"
+
+
+def _cleaned(x: str) -> str:
+    """clean_title of a line; what follows a leading number is put back, as there is no look-ahead."""
+    plain = f"regexp_replace({x}, '[_\\x{{3000}}]', ' ', 'g')"
+    tail = f"regexp_replace({plain}, '(?:\\s+(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})|[\\s.·．…\\-]+[0-9]{{1,4}})\\s*$', '')"
+    head = f"regexp_replace(regexp_replace({tail}, '^\\s*(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})\\s{{2,}}', ''), '^\\s*[0-9]{{1,4}}\\s*([\\x{{4E00}}-\\x{{9FFF}}])', '\\1')"
+    glued = f"CASE WHEN regexp_matches({head}, '^第\\s*{_CN}{{1,4}}\\s*[章节]') THEN regexp_replace({head}, '[0-9]{{1,4}}\\s*$', '') ELSE {head} END"
+    return f"regexp_replace(regexp_replace({glued}, '\\s+', ' ', 'g'), '^[ .·．…\\-—]+|[ .·．…\\-—]+$', '', 'g')"
+
+
+_PLAUSIBLE = f"length(x) <= 46 AND length(x) - length(translate(x, '{T.PUNCTUATION_SQL}', '')) <= 2 AND regexp_matches(x, '[\\x{{4E00}}-\\x{{9FFF}}]|[A-Za-z]{{3}}')"
+_NUMBER = "coalesce(try_cast(regexp_extract(title, '(?i)^\\s*chapter\\s+([0-9]{1,3})\\b', 1) AS INT), try_cast(regexp_extract(title, '^\\s*第\\s*([0-9]{1,3})\\s*章', 1) AS INT))"
+_HEADER_SQL = rf"""WITH p AS (SELECT source_file, page_no, max(text) AS text FROM pages WHERE source_file IS NOT NULL AND page_no IS NOT NULL AND length(text) > 0 GROUP BY ALL),
+  h AS (SELECT source_file, list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_cleaned("l")}), lambda x: x <> '')[1:2], lambda x: {_PLAUSIBLE})[1] AS title, page_no FROM p),
+  k AS (SELECT *, CASE WHEN {_NUMBER} IS NOT NULL THEN '#ch' || {_NUMBER} ELSE regexp_replace(regexp_replace(lower(title), '{BLANK}', '', 'g'), '[0-9]+$', '') END AS key FROM h WHERE title IS NOT NULL),
+  s AS (SELECT source_file, key, title, count(*) AS n, min(page_no) AS a, max(page_no) AS b FROM k WHERE key <> '' GROUP BY ALL),
+  g AS (SELECT source_file, key, sum(n)::BIGINT AS n, first(title ORDER BY n DESC, title) AS title, min(a) AS page_start, max(b) AS page_end FROM s GROUP BY ALL), t AS (SELECT source_file, count(*) AS total FROM p GROUP BY 1),
+  m AS (SELECT source_file, first(key ORDER BY n DESC, key) AS top FROM g WHERE NOT starts_with(key, '#ch') GROUP BY 1)
+  SELECT source_file, key, title, page_start, page_end, n AS pages, CASE WHEN {MATTER_SQL.format("regexp_replace(lower(title), '" + BLANK + "', '', 'g')")} THEN 'matter' WHEN regexp_matches(regexp_replace(lower(title), '{BLANK}', '', 'g'), '^({"|".join(T.APPENDIX)})') THEN 'appendix' ELSE 'body' END AS kind
+  FROM g JOIN t USING (source_file) LEFT JOIN m USING (source_file) WHERE n >= 2 AND (starts_with(key, '#ch') OR NOT ((page_start <= 8 AND n >= greatest(3, 0.1 * total)) OR (key IS NOT DISTINCT FROM top AND n >= greatest(5, 0.15 * total))))"""
+
 _HEADS = [r"^第\s*[0-9一二三四五六七八九十]{1,3}\s*章", r"(?i)^chapter\s+[0-9]+", r"^第\s*[0-9一二三四五六七八九十]{1,3}\s*节", r"^[0-9]{1,2}\.[0-9]{1,2}(\.[0-9]{1,2})?\s+\S"]
 _HEAD_LINES = "list_filter(list_transform(string_split(text[:400], chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:12]"
 _PLAIN = f"regexp_replace(lower(title), '{BLANK}', '', 'g')"
@@ -132,6 +155,7 @@ ORACLE_SQL = {
       w AS (SELECT file_id, node_id, page_no, n, i, 0 AS w, n::BIGINT AS held FROM o WHERE i = 1
         UNION ALL SELECT o.file_id, o.node_id, o.page_no, o.n, o.i, CASE WHEN held + o.n > 11000 THEN w.w + 1 ELSE w.w END, CASE WHEN held + o.n > 11000 THEN o.n ELSE held + o.n END FROM w JOIN o ON o.file_id = w.file_id AND o.node_id = w.node_id AND o.i = w.i + 1)
       SELECT file_id, node_id, w AS "window", min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages, sum(n)::BIGINT AS weight FROM w GROUP BY file_id, node_id, w""",
+    "header_chapters": _HEADER_SQL,
     "page_runs": f"WITH {KEYS}, g AS (SELECT file_id, page_no, page_no - row_number() OVER (PARTITION BY file_id ORDER BY page_no) AS r FROM keys WHERE size > 0) SELECT file_id, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages FROM g GROUP BY file_id, r",
     "page_global_interval": f"WITH {KEYS}, f AS (SELECT source_file, count(*) AS pages FROM keys GROUP BY 1) SELECT source_file, pages, (sum(pages) OVER (ORDER BY source_file) - pages + 1)::BIGINT AS first_page, (sum(pages) OVER (ORDER BY source_file))::BIGINT AS last_page FROM f",
     "chapter_end_lead": f"WITH {KEYS}, {_CHAPTERS}, l AS (SELECT source_file, max(page_no) AS last_page FROM keys GROUP BY 1) SELECT node_id, page_start, greatest(page_start, coalesce(lead(page_start) OVER (PARTITION BY source_file ORDER BY num, page_start, node_id) - 1, last_page)) AS page_end FROM ch JOIN l USING (source_file)",
