@@ -92,6 +92,13 @@ def test_runs_intervals_and_interpolation(spark):
     assert got == {1: (10, True), 2: (10, False), 3: (10, False), 7: (13, False), 8: (14, False)}
 
 
+def test_interpolation_of_long_files_and_long_numbers(spark):
+    keys = spark.createDataFrame([("f", n) for n in (1, 25_000, 60_000, 60_001)] + [("g", n) for n in (1, 5, 9, 30)], "file_id string, page_no int")
+    anchors = spark.createDataFrame([("f", 1, 11), ("f", 60_000, 60_010), ("g", 1, 1), ("g", 9, 999_999_993)], "file_id string, index int, printed int")
+    got = {(r["file_id"], r["page_no"]): (r["printed"], r["extrapolated"]) for r in P.interpolate(keys, anchors).collect()}
+    assert got == {("f", 1): (11, False), ("f", 25_000): (25_010, False), ("f", 60_000): (60_010, False), ("f", 60_001): (60_011, True)} | {("g", 1): (1, False), ("g", 5): (499_999_997, False), ("g", 9): (999_999_993, False), ("g", 30): (None, True)}
+
+
 def test_chunks_own_pages_once(spark):
     pages = spark.createDataFrame([("f", "s", "C", n, f"p{n}", "x" * 300) for n in range(1, 9)], "file_id string, source_file string, course string, page_no int, page_label string, text string")
     section = "array<struct<ord:int,no:string,title:string,page_start:int,page_end:int,node_id:string>>"

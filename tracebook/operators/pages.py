@@ -137,7 +137,9 @@ def label_anchors(pages: DataFrame) -> DataFrame:
 def interpolate(keys: DataFrame, anchors: DataFrame) -> DataFrame:
     """file_id, page_no, printed, extrapolated: printed numbers on the line
     between the anchors around a page, and on the nearest line beyond them;
-    half goes to the even number. Files with fewer than two anchors are left out."""
+    half goes to the even number. Files with fewer than two anchors are left out.
+    Products are taken as long numbers: those of a file of 46,341 pages no
+    longer fit an int. A printed number that fits none is null."""
     order = Window.partitionBy("file_id").orderBy("index")
     line = anchors.withColumns({"next": F.lead("index").over(order), "next_printed": F.lead("printed").over(order), "no": F.row_number().over(order), "all": F.count(F.lit(1)).over(Window.partitionBy("file_id"))}).filter("next is not null")
     pages = keys.select("file_id", "page_no").distinct()
@@ -146,9 +148,10 @@ def interpolate(keys: DataFrame, anchors: DataFrame) -> DataFrame:
     high = F.when(F.col("no") == F.col("all") - 1, F.col("_last")).otherwise(F.least(F.col("next") - 1, F.col("_last")))
     ranged = line.join(span, "file_id").withColumns({"_low": low, "_high": high}).filter("_low <= _high")
     met = ranged.withColumn("page_no", F.explode(F.sequence("_low", "_high"))).join(pages, ["file_id", "page_no"])
-    value = F.col("printed") + (F.col("page_no") - F.col("index")) * (F.col("next_printed") - F.col("printed")) / (F.col("next") - F.col("index"))
+    long = {c: F.col(c).cast("long") for c in ("page_no", "index", "next", "printed", "next_printed")}
+    value = long["printed"] + (long["page_no"] - long["index"]) * (long["next_printed"] - long["printed"]) / (long["next"] - long["index"])
     outside = (F.col("page_no") < F.col("index")) | (F.col("page_no") > F.col("next"))
-    return met.select("file_id", "page_no", F.bround(value, 0).cast("int").alias("printed"), outside.alias("extrapolated"))
+    return met.select("file_id", "page_no", F.bround(value, 0).try_cast("int").alias("printed"), outside.alias("extrapolated"))
 
 
 def pack(sizes: Column, limit: int) -> Column:
