@@ -67,6 +67,15 @@ def test_printed_numbers_and_references(spark):
     assert {r["name"]: (r["source"], r["offset"]) for r in merged.collect()} == {"a": ("manual", 1), "b": ("auto", 8), "c": ("auto", 3), "d": ("auto", 7)}
 
 
+def test_page_references_of_a_long_file(spark, tmp_path):
+    from tracebook.plans.provenance import page_references
+
+    pages = [("f", "C", "f.pdf", n, str(n + 10) if n in (1, 60_000) else None, None) for n in (1, 30_000, 60_000, 60_001)]
+    spark.createDataFrame(pages, "file_id string, course string, source_file string, page_no int, page_label string, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_no"]: r["reference"] for r in page_references(spark, str(tmp_path)).collect()}
+    assert got == {1: "书p11（PDF 11）", 30_000: "书p30010（PDF p30000）", 60_000: "书p60010（PDF 60010）", 60_001: "书p≈60011（PDF p60001，推算）"}
+
+
 def sequential(rows, limit, least):
     """The same by a plain loop."""
     out, cur = [], None
