@@ -198,3 +198,23 @@ def test_similar_names_with_repeated_bigrams(spark):
         got = {(r["name_a"], r["name_b"]) for r in similar_names(df, group="g", name="n", threshold=t).collect()}
         clean = sorted(names)
         assert got == {(a, b) for i, a in enumerate(clean) for b in clean[i + 1 :] if a in b or b in a or SequenceMatcher(None, a, b).ratio() >= t}
+
+
+def test_similar_names_in_blocks(spark, monkeypatch):
+    from tracebook.operators import names as N
+
+    monkeypatch.setattr(N, "BLOCK", 40)
+    rng = random.Random(11)
+    pick = lambda *x: rng.choice(x)
+    names = {f"{pick('absorption', 'activation', 'actuation')} in {pick('sealed', 'unsealed', 'steel')} {pick('stage', 'storage', 'wall')} systems {pick('a', 'b', 'k')}{pick('.', '-')}{rng.randint(100, 140)}" for _ in range(150)}
+    names |= {pick("屋顶", "天窗", "风管", "𠀋管") + "对" + pick("油池", "泡沫板") + pick("分布", "趋势", "强度") + pick("的作用", "要点", "") for _ in range(40)} | {"a", "对", "𠀋", "wall", "stage systems", "systems a"}
+    long = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() for n in (63, 64, 65, 90, 210)]
+    names |= {v.strip() for n in long for v in (n, "x" + n[:-3], n[:40] + "yy" + n[45:], n[10:])}
+    df = spark.createDataFrame([(g, n) for g in "cd" for n in sorted(names)] + [("e", "wall"), (None, "wall"), ("e", " ")], "g string, n string")
+    found = similar_names(df, group="g", name="n")
+    got = {(r["g"], r["name_a"], r["name_b"]): r["ratio"] for r in found.collect()}
+    clean = sorted(names)
+    ratios = {(a, b): 1.0 if a in b or b in a else SequenceMatcher(None, a, b).ratio() for i, a in enumerate(clean) for b in clean[i + 1 :]}
+    assert got == {(g, *p): round(r, 6) for g in "cd" for p, r in ratios.items() if r >= 0.82}
+    # pairs are met within units: the one join deals names to blocks, none makes rows of pairs
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
