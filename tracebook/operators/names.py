@@ -140,7 +140,7 @@ def alike(a: Block, b: Block, threshold: float, at_once: int = 200_000) -> Itera
 
 def similar_names(items: DataFrame, *, group: str, name: str, threshold: float = 0.82) -> DataFrame:
     """group, name_a, name_b, ratio: pairs of different names of a group, in lower
-    case and trimmed, whose matching blocks make at least `threshold` of both,
+    case and trimmed, the smaller first, whose matching blocks make at least `threshold` of both,
     or of which one holds the other (ratio 1).
 
     Names of a group are dealt to blocks of about BLOCK by their hashes, and
@@ -148,8 +148,9 @@ def similar_names(items: DataFrame, *, group: str, name: str, threshold: float =
     In it every pair is met, but only bits are compared: signatures first, then
     bounds of the longest common subsequence for what these leave; both rule out
     only what can't match. The rest is compared in full, and only what matches
-    leaves the unit. Time grows with the square of a group's names, memory and
-    what is shuffled don't.
+    leaves the unit. Memory stays as it is, time grows with the square of a
+    group's names, and so does what is shuffled beyond BLOCK of them, as every
+    name goes to each unit of its block.
     """
     names = items.select(F.col(group).alias("g"), F.lower(F.trim(name)).alias("name")).filter("g is not null and name <> ''").distinct()
     parts = names.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))

@@ -138,7 +138,7 @@ def interpolate(keys: DataFrame, anchors: DataFrame) -> DataFrame:
     """file_id, page_no, printed, extrapolated: printed numbers on the line
     between the anchors around a page, and on the nearest line beyond them;
     half goes to the even number. Files with fewer than two anchors are left out.
-    Products are taken as long numbers: those of a file of 46,341 pages no
+    Products are taken as long numbers: those of a file of 46,342 pages no
     longer fit an int. A printed number that fits none is null."""
     order = Window.partitionBy("file_id").orderBy("index")
     line = anchors.withColumns({"next": F.lead("index").over(order), "next_printed": F.lead("printed").over(order), "no": F.row_number().over(order), "all": F.count(F.lit(1)).over(Window.partitionBy("file_id"))}).filter("next is not null")
